@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import groups, survivor, tokens, topn
+from . import darts, groups, survivor, tokens, topn
 
 #: The allowed values of the two voted fields.
 FACTOR_KINDS = (
@@ -21,6 +21,12 @@ def p1_found(spark: SparkSession, base: str) -> DataFrame:
     return groups.connected_groups(links, "left_id", "right_id")
 
 
+def p2_found(spark: SparkSession, base: str) -> DataFrame:
+    """Every pair of ids, as TESTDATA defines it; the operator itself stops at classes and their representatives."""
+    signals = table(spark, base, "candidate_signals")
+    return darts.all_pairs(*darts.near_duplicates(signals, "id", ["advisor_quote", "rationale", "category"], threshold=0.7))
+
+
 def p4_found(spark: SparkSession, base: str) -> DataFrame:
     rows = table(spark, base, "importance_results").filter("candidate_id is not null")
     last = topn.latest_per_item(rows, ["analysis_run_id", "candidate_id"], "scored_at", ["structured_score", "item_type"])
@@ -54,6 +60,6 @@ def p6_ids(spark: SparkSession, base: str) -> DataFrame:
     return tokens.encode_corpus(table(spark, base, "documents"))
 
 
-QUERIES = {"p1_found": p1_found, "p4_found": p4_found, "p5_found": p5_found, "p6_ids": p6_ids}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p4_found": p4_found, "p5_found": p5_found, "p6_ids": p6_ids}
 
 SQL: dict[str, str] = {}
