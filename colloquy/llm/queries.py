@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import darts, groups, survivor, tokens, topn
+from . import darts, groups, leakage, spam, survivor, tokens, topn
 
 #: The allowed values of the two voted fields.
 FACTOR_KINDS = (
@@ -60,6 +60,14 @@ def p6_ids(spark: SparkSession, base: str) -> DataFrame:
     return tokens.encode_corpus(table(spark, base, "documents"))
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p4_found": p4_found, "p5_found": p5_found, "p6_ids": p6_ids}
+def p7_found(spark: SparkSession, base: str) -> DataFrame:
+    return leakage.leaked_items(table(spark, base, "documents"), table(spark, base, "eval_items"), window=13, max_edits=0)
+
+
+def p8_found(spark: SparkSession, base: str) -> DataFrame:
+    return spam.spam_pages(table(spark, base, "documents"))
+
+
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p4_found": p4_found, "p5_found": p5_found, "p6_ids": p6_ids, "p7_found": p7_found, "p8_found": p8_found}
 
 SQL: dict[str, str] = {}
