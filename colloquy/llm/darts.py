@@ -17,6 +17,7 @@ from math import exp, log
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -94,6 +95,18 @@ def _darts(words: np.ndarray, weight: np.ndarray, lo: int, hi: int, k: int):
     return np.concatenate(at), np.concatenate(rank).view(np.uint64), np.concatenate(coord)
 
 
+def _thrown(words: np.ndarray, weight: np.ndarray, cells: int, k: int):
+    """Darts of the first rank cells by element: first dart, darts below each cell, ranks, coordinates."""
+    el, rank, coord = _darts(words, weight, 0, cells, k)
+    order = np.argsort(el, kind="stable")  # within an element the cells stay in order
+    el, rank, coord = el[order], rank[order], coord[order]
+    first = np.searchsorted(el, np.arange(len(words) + 1))
+    cell = np.searchsorted(_RANKS, rank.view(np.float64), side="right") - 1
+    below = np.zeros((cells + 1, len(words)), np.int64)
+    np.cumsum(np.bincount(cell * len(words) + el, minlength=cells * len(words)).reshape(cells, -1), axis=0, out=below[1:])
+    return first, below, rank, coord
+
+
 def signatures(values: np.ndarray, offsets: np.ndarray, weights, k: int) -> np.ndarray:
     """k least darts of every set values[offsets[i]:offsets[i+1]]; an empty set keeps the greatest code."""
     n = len(offsets) - 1
@@ -108,29 +121,102 @@ def signatures(values: np.ndarray, offsets: np.ndarray, weights, k: int) -> np.n
     cells = np.searchsorted(_RANKS, k * (log(k) + 3) / np.maximum(total, 1e-9))
     todo = np.flatnonzero(size > 0)
     flat = sig.reshape(-1)
-    thrown, csr = -1, None
     while len(todo):
-        # the records that need the fewest cells first; the others go on from there
-        for level in np.unique(cells[todo]):
-            docs = todo[cells[todo] == level]
-            if level != thrown:
-                el, rank, coord = _darts(words, weight, 0, int(level), k)
-                order = np.argsort(el, kind="stable")
-                csr = (np.searchsorted(el[order], np.arange(len(words) + 1)), rank[order], coord[order])
-                thrown = level
-            first, rank, coord = csr
-            for part in np.array_split(docs, max(1, int(size[docs].sum() // 40_000))):
-                idx = np.repeat(offsets[part], size[part]) + np.arange(size[part].sum()) - np.repeat(np.cumsum(size[part]) - size[part], size[part])
-                w = inv[idx]
-                count = first[w + 1] - first[w]
-                dart = np.repeat(first[w], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-                owner = np.repeat(np.repeat(part, size[part]), count)
-                np.minimum.at(flat, owner * k + coord[dart], rank[dart])
-        todo = todo[(sig[todo] == _MAX).any(axis=1)]
-        cells[todo] += 2
+        # nearly all records need about as many cells; the few light ones get theirs in a later throw
+        level = int(max(np.percentile(cells[todo], 99), cells[todo].min()))
+        docs, later = todo[cells[todo] <= level], todo[cells[todo] > level]
+        some = np.zeros(len(words), bool)
+        for d in docs if len(docs) < 500 else ():
+            some[inv[offsets[d] : offsets[d + 1]]] = True
+        used = np.flatnonzero(some) if len(docs) < 500 else np.arange(len(words))
+        local = np.zeros(len(words), np.int64)
+        local[used] = np.arange(len(used))
+        first, below, rank, coord = _thrown(words[used], weight[used], level, k)
+        for part in np.array_split(docs, max(1, int(size[docs].sum() // 40_000))):
+            many = size[part]
+            idx = np.repeat(offsets[part] - (np.cumsum(many) - many), many) + np.arange(many.sum())
+            w = local[inv[idx]]
+            owner = np.repeat(part, many)
+            count = below[cells[owner], w]
+            dart = np.repeat(first[w] - (np.cumsum(count) - count), count) + np.arange(count.sum())
+            np.minimum.at(flat, np.repeat(owner * k, count) + coord[dart], rank[dart])
+        unmet = docs[(sig[docs] == _MAX).any(axis=1)]
+        cells[unmet] += 2
+        todo = np.concatenate([later, unmet])
+    return sig
+    words, inv = np.unique(values, return_inverse=True)
+    weight = weights(words)
+    size = np.diff(offsets)
+    heavy = np.concatenate([[0.0], np.cumsum(weight[inv])])
+    total = heavy[offsets[1:]] - heavy[offsets[:-1]]
+    cells = np.searchsorted(_RANKS, k * (log(k) + 3) / np.maximum(total, 1e-9))
+    todo = np.flatnonzero(size > 0)
+    flat = sig.reshape(-1)
+    have, thrown = 0, None
+    while len(todo):
+        # most records need about as many cells; the few light ones get theirs in a later throw
+        level = int(min(cells[todo].max(), max(np.percentile(cells[todo], 90), cells[todo].min())))
+        docs = todo[cells[todo] <= level]
+        if level > have:
+            have, thrown = level, _thrown(words, weight, level, k)
+        first, below, rank, coord = thrown
+        for part in np.array_split(docs, max(1, int(size[docs].sum() // 40_000))):
+            many = size[part]
+            idx = np.repeat(offsets[part] - (np.cumsum(many) - many), many) + np.arange(many.sum())
+            w = inv[idx]
+            owner = np.repeat(part, many)
+            count = below[cells[owner], w]
+            dart = np.repeat(first[w] - (np.cumsum(count) - count), count) + np.arange(count.sum())
+            np.minimum.at(flat, np.repeat(owner * k, count) + coord[dart], rank[dart])
+        open_ = docs[(sig[docs] == _MAX).any(axis=1)]
+        cells[open_] += 2
+        todo = np.concatenate([todo[~np.isin(todo, docs)], open_])
     return sig
 
 
+_PLAIN = bytes(c if 48 <= c < 58 or 97 <= c < 123 else 32 for c in range(256))
+
+
+def word_set(text: str | None) -> set[bytes]:
+    """The distinct runs of a-z and 0-9 in the lower-cased text."""
+    return set(text.lower().encode("utf-8", "replace").translate(_PLAIN).split()) if text else set()
+
+
+class _Hashes(dict):
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > 500_000:
+            self.clear()
+        self[word] = h = xxhash.xxh64_intdigest(word)
+        return h
+
+    def sets(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        values, offsets = [], [0]
+        for t in texts:
+            values += [self[w] for w in word_set(t)]
+            offsets.append(len(values))
+        return np.array(values, np.uint64), np.array(offsets, np.int64)
+
+
+def _count_words(batches):
+    hashes = _Hashes()
+    for batch in batches:
+        w, n = np.unique(hashes.sets(batch.column("text").to_pylist())[0], return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(w.view(np.int64)), pa.array(n)], ["w", "n"])
+
+
+def _verifier(threshold: float):
+    def verify(batches):
+        for batch in batches:
+            keep = []
+            for a, b in zip(batch.column("ta").to_pylist(), batch.column("tb").to_pylist()):
+                a, b = word_set(a), word_set(b)
+                both = len(a & b)
+                keep.append(both > 0 and both >= threshold * (len(a) + len(b) - both) - 1e-9)
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return verify
+
+
 def _signer(common: np.ndarray, common_weight: np.ndarray, rest: float, bands: Bands):
     def weights(words: np.ndarray) -> np.ndarray:
         if not len(common):
@@ -139,28 +225,29 @@ def _signer(common: np.ndarray, common_weight: np.ndarray, rest: float, bands: B
         return np.where(common[at] == words, common_weight[at], rest)
 
     def sign(batches):
+        hashes = _Hashes()
         for batch in batches:
-            for s in range(0, batch.num_rows, 4000):
-                part = batch.slice(s, 4000)
-                col = part.column("words")
-                offsets = col.offsets.to_numpy().astype(np.int64)
-                values = col.values.to_numpy()[offsets[0] : offsets[-1]].view(np.uint64)
-                offsets = offsets - offsets[0]
-                sig = signatures(values, offsets, weights, bands.k)
-                h = sig.reshape(len(sig), bands.bands, bands.rows)
-                key = np.zeros(h.shape[:2], np.uint64)
-                for r in range(bands.rows):
-                    key = mix(key + mix(h[:, :, r] + np.uint64(r + 1)))
-                bits = (mix(sig) >> np.uint64(63)).astype(np.uint8)
-                bits = np.pad(bits[:, :128], ((0, 0), (0, max(0, 128 - bands.k))))
-                sketch = np.packbits(bits, axis=1).view(np.int64).reshape(len(sig), 2)
-                keys = pa.ListArray.from_arrays(
-                    np.arange(0, key.size + 1, bands.bands, dtype=np.int32), (key >> np.uint64(32)).astype(np.uint32).view(np.int32).ravel()
-                )
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("id"), part.column("h"), pa.array(np.diff(offsets).astype(np.int32)), pa.array(sketch[:, 0].copy()), pa.array(sketch[:, 1].copy()), keys],
-                    ["id", "h", "n", "s0", "s1", "keys"],
-                )
+            ids = batch.column("id")
+            values, offsets = hashes.sets(batch.column("text").to_pylist())
+            sig = signatures(values, offsets, weights, bands.k)
+            size = np.diff(offsets)
+            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(values ^ np.uint64(0x9FB21C651E98DF25)))])
+            h = mix(sums[offsets[1:]] - sums[offsets[:-1]])
+            coords = sig.reshape(len(sig), bands.bands, bands.rows)
+            key = np.zeros(coords.shape[:2], np.uint64)
+            for r in range(bands.rows):
+                key = mix(key * np.uint64(3) + coords[:, :, r])
+            bits = (mix(sig[:, :128]) >> np.uint64(63)).astype(np.uint8)
+            bits = np.pad(bits, ((0, 0), (0, 128 - bits.shape[1])))
+            sketch = np.packbits(bits, axis=1).view(np.int64).reshape(len(sig), 2)
+            keys = pa.ListArray.from_arrays(
+                np.arange(0, key.size + 1, bands.bands, dtype=np.int32), (key >> np.uint64(32)).astype(np.uint32).view(np.int32).ravel()
+            )
+            out = pa.RecordBatch.from_arrays(
+                [ids, pa.array(h.view(np.int64)), pa.array(size.astype(np.int32)), pa.array(sketch[:, 0].copy()), pa.array(sketch[:, 1].copy()), keys],
+                ["id", "h", "n", "s0", "s1", "keys"],
+            )
+            yield out.filter(pa.array(size > 0))
 
     return sign
 
@@ -187,24 +274,17 @@ def near_duplicates(
     """
     spark = records.sparkSession
     scratch = Scratch(spark, "darts")
-    text = F.lower(F.concat_ws(" ", *[F.col(f) for f in fields]))
+    text = F.concat_ws(" ", *[F.col(f) for f in fields])
     base = records.filter(F.col(id).isNotNull()).select(F.col(id).cast("long").alias("id"), text.alias("text"))
-
-    def words(name: str):
-        return F.array_distinct(F.regexp_extract_all(name, F.lit("([a-z0-9]+)"), F.lit(1)))
-
-    hashed = base.select("id", F.transform(words("text"), lambda w: F.xxhash64(w)).alias("words")).filter(F.size("words") > 0)
     total = max(1, records.count())
     cut = max(2, total // COMMON)
-    stats = hashed.select(F.explode("words").alias("w")).groupBy("w").count().filter(F.col("count") >= cut).toPandas()
+    counted = base.select("text").mapInArrow(_count_words, "w long, n long").groupBy("w").agg(F.sum("n").alias("n"))
+    stats = counted.filter(F.col("n") >= cut).toPandas()
     common = stats["w"].to_numpy().astype(np.int64).view(np.uint64)
     order = np.argsort(common)
-    weight = np.maximum(np.log(total / stats["count"].to_numpy().astype(float)), LEAST_WEIGHT)
+    weight = np.maximum(np.log(total / stats["n"].to_numpy().astype(float)), LEAST_WEIGHT)
     sign = _signer(common[order], weight[order], max(log(total / cut), LEAST_WEIGHT), bands)
-    ready = hashed.select("id", F.xxhash64(F.array_sort("words")).alias("h"), "words")
-    signed = scratch.save(
-        ready.mapInArrow(sign, "id long, h long, n int, s0 long, s1 long, keys array<int>"), "signed"
-    )
+    signed = scratch.save(base.mapInArrow(sign, "id long, h long, n int, s0 long, s1 long, keys array<int>"), "signed")
 
     same = ["h", "n", "s0", "s1"]
     classes = signed.groupBy(*same).agg(F.min("id").alias("class_id"), F.max("id").alias("last")).filter("class_id < last").drop("last")
@@ -226,9 +306,7 @@ def near_duplicates(
 
     pairs = met.join(base.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
     pairs = pairs.join(base.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
-    pairs = pairs.select("a", "b", words("ta").alias("wa"), words("tb").alias("wb"))
-    common_words = F.size(F.array_intersect("wa", "wb"))
-    pairs = pairs.filter(common_words >= F.lit(threshold) * (F.size("wa") + F.size("wb") - common_words) - 1e-9)
+    pairs = pairs.select("a", "b", "ta", "tb").mapInArrow(_verifier(threshold), "a long, b long")
     return pairs.select(F.col("a").alias("left_id"), F.col("b").alias("right_id")).distinct(), members
 
 
