@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import darts, groups, leakage, spam, survivor, tokens, topn
+from . import darts, groups, leakage, spam, survivor, tokens, topn, turns
 
 #: The allowed values of the two voted fields.
 FACTOR_KINDS = (
@@ -27,6 +27,10 @@ def p2_found(spark: SparkSession, base: str) -> DataFrame:
     return darts.all_pairs(*darts.near_duplicates(signals, "id", ["advisor_quote", "rationale", "category"], threshold=0.7))
 
 
+def p3_found(spark: SparkSession, base: str) -> DataFrame:
+    return turns.speaker_turns(table(spark, base, "transcripts"), table(spark, base, "transcript_turns"), table(spark, base, "participants"))
+
+
 def p4_found(spark: SparkSession, base: str) -> DataFrame:
     rows = table(spark, base, "importance_results").filter("candidate_id is not null")
     last = topn.latest_per_item(rows, ["analysis_run_id", "candidate_id"], "scored_at", ["structured_score", "item_type"])
@@ -68,6 +72,6 @@ def p8_found(spark: SparkSession, base: str) -> DataFrame:
     return spam.spam_pages(table(spark, base, "documents"))
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p4_found": p4_found, "p5_found": p5_found, "p6_ids": p6_ids, "p7_found": p7_found, "p8_found": p8_found}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p6_ids": p6_ids, "p7_found": p7_found, "p8_found": p8_found}
 
 SQL: dict[str, str] = {}
