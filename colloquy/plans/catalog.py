@@ -6,6 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+from . import turn_queries
+
+PARTS = (turn_queries,)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {n: f for p in PARTS for n, f in p.QUERIES.items()}
+SQL: dict[str, str] = {n: s for p in PARTS for n, s in p.SQL.items()}
 FLAGSHIP = "final_selection"
