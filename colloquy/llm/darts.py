@@ -253,7 +253,7 @@ def _signer(common: np.ndarray, common_weight: np.ndarray, rest: float, bands: B
 
 
 def near_duplicates(
-    records: DataFrame, id: str, fields: Sequence[str], threshold: float = 0.8, bands: Bands = Bands(20, 6), slack: int = 38
+    records: DataFrame, id: str, fields: Sequence[str], threshold: float = 0.8, bands: Bands = Bands(26, 6), slack: int = 38
 ) -> tuple[DataFrame, DataFrame]:
     """Pairs of class representatives at or above the similarity, and the members of the classes.
 
