@@ -49,7 +49,7 @@ def similar_pairs(items: DataFrame, block: Sequence[str], vector: str, threshold
     return pairs.filter(F.col("s") >= threshold).withColumn("similarity", F.round("s", 6)).drop("s")
 
 
-def reason_edges(items: DataFrame, block: Sequence[str], reach: int = 4) -> DataFrame:
+def reason_edges(items: DataFrame, block: Sequence[str], reach: int = 4, conclusion: str = CONCLUSION, link: str = CONCLUSION_LINK) -> DataFrame:
     """Edges between a linked conclusion and the reasons said shortly before it, by turn id.
 
     Of two conclusions the one with the smaller id is the conclusion.  Reasons are bucketed
@@ -58,7 +58,7 @@ def reason_edges(items: DataFrame, block: Sequence[str], reach: int = 4) -> Data
     text = F.concat_ws(" ", F.coalesce("category", F.lit("")), F.col("advisor_quote"), F.coalesce("rationale", F.lit("")))
     # repeated row blocks aside, only items that cite turns can be near each other
     cited = items.filter(F.size("source_turn_ids") > 0).select(
-        *block, "id", like(text, CONCLUSION).alias("concludes"), like(F.col("advisor_quote"), CONCLUSION_LINK).alias("linked"),
+        *block, "id", like(text, conclusion).alias("concludes"), like(F.col("advisor_quote"), link).alias("linked"),
         F.array_min("source_turn_ids").alias("first"), F.array_max("source_turn_ids").alias("last"),
     )
     end = cited.filter("concludes and linked").select(*block, F.col("id").alias("c"), F.explode(F.sequence(F.col("first") - reach, F.col("first"))).alias("last"))
@@ -77,6 +77,16 @@ def elect(items: DataFrame, group: str, order: Sequence[Column], id: str = "id")
     return items.join(best, group).withColumn("is_canonical", F.col(id) == F.col("canonical_id"))
 
 
+def enrich(elected: DataFrame, group: str) -> DataFrame:
+    """The elected members with the distinct categories of the others, in id order, added to their rationale."""
+    others = elected.filter("not is_canonical and category is not null").groupBy(group, "category").agg(F.min("id").alias("first"))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("first", "category"))), lambda x: x["category"]), "; ")
+    reasons = others.groupBy(group).agg(joined.alias("reasons"))
+    rows = elected.filter("is_canonical").join(reasons, group, "left")
+    added = F.concat(F.regexp_replace(F.coalesce("rationale", F.lit("")), r"\.+$", ""), F.lit(" Supporting reasons: "), F.col("reasons"), F.lit("."))
+    return rows.select("id", F.when(F.col("reasons").isNull(), F.col("rationale")).otherwise(added).alias("rationale"))
+
+
 def similarity_groups(items: DataFrame, block: Sequence[str], vector: str, threshold: float, extra: DataFrame | None = None) -> DataFrame:
     """Single-link groups over similar pairs, closed with extra edges; ``id``, ``component``."""
     edges = similar_pairs(items, block, vector, threshold).select("a", "b")

@@ -42,7 +42,7 @@ def csv_cells(rows: DataFrame, money: Sequence[str] = ("business_score",)) -> Da
         if f.dataType.typeName() in ("array", "struct", "map"):
             out.append(F.to_json(c, {"ignoreNullFields": "false"}).alias(f.name))
         elif f.name in money:
-            out.append(F.when(c.isNotNull(), F.format_string("%.2f", c)).alias(f.name))
+            out.append(F.when(c.isNotNull() & ~F.isnan(c), F.format_string("%.2f", c)).alias(f.name))
         else:
             out.append(c)
     return rows.select(*out)

@@ -128,8 +128,10 @@ def tie_rank(column: str, group: Sequence[str]) -> Column:
 def spearman(rows: DataFrame, group: Sequence[str], x: str, y: str) -> DataFrame:
     """Pearson over mean ranks; 0 where one side does not vary or a group has one row."""
     ranked = rows.select(*group, tie_rank(x, group).alias("rx"), tie_rank(y, group).alias("ry"))
-    c = ranked.groupBy(*group).agg(F.corr("rx", "ry").alias("c"), F.count(F.lit(1)).alias("n"))
-    return c.select(*group, "n", F.when(F.col("c").isNull() | F.isnan("c"), 0.0).otherwise(F.col("c")).alias("spearman"))
+    c = ranked.groupBy(*group).agg(
+        F.covar_pop("rx", "ry").alias("c"), (F.stddev_pop("rx") * F.stddev_pop("ry")).alias("v"), F.count(F.lit(1)).alias("n")
+    )
+    return c.select(*group, "n", ratio(F.col("c"), F.col("v")).alias("spearman"))
 
 
 def kendall(rows: DataFrame, group: Sequence[str], id: str, x: str, y: str) -> DataFrame:
