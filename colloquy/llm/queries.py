@@ -74,4 +74,33 @@ def p8_found(spark: SparkSession, base: str) -> DataFrame:
 
 QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p6_ids": p6_ids, "p7_found": p7_found, "p8_found": p8_found}
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "p1_found": """with recursive l as (select left_id as a, right_id as b from pair_diagnostics where proposed_duplicate and left_id <> right_id),
+        bi as (select a, b from l union select b, a from l), reach(n, m) as (select a, b from bi union select r.n, bi.b from reach r join bi on bi.a = r.m)
+        select n as record_id, least(n, min(m)) as group_id from reach group by n""",
+    "p2_found": """with s as (select id, list_distinct(regexp_extract_all(lower(concat_ws(' ', advisor_quote, rationale, category)), '[a-z0-9]+')) as w
+            from candidate_signals qualify row_number() over (partition by id order by created_at) = 1),
+        e as (select id, len(w) as n, unnest(w) as x from s),
+        c as (select a.id as l, b.id as r, any_value(a.n) as ln, any_value(b.n) as rn, count(*) as k from e a join e b on a.x = b.x and a.id < b.id group by a.id, b.id)
+        select l as left_id, r as right_id from c where k >= 0.7 * (ln + rn - k) - 1e-9""",
+    "p4_found": """with r as (select * from importance_results qualify row_number() over (partition by analysis_run_id, candidate_id order by scored_at desc) = 1),
+        x as (select analysis_run_id, lower(trim(item_type)) as item_type, candidate_id, structured_score from r where structured_score is not null and not isnan(structured_score))
+        select analysis_run_id, item_type, cast(place as int) as place, candidate_id from
+            (select *, row_number() over (partition by analysis_run_id, item_type order by structured_score desc, candidate_id) as place from x) where place <= 3""",
+    "p5_found": """with s as (select *, case when extraction_confidence between 0 and 1 then extraction_confidence end as c,
+            regexp_replace(lower(trim(factor_kind)), '[\\s-]', '_', 'g') as k, regexp_replace(lower(trim(evidence_strength)), '[\\s-]', '_', 'g') as e
+            from candidate_signals where duplicate_group_id is not null qualify row_number() over (partition by id order by created_at) = 1),
+        u as (select *, case when k in ('explicit_commitment', 'current_pain', 'desired_outcome', 'future_condition', 'future_risk', 'incompatibility', 'dependency',
+            'procedural_diligence', 'information_request', 'factual_background', 'preference') then k end as kk, case when e in ('explicit', 'implied') then e end as ee from s),
+        f as (select *, (c is not null)::int + (kk is not null)::int + (ee is not null)::int + (coalesce(trim(category), '') <> '')::int
+            + (coalesce(trim(timestamp), '') <> '')::int + (coalesce(trim(rationale), '') <> '')::int as n from u)
+        select duplicate_group_id, first(id order by n desc, coalesce(c, -1) desc, created_at desc, id) as signal_id,
+            coalesce(first(kk order by coalesce(c, -1) desc, created_at desc, id) filter (kk is not null), '') as factor_kind,
+            coalesce(first(ee order by coalesce(c, -1) desc, created_at desc, id) filter (ee is not null), '') as evidence_strength
+        from f group by all having count(distinct id) > 1""",
+    "p7_found": """with d as (select doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') as w from documents where text is not null),
+        i as (select item_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') as w from eval_items),
+        dw as (select doc_id, array_to_string(w[p:p + 12], ' ') as g from (select doc_id, w, unnest(range(1, len(w) - 11)) as p from d)),
+        iw as (select item_id, array_to_string(w[p:p + 12], ' ') as g from (select item_id, w, unnest(range(1, len(w) - 11)) as p from i))
+        select distinct doc_id, item_id from dw join iw using (g)""",
+}
