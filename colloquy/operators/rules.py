@@ -30,7 +30,7 @@ def verdict(hard: Column, soft: Column) -> Column:
 
 
 def clamp(value: Column, by: Column, bounds: dict[str, tuple[float | None, float | None]]) -> Column:
-    """The value held between the bounds of its verdict."""
+    """The value held between the bounds of its verdict; null stays null."""
     out = value
     for name, (low, high) in bounds.items():
         held = value
@@ -38,7 +38,7 @@ def clamp(value: Column, by: Column, bounds: dict[str, tuple[float | None, float
             held = F.greatest(held, F.lit(low))
         if high is not None:
             held = F.least(held, F.lit(high))
-        out = F.when(by == name, held).otherwise(out)
+        out = F.when((by == name) & value.isNotNull(), held).otherwise(out)
     return out
 
 

@@ -24,9 +24,13 @@ def text_files(spark: SparkSession, path: str, most_mb: int = 25) -> DataFrame:
     double-decoded punctuation is repaired.  Contents stay in the executors.
     """
     f = spark.read.format("binaryFile").load(path)
-    name = F.substring(F.regexp_replace(F.regexp_replace("path", r"^.*[/\\]", ""), r"\p{Cntrl}", ""), 1, 255)
     valid = F.expr("is_valid_utf8(cast(content as string))")
-    f = f.select(name.alias("file_name"), "length", "content", valid.alias("valid"))
+    read = f.select("path", "length", "content", valid.alias("valid"))
+    # the scan leaves out files without bytes; the file index, which the driver holds anyway, has them
+    listed = spark.createDataFrame([(p.replace("file:///", "file:/", 1),) for p in f.inputFiles()], "path string")
+    void = listed.join(read.select("path"), "path", "left_anti").select("path", F.lit(0).cast("long").alias("length"), F.lit(None).cast("binary").alias("content"), F.lit(True).alias("valid"))
+    name = F.substring(F.regexp_replace(F.regexp_replace("path", r"^.*[/\\]", ""), r"\p{Cntrl}", ""), 1, 255)
+    f = read.unionByName(void).withColumn("file_name", name)
     f = f.withColumn("reason", outcome(F.col("file_name"), F.col("length"), F.col("valid"), F.col("length") == 0, most_mb * 1024 * 1024))
     text = F.when(F.col("reason").isNull(), repair_mojibake(F.col("content").cast("string")))
     return f.select("file_name", "reason", text.alias("raw_text")).withColumn("token_count", token_estimate(F.col("raw_text")))
