@@ -51,12 +51,12 @@ def encode_corpus(
 
     Defined cases: null and empty texts give an empty list; strings of special
     tokens are ordinary text; a row delivered twice counts once (the id is the
-    key of a document); an empty table gives no rows; other columns are ignored.
+    key of a document); null ids are left out; an empty table gives no rows; other columns are ignored.
     Result: ``doc_id``, ``ids``.
     """
     spark = documents.sparkSession
     scratch = Scratch(spark, "tokens")
-    docs = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    docs = documents.filter(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     words = docs.select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(PRETOKEN), F.lit(0))).alias("pos", "word"))
     counts = words.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
     distinct = scratch.save(counts.mapInPandas(_encoder(vocabulary, folder), "word string, n long, ids array<int>"), "words")

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,6 +44,18 @@ def _footers(batches):
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["path", "rg", "lo", "hi", "top", "rows"])
 
 
+def _changes(t: pa.Table, columns: list[str]) -> np.ndarray:
+    """Whether a row differs from the one before it in any of the columns; nulls equal each other."""
+    out = np.zeros(t.num_rows, bool)
+    out[0] = True
+    for c in columns:
+        col = t.column(c)
+        same = pa.compute.equal(col.slice(1), col.slice(0, len(col) - 1))
+        nulls = col.is_null().to_numpy()
+        out[1:] |= ~np.where(nulls[1:] & nulls[:-1], True, same.fill_null(False).to_numpy())
+    return out
+
+
 def _reader(n: int, columns: list[str]):
     """Reads row groups; of each run of equal groups, sorted by score, only its first n rows go on."""
 
@@ -52,18 +65,11 @@ def _reader(n: int, columns: list[str]):
                 t = _open(path).read_row_group(rg, columns=columns).combine_chunks()
                 if not t.num_rows:
                     continue
-                fresh = np.zeros(t.num_rows, bool)
-                fresh[0] = True
-                for c in columns[:-2]:
-                    col = t.column(c)
-                    same = pa.compute.equal(col.slice(1), col.slice(0, len(col) - 1))
-                    nulls = col.is_null().to_numpy()
-                    fresh[1:] |= np.where(nulls[1:] & nulls[:-1], False, ~same.fill_null(False).to_numpy(zero_copy_only=False))
-                at = np.arange(t.num_rows)
-                start = np.maximum.accumulate(np.where(fresh, at, 0))
-                yield from t.filter(pa.array(at - start < n)).to_batches()
-
-    import pyarrow.compute  # noqa: F401  (pa.compute above)
+                group = _changes(t, columns[:-2])
+                new = group | _changes(t, columns[-2:])  # a row delivered twice stands next to itself
+                nth = np.cumsum(new)
+                at = np.maximum.accumulate(np.where(group, nth, 0))
+                yield from t.filter(pa.array(new & (nth - at < n))).to_batches()
 
     return read
 
