@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import like, squeeze, strip
-from ..functions.vectors import cosine
 from .graph import components
+from .sequence import numbered
 
 #: Wording of a conclusion, and of its link to reasons.
 CONCLUSION = r"\b(misfit|not (a )?fit|incompatib(le|ility)|does(n't| not) fit|won't work|cannot work|can't work)\b"
@@ -35,18 +37,56 @@ def pair_text(form: str) -> Column:
     return forms[form]
 
 
-def similar_pairs(items: DataFrame, block: Sequence[str], vector: str, threshold: float) -> DataFrame:
+def _tile_pairs(threshold: float):
+    """Cosines of two tiles of vectors as one matrix product."""
+
+    def unit(vectors: pa.ListArray) -> np.ndarray:
+        m = vectors.flatten().to_numpy(zero_copy_only=False).reshape(len(vectors), -1)
+        norm = np.linalg.norm(m, axis=1, keepdims=True)
+        return np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
+
+    def score(batches):
+        for batch in batches:
+            left, right, sim, row = [], [], [], []
+            for i in range(batch.num_rows):
+                ia, va, ib, vb = (batch.column(c)[i].values for c in ("ia", "va", "ib", "vb"))
+                s = unit(va) @ unit(vb).T
+                ia, ib = ia.to_numpy(), ib.to_numpy()
+                x, y = np.nonzero((s >= threshold - 1e-12) & (ia[:, None] != ib[None, :]))
+                a, b = ia[x], ib[y]
+                # inside a tile both orders come out; between tiles one does
+                one = a < b if np.array_equal(ia, ib) else np.ones(len(a), bool)
+                left.append(np.minimum(a, b)[one])
+                right.append(np.maximum(a, b)[one])
+                sim.append(s[x, y][one])
+                row.append(np.full(one.sum(), i))
+            cat = lambda p, t: np.concatenate(p).astype(t) if p else np.zeros(0, t)
+            keys = [batch.column(c).take(pa.array(cat(row, np.int64))) for c in batch.schema.names[4:]]
+            yield pa.RecordBatch.from_arrays([pa.array(cat(left, np.int64)), pa.array(cat(right, np.int64)), pa.array(cat(sim, float)), *keys], ["a", "b", "s", *batch.schema.names[4:]])
+
+    return score
+
+
+def similar_pairs(items: DataFrame, block: Sequence[str], vector: str, threshold: float, tile: int = 256) -> DataFrame:
     """Pairs a < b of one block whose vectors reach the cosine threshold; ``similarity`` has six places.
 
-    An equi-join on the block with the order as residual condition; norms are computed once per item.
+    A block's vectors are numbered without a task per block and packed into tiles of at most ``tile``;
+    every two tiles of a block are one row, scored by one matrix product, so a large
+    block is spread over (n / tile)^2 / 2 rows and no row holds more than two tiles.  Pairs below the
+    threshold never leave the worker.  Vectors pair with those of their own dimension; null, empty and
+    zero vectors have no partner.  A block's key may be null.
     """
-    unit = items.select(*block, F.col("id"), F.transform(vector, lambda x: x.cast("double")).alias("v"))
-    a, b = unit.alias("a"), unit.alias("b")
-    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in block]
-    pairs = a.join(b, [*same, F.col("a.id") < F.col("b.id")]).select(
-        *[F.col(f"a.{c}").alias(c) for c in block], F.col("a.id").alias("a"), F.col("b.id").alias("b"), cosine(F.col("a.v"), F.col("b.v")).alias("s")
-    )
-    return pairs.filter(F.col("s") >= threshold).withColumn("similarity", F.round("s", 6)).drop("s")
+    keyed = items.filter(F.size(vector) > 0).select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(block)], "id", F.size(vector).alias("dim"), F.transform(vector, lambda x: x.cast("double")).alias("v"))
+    keys = [f"k{i}" for i in range(len(block))] + ["dim"]
+    placed = numbered(keyed, keys, ["id"]).withColumn("tile", F.floor(F.col("pos") / tile))
+    tiles = placed.groupBy(*keys, "tile").agg(F.collect_list(F.struct("id", "v")).alias("m"))
+    tiles = tiles.select(*keys, "tile", F.col("m.id").alias("ids"), F.col("m.v").alias("vs"))
+    a, b = tiles.alias("a"), tiles.alias("b")
+    same = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys] + [F.col("a.tile") <= F.col("b.tile")]
+    both = a.join(b, same).select(F.col("a.ids").alias("ia"), F.col("a.vs").alias("va"), F.col("b.ids").alias("ib"), F.col("b.vs").alias("vb"), *[F.col(f"a.{k}").alias(k) for k in keys[:-1]])
+    schema = "a long, b long, s double" + "".join(f", k{i} {t}" for i, t in enumerate(dict(items.dtypes)[c] for c in block))
+    out = both.mapInArrow(_tile_pairs(threshold), schema)
+    return out.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(block)], "a", "b", F.round("s", 6).alias("similarity"))
 
 
 def reason_edges(items: DataFrame, block: Sequence[str], reach: int = 4, conclusion: str = CONCLUSION, link: str = CONCLUSION_LINK) -> DataFrame:

@@ -12,27 +12,35 @@ from ..session import Scratch
 def components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     """The least id reachable from each node over the undirected edges ``a``, ``b``.
 
-    Labels take the least label of their neighbours and then the label of their
-    label, so long chains close in few rounds.  Rounds are written to the shared
-    folder.  Nodes without an edge keep their own id.  Result: ``id``, ``component``.
+    Every node points to a smaller node.  In a round each edge offers the pointer of its
+    far end's pointer to its near end and to the node that one points to, so whole
+    trees hook at once, and all pointers are halved; long chains close in few rounds.
+    Rounds are written to the shared folder.  Nodes without an edge keep their own id.
+    Result: ``id``, ``component``.
     """
     scratch = Scratch(edges.sparkSession, "components")
     fine = edges.filter("a is not null and b is not null and a <> b")
     both = scratch.save(fine.select("a", "b").unionByName(fine.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    label = scratch.save(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m")).select("id", F.least("id", "m").alias("component")), "label")
+    label = scratch.save(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m")).select("id", F.least("id", "m").alias("f")), "label")
     while True:
-        near = both.join(label.select(F.col("id").alias("b"), F.col("component").alias("c")), "b").groupBy(F.col("a").alias("id")).agg(F.min("c").alias("c"))
-        step = label.join(near, "id").select("id", F.least("component", "c").alias("component"))
-        jump = step.join(label.select(F.col("id").alias("component"), F.col("component").alias("root")), "component", "left")
-        fresh = scratch.save(jump.select("id", F.least("component", F.coalesce("root", "component")).alias("component")), "label")
-        moved = fresh.join(label.select("id", F.col("component").alias("old")), "id").filter("component <> old").isEmpty()
-        scratch.drop(label)
-        label = fresh
-        if moved:
+        up = label.join(label.select(F.col("id").alias("f"), F.col("f").alias("g")), "f")
+        up = scratch.save(up.select("id", "f", "g"), "up")
+        offer = both.join(up.select(F.col("id").alias("b"), "g"), "b").groupBy("a").agg(F.min("g").alias("g"))
+        offer = offer.join(label.select(F.col("id").alias("a"), "f"), "a")
+        offer = offer.select(F.explode(F.array(F.struct(F.col("a").alias("id"), "g"), F.struct(F.col("f").alias("id"), "g"))).alias("o")).select("o.id", "o.g")
+        best = offer.groupBy("id").agg(F.min("g").alias("offered"))
+        fresh = up.join(best, "id", "left").select("id", "f", F.least("f", "g", F.coalesce("offered", "f")).alias("now"))
+        fresh = scratch.save(fresh, "label")
+        still = fresh.filter("now <> f").isEmpty()
+        scratch.drop(label, up)
+        label = scratch.load(fresh._colloquy_path, fresh.schema).select("id", F.col("now").alias("f"))
+        label._colloquy_path = fresh._colloquy_path
+        if still:
             break
+    found = label.select("id", F.col("f").alias("component"))
     if nodes is None:
-        return label
-    return nodes.select("id").distinct().join(label, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
+        return found
+    return nodes.select("id").distinct().join(found, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
 
 
 def complete_link(nodes: DataFrame, accepted: DataFrame, block: str) -> DataFrame:

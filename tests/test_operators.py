@@ -172,6 +172,20 @@ def test_vectors(spark):
     assert [r[0] for r in x.select(sigmoid(F.col("x"))).collect()] == [0.5, 1.0, 0.0, None, None]
 
 
+def test_similar_pairs_in_tiles(spark):
+    rng = random.Random(9)
+    data = [(i, rng.choice(["x", None]), [rng.choice([0.0, 1.0]) for _ in range(rng.choice([3, 4]))]) for i in range(60)] + [(90, "x", None), (91, "x", []), (92, "x", [0.0, 0.0, 0.0])]
+    df = spark.createDataFrame(data, "id long, g string, v array<double>")
+
+    def cos(a, b):
+        n = (sum(x * x for x in a) * sum(x * x for x in b)) ** 0.5
+        return sum(x * y for x, y in zip(a, b)) / n if len(a) == len(b) and n else 0.0
+
+    want = sorted((a[0], b[0]) for a, b in itertools.combinations([d for d in data if d[2]], 2) if a[1] == b[1] and cos(a[2], b[2]) >= 0.7)
+    assert rows(dedup.similar_pairs(df, ["g"], "v", 0.7, tile=4).select("a", "b")) == want
+    assert dedup.similar_pairs(df.limit(0), ["g"], "v", 0.7).count() == 0
+
+
 def test_components_and_complete_link(spark):
     rng = random.Random(1)
     edges = [(rng.randint(1, 60), rng.randint(1, 60)) for _ in range(50)] + [(5, 5), (None, 3), (7, 8), (8, 7), (7, 8)]
