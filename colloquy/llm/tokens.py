@@ -5,7 +5,10 @@ from __future__ import annotations
 import base64
 import os
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,8 +19,8 @@ TOKENIZER_DIR = os.environ.get("COLLOQUY_TOKENIZERS", "/opt/tokenizers")
 #: Fixed value: the pattern that splits text before the merges of the byte-level vocabulary.
 #: (?U) gives \s its Unicode meaning, as in the tokenizer.
 PRETOKEN = r"(?U)'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: A word with more than 1/HOT_SHARE of all occurrences is hot: at most HOT_SHARE words, broadcast.
-HOT_SHARE = 20_000
+#: A word with more than 1/HOT_SHARE of all occurrences is hot: fewer than HOT_SHARE words, broadcast.
+HOT_SHARE = 50_000
 
 
 def _ranks(name: str, folder: str) -> dict[bytes, int]:
@@ -37,39 +40,93 @@ def _encoder(name: str, folder: str):
     return encode
 
 
+def _lists(values: pa.Array, counts: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32), values)
+
+
+def _spread(counts: np.ndarray) -> np.ndarray:
+    """0, 1, .. count-1 for each count, one after another."""
+    return np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+
+
+def _hot_joiner(words: list[str], ids: list[list[int]]):
+    """Joins the hot words' ids by position; each other word leaves -1 in ``plain`` and goes to ``cold``, in order."""
+    size = np.array([len(x) for x in ids] + [1], np.int64)
+    first = np.cumsum(size) - size
+    flat = np.array([i for x in ids for i in x] + [-1], np.int32)
+    known = pa.array(words, pa.string())
+
+    def join(batches):
+        for batch in batches:
+            col = batch.column("words")
+            count = np.diff(col.offsets.to_numpy())
+            tokens = col.flatten()
+            at = pc.fill_null(pc.index_in(tokens, value_set=known), len(words)).to_numpy().astype(np.int64)
+            width = size[at]
+            plain = flat[np.repeat(first[at], width) + _spread(width)]
+            rare = at == len(words)
+            ends = np.concatenate([[0], np.cumsum(count)])
+            sums, misses = np.concatenate([[0], np.cumsum(width)]), np.concatenate([[0], np.cumsum(rare)])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), _lists(pa.array(plain), np.diff(sums[ends])), _lists(tokens.filter(pa.array(rare)), np.diff(misses[ends]))],
+                ["doc_id", "plain", "cold"],
+            )
+
+    return join
+
+
+def _splice(batches):
+    """Puts the joined ids of the cold words, in order, where ``plain`` has -1."""
+    for batch in batches:
+        plain, parts = batch.column("plain"), batch.column("parts")
+        flat = plain.flatten().to_numpy()
+        ids = parts.flatten().field("ids")
+        width = np.ones(len(flat), np.int64)
+        width[flat == -1] = np.diff(ids.offsets.to_numpy())
+        out = np.repeat(flat, width)
+        out[out == -1] = ids.flatten().to_numpy()
+        ends = np.concatenate([[0], np.cumsum(np.diff(plain.offsets.to_numpy()))])
+        sums = np.concatenate([[0], np.cumsum(width)])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), _lists(pa.array(out), np.diff(sums[ends]))], ["doc_id", "ids"])
+
+
 def encode_corpus(
     documents: DataFrame, doc_id: str = "doc_id", text: str = "text", vocabulary: str = "byte_bpe_50k", folder: str = TOKENIZER_DIR
 ) -> DataFrame:
     """The token ids of every text, without special tokens.
 
-    Texts are exploded to pre-tokens with positions; each distinct pre-token of
-    the corpus is encoded once; the ids are joined back and put together
-    by position.  A hot word would pull its occurrences into one task of the
-    join, so the at most HOT_SHARE words above 1/HOT_SHARE of all occurrences
-    are joined by broadcast and only the rest by shuffle.  Runs eagerly
-    up to the table of distinct words.
+    Texts are split into pre-tokens with positions; each distinct pre-token of the corpus is
+    encoded once; the ids are joined back and put together by position.  The fewer than
+    HOT_SHARE words above 1/HOT_SHARE of all occurrences, nearly all occurrences of a real
+    corpus, are joined by broadcast where the text lies.  Only the rest is exploded and
+    shuffled by word, where no word is frequent enough to burden a task, and then
+    back to its document.  Runs eagerly up to the hot join.
 
     Defined cases: null and empty texts give an empty list; strings of special
     tokens are ordinary text; a row delivered twice counts once (the id is the
     key of a document); null ids are left out; an empty table gives no rows; other columns are ignored.
     Result: ``doc_id``, ``ids``.
     """
-    spark = documents.sparkSession
-    scratch = Scratch(spark, "tokens")
+    scratch = Scratch(documents.sparkSession, "tokens")
     docs = documents.filter(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    words = docs.select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(PRETOKEN), F.lit(0))).alias("pos", "word"))
-    counts = words.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    if not docs.groupBy("doc_id").count().filter("count > 1").isEmpty():
+        docs = docs.dropDuplicates(["doc_id"])
+    words = F.regexp_extract_all("text", F.lit(PRETOKEN), F.lit(0))
+    counts = docs.select(F.explode(words).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
     distinct = scratch.save(counts.mapInPandas(_encoder(vocabulary, folder), "word string, n long, ids array<int>"), "words")
-    total = distinct.agg(F.sum("n")).first()[0] or 0
-    hot = F.broadcast(distinct.filter(F.col("n") > total // HOT_SHARE).select("word", "ids"))
-    rest = distinct.filter(F.col("n") <= total // HOT_SHARE).select("word", "ids")
-    parts = words.join(hot, "word").unionByName(words.join(hot, "word", "left_anti").join(rest, "word"))
-    parts = parts.select("doc_id", F.struct("pos", "ids").alias("part"))
-    blank = docs.select("doc_id", F.lit(None).cast(parts.schema["part"].dataType).alias("part"))
-    placed = parts.unionByName(blank).groupBy("doc_id").agg(F.array_sort(F.collect_list("part")).alias("parts"))
-    # a second delivery repeats each position next to its first
-    once = F.filter("parts", lambda p, i: (i == 0) | (p["pos"] != F.element_at("parts", i)["pos"]))
-    return placed.select("doc_id", F.flatten(F.transform(once, lambda p: p["ids"])).alias("ids"))
+    cut = (distinct.agg(F.sum("n")).first()[0] or 0) // HOT_SHARE
+    hot = distinct.filter(F.col("n") > cut).select("word", "ids").collect()  # fewer than HOT_SHARE rows
+    rest = distinct.filter(F.col("n") <= cut).select("word", "ids")
+    split = docs.select("doc_id", F.coalesce(words, F.array().cast("array<string>")).alias("words"))
+    join = _hot_joiner([r["word"] for r in hot], [r["ids"] for r in hot])
+    key = documents.schema[doc_id].dataType.simpleString()
+    joined = scratch.save(split.mapInArrow(join, f"doc_id {key}, plain array<int>, cold array<string>"), "joined")
+
+    far = joined.select("doc_id", F.posexplode("cold").alias("pos", "word")).join(rest, "word")
+    parts = far.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "ids"))).alias("parts"))
+    whole = joined.filter(F.size("cold") > 0).select("doc_id", "plain").join(parts, "doc_id")
+    done = whole.mapInArrow(_splice, f"doc_id {key}, ids array<int>")
+    return joined.filter(F.size("cold") == 0).select("doc_id", F.col("plain").alias("ids")).unionByName(done)
 
 
 def token_bytes(spark: SparkSession, vocabulary: str = "byte_bpe_50k", folder: str = TOKENIZER_DIR) -> DataFrame:
