@@ -64,6 +64,43 @@ def resolve_source(signals: DataFrame, turns: DataFrame, need_quote: bool = True
     return signals.select("id").join(found, "id", "left").withColumn("matches", F.coalesce("matches", F.lit(0)))
 
 
+def quote_matches(quotes: DataFrame, turns: DataFrame) -> DataFrame:
+    """How many turns of its transcript hold each quote, and which, if it is only one.
+
+    Containment has no equi-key of its own, so the longest word inside the quote, which the
+    turn must hold as a whole word, serves as one: words of the turns are exploded and joined on
+    (transcript, word), and ``contains`` decides.  Only quotes without an inner word, shorter than three
+    words, meet all turns of their transcript.  Case counts.  Blank quotes match nothing.
+    Result: ``id``, ``matches``, ``turn_id``.
+    """
+    word = F.lit(r"([A-Za-z0-9]+)")
+    q = quotes.select("id", "transcript_id", F.col("advisor_quote").alias("q")).filter(F.col("q").rlike(r"\S"))
+    all_words = F.regexp_extract_all("q", word, F.lit(1))
+    inner = F.slice(all_words, 2, F.greatest(F.size(all_words) - 2, F.lit(0)))
+    longest = F.reduce(inner, F.lit(""), lambda a, w: F.when(F.length(w) > F.length(a), w).otherwise(a))
+    q = q.withColumn("anchor", longest)
+    t = turns.select("transcript_id", F.col("id").alias("turn_id"), "text")
+    held = t.select("*", F.explode(F.array_distinct(F.regexp_extract_all("text", word, F.lit(1)))).alias("anchor"))
+    near = q.filter("anchor <> ''").join(held, ["transcript_id", "anchor"]).select("id", "q", "turn_id", "text")
+    short = q.filter("anchor = ''").join(t, "transcript_id").select("id", "q", "turn_id", "text")
+    hit = near.unionByName(short).filter(F.contains("text", "q"))
+    found = hit.groupBy("id").agg(F.count(F.lit(1)).cast("int").alias("matches"), F.min("turn_id").alias("turn_id"))
+    out = quotes.select("id").join(found, "id", "left").withColumn("matches", F.coalesce("matches", F.lit(0)))
+    return out.select("id", "matches", F.when(F.col("matches") == 1, F.col("turn_id")).alias("turn_id"))
+
+
+def bounded_owner_context(turns: DataFrame, reach: int = 2, owner: str = "advisor", least: float = 0.65) -> DataFrame:
+    """Each reliable turn with the texts of the reliable turns around it, up to ``reach`` a side and stopping at the first other."""
+    sure = reliable(F.col("inferred_role"), F.col("role_confidence"), owner, least)
+    near = with_neighbours(turns.withColumn("own", F.when(sure, F.col("text"))), ["transcript_id"], "pos", ["own"], reach)
+    before, after, ok_b, ok_a = [], [], F.lit(True), F.lit(True)
+    for d in range(1, reach + 1):
+        ok_b, ok_a = ok_b & F.col(f"own_m{d}").isNotNull(), ok_a & F.col(f"own_p{d}").isNotNull()
+        before.insert(0, F.when(ok_b, F.col(f"own_m{d}")))
+        after.append(F.when(ok_a, F.col(f"own_p{d}")))
+    return near.filter("own is not null").select("id", F.concat_ws(" ", *before, "own", *after).alias("context"))
+
+
 def context_window(signals: DataFrame, turns: DataFrame, most: int = 5, include_source: bool = False, need_quote: bool = True) -> DataFrame:
     """The turns around a signal's cited turns, in transcript order, at most ``most``.
 

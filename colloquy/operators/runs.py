@@ -64,3 +64,21 @@ def delete_cascade(tables: dict[str, DataFrame], gone: DataFrame) -> dict[str, D
 def counts_of(rows: DataFrame, group: Sequence[str], column: str, values: Sequence[str]) -> DataFrame:
     """How often each of the fixed values occurs, zeros included."""
     return rows.groupBy(*group).agg(*[F.count_if(F.coalesce(F.col(column) == v, F.lit(False))).alias(v) for v in values])
+
+
+def downstream(elected: DataFrame, finals: DataFrame, group: str) -> DataFrame:
+    """Per candidate its place after deduplication and ranking: elected id, the group's members in id order, selected, rank."""
+    members = elected.groupBy(group).agg(F.array_sort(F.collect_set("id")).alias("member_ids"))
+    chosen = finals.select(F.col("signal_id").alias("id"), "analysis_run_id", "rank")
+    rows = elected.join(members, group).join(chosen, ["id", "analysis_run_id"], "left")
+    relation = F.when(F.col("is_canonical"), "canonical").otherwise("duplicate_of_canonical")
+    return rows.select("analysis_run_id", "id", "canonical_id", relation.alias("relationship"), "member_ids", F.col("rank").isNotNull().alias("selected"), "rank")
+
+
+def integrity(child: DataFrame, parent: DataFrame, key: str, foreign: str) -> DataFrame:
+    """Rows, repeated keys and orphans of a table; what a database would enforce, as one row."""
+    keys = child.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    repeated = keys.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("row_count"), F.count_if(F.col("n") > 1).alias("repeated_keys"))
+    owners = parent.select(F.col("id").alias(foreign)).distinct()
+    orphans = child.filter(F.col(foreign).isNotNull()).join(owners, foreign, "left_anti").agg(F.count(F.lit(1)).alias("orphans"))
+    return repeated.crossJoin(orphans)  # one row by one row

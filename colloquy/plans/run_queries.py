@@ -11,6 +11,7 @@ from . import signal_queries
 from .signal_queries import _ELECT, _order, final_selection
 
 PENDING = "uploaded"
+CHECKED = (("transcript_turns", "id", "transcript_id"), ("candidate_signals", "id", "transcript_id"), ("candidate_signals", "id", "analysis_run_id"), ("analysis_runs", "id", "transcript_id"))
 
 
 def latest_runs(spark, base):
@@ -157,8 +158,23 @@ def diagnostics_listing(spark, base):
                     F.coalesce(F.col("validation_verdict") == "reject", F.lit(False)).alias("rejected"), F.coalesce(F.col("validation_verdict") == "needs_review", F.lit(False)).alias("in_review"))
 
 
+def downstream_snapshots(spark, base):
+    d = runs.downstream(_finals(spark, base), final_selection(spark, base), "duplicate_group_id")
+    return d.withColumn("member_ids", F.array_join(F.transform("member_ids", lambda x: x.cast("string")), ","))
+
+
+def table_integrity(spark, base):
+    parents = {"transcript_id": table(spark, base, "transcripts"), "analysis_run_id": table(spark, base, "analysis_runs")}
+    out = None
+    for name, key, foreign in CHECKED:
+        one = runs.integrity(table(spark, base, name), parents[foreign], key, foreign)
+        one = one.select(F.lit(name).alias("table_name"), F.lit(foreign).alias("foreign_key"), "row_count", "repeated_keys", "orphans")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 QUERIES = {f.__name__: f for f in (
-    latest_runs, latest_completed_runs, run_listing, visible_signals, signal_listing, absent_results, replayed_signals, legacy_runs, backfilled_signals,
+    downstream_snapshots, table_integrity, latest_runs, latest_completed_runs, run_listing, visible_signals, signal_listing, absent_results, replayed_signals, legacy_runs, backfilled_signals,
     backfilled_snapshots, validation_backfill, after_deletion, replaced_finals, supporting_evidence, export_rows, export_lines, stage_usage, usage_totals,
     progress_states, signal_summaries, diagnostics_listing,
 )}
@@ -173,6 +189,13 @@ _SUPPORT = """m as (select a.id as signal_id, list(b.advisor_quote order by b.id
     and a.duplicate_group_id = b.duplicate_group_id and a.analysis_run_id is not distinct from b.analysis_run_id and a.id <> b.id where a.id = a.canon and b.id <> b.canon group by all)"""
 
 SQL = {
+    "downstream_snapshots": f"""with {_ELECT}, fs as ({signal_queries.SQL["final_selection"]}), mm as (select duplicate_group_id, string_agg(cast(id as varchar), ',' order by id) as member_ids from g group by all)
+        select g.analysis_run_id, g.id, g.canon as canonical_id, case when g.id = g.canon then 'canonical' else 'duplicate_of_canonical' end as relationship, mm.member_ids,
+            fs.rank is not null as selected, fs.rank from g join mm using (duplicate_group_id) left join fs on fs.signal_id = g.id and fs.analysis_run_id = g.analysis_run_id""",
+    "table_integrity": " union all ".join(
+        f"""select '{n}' as table_name, '{f}' as foreign_key, (select count(*) from {n}) as row_count, (select count(*) from (select {k} from {n} group by {k} having count(*) > 1)) as repeated_keys,
+        (select count(*) from {n} where {f} is not null and {f} not in (select id from {"transcripts" if f == "transcript_id" else "analysis_runs"})) as orphans""" for n, k, f in CHECKED
+    ),
     "latest_runs": "select transcript_id, id as run_id from analysis_runs qualify row_number() over (partition by transcript_id order by started_at desc, id desc) = 1",
     "latest_completed_runs": "select transcript_id, id as run_id from analysis_runs where status = 'completed' qualify row_number() over (partition by transcript_id order by started_at desc, id desc) = 1",
     "run_listing": "select transcript_id, id, status, run_type, source_run_id, round((epoch_us(completed_at) - epoch_us(started_at)) / 1e6, 2) as seconds from analysis_runs",

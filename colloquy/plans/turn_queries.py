@@ -120,10 +120,27 @@ def status_counts(spark, base):
     return t.groupBy("status").agg(F.count(F.lit(1)).alias("transcripts"), F.max("created_at").alias("newest"))
 
 
+def quote_matches(spark, base):
+    """The third to eighth word of every longer turn, looked up as a quotation in its transcript."""
+    t = turns(spark, base)
+    quotes = t.select("id", "transcript_id", F.regexp_extract("text", r"^\S+ \S+ (\S+ \S+ \S+ \S+ \S+ \S+)", 1).alias("advisor_quote")).filter("advisor_quote <> ''")
+    return ev.quote_matches(quotes, t)
+
+
+def owner_contexts(spark, base):
+    return ev.bounded_owner_context(turns(spark, base))
+
+
+def unparsed_transcripts(spark, base):
+    """Transcripts with text and no stored turns: what parse-or-reuse has to parse."""
+    have = table(spark, base, "transcript_turns").select(F.col("transcript_id").alias("id")).distinct()
+    return table(spark, base, "transcripts").filter("raw_text <> ''").join(have, "id", "left_anti").select("id", "file_name")
+
+
 QUERIES = {f.__name__: f for f in (
     turns_flat, turns_lines, transcript_texts, repaired_documents, upload_checks, turn_batches, batch_hashes, gated_roles, role_histogram,
     owner_neighbourhood, reliable_turns, source_resolution, context_windows, context_texts, completion_turns, procedural_turns,
-    evidence_locator, tagged_neighbours, natural_listing, status_counts,
+    quote_matches, owner_contexts, unparsed_transcripts, evidence_locator, tagged_neighbours, natural_listing, status_counts,
 )}
 
 _BAD = [(b, g) for b, g in tx._broken_forms()]
@@ -198,6 +215,13 @@ SQL = {
             min(b.id) filter (b.timestamp = a.timestamp and a.timestamp <> '') as tm
             from q a join q b on a.transcript_id = b.transcript_id and a.n = b.n and b.inferred_role = 'advisor' where a.n <> '' group by a.id)
         select t.id, case when n = 1 then one when k = 1 then tm end as turn_id from t left join g using (id)""",
+    "quote_matches": f"""with {T}, q as (select id, transcript_id, regexp_extract(text, '^\\S+ \\S+ (\\S+ \\S+ \\S+ \\S+ \\S+ \\S+)', 1) as q from t),
+        g as (select q.id, count(*) as n, min(t.id) as one from q join t on t.transcript_id = q.transcript_id and contains(t.text, q.q) where q.q <> '' group by q.id)
+        select q.id, cast(coalesce(n, 0) as int) as matches, case when n = 1 then one end as turn_id from q left join g using (id) where q.q <> ''""",
+    "owner_contexts": f"""with {T}, o as (select *, case when inferred_role = 'advisor' and role_confidence >= 0.65 then text end as own from t),
+        n as (select id, own, lag(own) over w as m1, lag(own, 2) over w as m2, lead(own) over w as p1, lead(own, 2) over w as p2 from o window w as (partition by transcript_id order by pos))
+        select id, concat_ws(' ', case when m1 is not null then m2 end, m1, own, p1, case when p1 is not null then p2 end) as context from n where own is not null""",
+    "unparsed_transcripts": "select id, file_name from transcripts where raw_text <> '' and id not in (select transcript_id from transcript_turns)",
     "tagged_neighbours": f"""with {T} select transcript_id, pos, id, lag(id) over w as previous_id, lead(id) over w as next_id from t window w as (partition by transcript_id order by pos)""",
     "natural_listing": """select id, file_name, array_to_string([case when regexp_matches(p, '^\\d') then lpad(p, 20, '0') else p end
         for p in regexp_extract_all(lower(file_name), '\\d+|\\D+')], '') as sort_key from transcripts where lower(file_name) like '%call%'""",

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -16,8 +17,8 @@ def table(spark: SparkSession, base: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where the setting is absent (tests, a laptop) a temporary folder is
-    made and set as the checkpoint folder.
+    Only where the setting is absent and the master is local (tests, a laptop) a
+    temporary folder is made and set as the checkpoint folder; a cluster must name one.
     """
     sc = spark.sparkContext
     configured = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
@@ -25,6 +26,8 @@ def shared_dir(spark: SparkSession) -> str:
         return configured.rstrip("/")
     current = sc.getCheckpointDir()
     if current is None:
+        if not re.match(r"local(\[|$)", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="colloquy-"))
         current = sc.getCheckpointDir()
     return current.rstrip("/")
