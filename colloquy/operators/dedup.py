@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.text import like, squeeze, strip
 from .graph import components
 from .sequence import numbered
+from .skew import join_unique
 
 #: Wording of a conclusion, and of its link to reasons.
 CONCLUSION = r"\b(misfit|not (a )?fit|incompatib(le|ility)|does(n't| not) fit|won't work|cannot work|can't work)\b"
@@ -110,11 +111,11 @@ def reason_edges(items: DataFrame, block: Sequence[str], reach: int = 4, conclus
 def elect(items: DataFrame, group: str, order: Sequence[Column], id: str = "id") -> DataFrame:
     """Each item with its group's elected member, the greatest by ``order`` and then the smaller id.
 
-    One combined ``max_by`` per group and a join back; no window over a group.
+    One combined ``max_by`` per group and a join back that splits off hot groups; no window over a group.
     """
     key = F.struct(*[c.alias(f"k{i}") for i, c in enumerate(order)], (-F.col(id)).alias("neg"))
     best = items.groupBy(group).agg(F.max_by(id, key).alias("canonical_id"), F.count(F.lit(1)).alias("members"))
-    return items.join(best, group).withColumn("is_canonical", F.col(id) == F.col("canonical_id"))
+    return join_unique(items, best, group).withColumn("is_canonical", F.col(id) == F.col("canonical_id"))
 
 
 def enrich(elected: DataFrame, group: str) -> DataFrame:

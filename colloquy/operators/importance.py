@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .sequence import numbered
+
 #: Ordinal of each level; the greatest possible sum is 19.
 CENTRALITY = {"decisive": 4, "major": 3, "contributing": 2, "minor": 1, "contextual": 0, "indeterminate": 0}
 PRIORITY = {
@@ -72,4 +74,4 @@ def copeland(pairs: DataFrame, members: DataFrame, group: str) -> DataFrame:
     point = F.when(F.col("winner").isNull(), 0.5).when(F.col("winner") == F.col("candidate_id"), 1.0).otherwise(0.0)
     wins = sides.groupBy(group, "candidate_id").agg(F.sum(point).alias("wins"))
     all_ = members.select(group, "candidate_id").distinct().join(wins, [group, "candidate_id"], "left").na.fill(0.0, ["wins"])
-    return all_.withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy(F.desc("wins"), "candidate_id")))
+    return numbered(all_, [group], [F.desc("wins"), F.col("candidate_id")], "rank").withColumn("rank", F.col("rank") + 1)

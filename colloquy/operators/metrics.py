@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .sequence import running
+
 MISSING = "__missing__"
 
 
@@ -73,17 +75,17 @@ def multilabel(rows: DataFrame, actual: str, guess: str) -> DataFrame:
 def at_thresholds(rows: DataFrame, label: str, score: str, extra: Sequence[float] = (0.0, 1.0)) -> DataFrame:
     """Binary counts and metrics at every distinct score and the extra thresholds, ``score >= t`` being positive.
 
-    Scores are counted per value first, so the running sums go over distinct values; thresholds never
-    meet all rows.
+    Scores are counted per value first, so the distributed running sums go over distinct values; thresholds
+    never meet all rows.
     """
     fine = rows.filter(F.col(label).isNotNull() & F.col(score).isNotNull() & ~F.isnan(score))
     counted = fine.groupBy(F.col(score).cast("double").alias("t")).agg(F.count_if(F.col(label)).alias("pos"), F.count_if(~F.col(label)).alias("neg"))
     spark = rows.sparkSession
     ends = spark.createDataFrame([(float(x), 0, 0) for x in extra], "t double, pos long, neg long")
     counted = counted.unionByName(ends).groupBy("t").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    down = Window.orderBy(F.desc("t")).rowsBetween(Window.unboundedPreceding, 0)
-    all_ = Window.orderBy(F.desc("t")).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    c = counted.select("t", F.sum("pos").over(down).alias("tp"), F.sum("neg").over(down).alias("fp"), F.sum("pos").over(all_).alias("p"), F.sum("neg").over(all_).alias("n"), F.col("pos").alias("at_pos"))
+    all_ = counted.agg(F.coalesce(F.sum("pos"), F.lit(0)).alias("p"), F.coalesce(F.sum("neg"), F.lit(0)).alias("n")).first()
+    c = running(counted, [], [F.desc("t")], ["pos", "neg"])
+    c = c.select("t", F.col("pos_cum").alias("tp"), F.col("neg_cum").alias("fp"), F.lit(all_["p"]).alias("p"), F.lit(all_["n"]).alias("n"), F.col("pos").alias("at_pos"))
     tp, fp = F.col("tp"), F.col("fp")
     pr, rc = ratio(tp, tp + fp), ratio(tp, F.col("p"))
     return c.select(
@@ -119,41 +121,56 @@ def nearest_rank(rows: DataFrame, by: Sequence[str], value: str, shares: Sequenc
     return rows.groupBy(*by).agg(*[F.expr(f"percentile_disc({p}) within group (order by {value})").alias(f"p{int(p * 100)}") for p in shares])
 
 
-def tie_rank(column: str, group: Sequence[str]) -> Column:
-    """Mean rank of equal values."""
-    w = Window.partitionBy(*group)
-    return F.rank().over(w.orderBy(column)) + (F.count(F.lit(1)).over(w.partitionBy(*group, column)) - 1) / 2.0
+def tie_ranks(rows: DataFrame, group: Sequence[str], column: str, name: str) -> DataFrame:
+    """Per group and value the mean rank of the rows that have it, from counts per value and their running sums."""
+    counted = rows.groupBy(*group, column).agg(F.count(F.lit(1)).alias("n"))
+    cum = running(counted, group, [F.col(column)], ["n"])
+    return cum.select(*group, column, (F.col("n_cum") - (F.col("n") - 1) / 2.0).alias(name))
 
 
 def spearman(rows: DataFrame, group: Sequence[str], x: str, y: str) -> DataFrame:
     """Pearson over mean ranks; 0 where one side does not vary or a group has one row."""
-    ranked = rows.select(*group, tie_rank(x, group).alias("rx"), tie_rank(y, group).alias("ry"))
-    c = ranked.groupBy(*group).agg(
-        F.covar_pop("rx", "ry").alias("c"), (F.stddev_pop("rx") * F.stddev_pop("ry")).alias("v"), F.count(F.lit(1)).alias("n")
-    )
-    return c.select(*group, "n", ratio(F.col("c"), F.col("v")).alias("spearman"))
+    pairs = rows.groupBy(*group, x, y).agg(F.count(F.lit(1)).alias("w"))
+    ranked = pairs.join(tie_ranks(rows, group, x, "rx"), [*group, x]).join(tie_ranks(rows, group, y, "ry"), [*group, y])
+    w, rx, ry = F.col("w"), F.col("rx"), F.col("ry")
+    m = ranked.groupBy(*group).agg(F.sum("w").alias("n"), *[F.sum(w * c).alias(k) for k, c in (("x", rx), ("y", ry), ("xx", rx * rx), ("yy", ry * ry), ("xy", rx * ry))])
+    n = F.col("n")
+    cov, vx, vy = n * F.col("xy") - F.col("x") * F.col("y"), n * F.col("xx") - F.col("x") ** 2, n * F.col("yy") - F.col("y") ** 2
+    return m.select(*group, "n", ratio(cov, F.sqrt(F.greatest(vx * vy, F.lit(0.0)))).alias("spearman"))
 
 
-def kendall(rows: DataFrame, group: Sequence[str], id: str, x: str, y: str) -> DataFrame:
-    """(concordant - discordant) / both, pairs tied on a side left out; rows of a group are ranked items of one list."""
-    a, b = rows.alias("a"), rows.alias("b")
-    same = [F.col(f"a.{g}") == F.col(f"b.{g}") for g in group]
-    sign = F.signum((F.col(f"a.{x}") - F.col(f"b.{x}")) * (F.col(f"a.{y}") - F.col(f"b.{y}")))
-    pairs = a.join(b, [*same, F.col(f"a.{id}") < F.col(f"b.{id}")]).select(*[F.col(f"a.{g}").alias(g) for g in group], sign.alias("s"))
-    return pairs.groupBy(*group).agg(ratio(F.sum("s"), F.sum(F.abs("s"))).alias("kendall"))
+def kendall(rows: DataFrame, group: Sequence[str], x: str, y: str) -> DataFrame:
+    """(concordant - discordant) / both, pairs tied on a side left out; x holds integers from 0 to 2^31.
+
+    No pairs are listed.  Two values of x differ first at one bit below a common prefix; so for
+    each bit the rows are counted by (prefix, y) and each bit value, and running sums in y order tell how
+    many of the other value come before.  That is rows times bits of work, spread by (group, bit, prefix).
+    """
+    top = rows.agg(F.max(x)).first()[0] or 0
+    bits = F.explode(F.sequence(F.lit(0), F.lit(max(0, int(top).bit_length() - 1)))).alias("bit")
+    spread = rows.select(*group, F.col(x).cast("long").alias("x"), F.col(y).alias("y"), bits)
+    one = F.expr("shiftright(x, bit) & 1")
+    counted = spread.groupBy(*group, "bit", F.expr("shiftright(x, bit + 1)").alias("prefix"), "y").agg(F.sum(one).alias("ones"), F.sum(1 - one).alias("zeros"))
+    cum = running(counted, [*group, "bit", "prefix"], [F.col("y")], ["ones", "zeros"])
+    c = F.sum(F.col("ones") * (F.col("zeros_cum") - F.col("zeros")))
+    d = F.sum(F.col("zeros") * (F.col("ones_cum") - F.col("ones")))
+    return cum.groupBy(*group).agg(c.alias("c"), d.alias("d")).select(*group, ratio(F.col("c") - F.col("d"), F.col("c") + F.col("d")).alias("kendall"))
 
 
 def ranking_quality(rows: DataFrame, group: Sequence[str], expert: str, predicted: str) -> DataFrame:
-    """NDCG (gain 2^rel - 1), reciprocal rank of the expert's first, top-1 and top-3 hits per group; both columns are ranks from 1."""
-    n = F.count(F.lit(1)).over(Window.partitionBy(*group))
-    rel = rows.select(*group, F.col(expert).alias("e"), F.col(predicted).alias("p"), n.alias("n"))
-    gain = F.pow(F.lit(2.0), F.col("n") - F.col("e") + 1) - 1
-    agg = rel.groupBy(*group).agg(
-        F.sum(gain / F.log2(F.col("p") + 1)).alias("dcg"), F.sum(gain / F.log2(F.col("e") + 1)).alias("ideal"),
-        F.min(F.when(F.col("e") == 1, F.col("p"))).alias("first"),
-    )
+    """NDCG (gain 2^rel - 1), reciprocal rank of the expert's first, top-1 and top-3 hits per group; both columns are ranks from 1.
+
+    rel is n + 1 - expert; 2^(n + 1) is taken out of the sums, so one aggregate does without a window.
+    """
+    e, p = F.col(expert), F.col(predicted)
+
+    def sums(at: Column) -> tuple[Column, Column]:
+        return F.sum(F.pow(F.lit(2.0), -e) / F.log2(at + 1)), F.sum(1 / F.log2(at + 1))
+
+    (a, b), (c, d) = sums(p), sums(e)
+    agg = rows.groupBy(*group).agg(F.pow(F.lit(2.0), F.count(F.lit(1)) + 1).alias("k"), a.alias("a"), b.alias("b"), c.alias("c"), d.alias("d"), F.min(F.when(e == 1, p)).alias("first"))
     return agg.select(
-        *group, ratio(F.col("dcg"), F.col("ideal")).alias("ndcg"), ratio(F.lit(1), F.col("first")).alias("mrr"),
+        *group, ratio(F.col("k") * F.col("a") - F.col("b"), F.col("k") * F.col("c") - F.col("d")).alias("ndcg"), ratio(F.lit(1), F.col("first")).alias("mrr"),
         (F.col("first") == 1).cast("double").alias("top1"), (F.col("first") <= 3).cast("double").alias("top3"),
     )
 

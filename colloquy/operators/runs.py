@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .skew import join_unique
+
 
 def latest_run(runs: DataFrame, completed_only: bool = False) -> DataFrame:
     """The run of each transcript that started last, of equals the greater id."""
@@ -16,7 +18,7 @@ def latest_run(runs: DataFrame, completed_only: bool = False) -> DataFrame:
 
 def visible(rows: DataFrame, latest: DataFrame, run: str = "analysis_run_id") -> DataFrame:
     """Rows of their transcript's latest run; where it has none, the rows without a run."""
-    joined = rows.join(latest, "transcript_id", "left")
+    joined = join_unique(rows, latest, "transcript_id", "left")
     mine = F.col(run) == F.col("run_id")
     return joined.filter(F.when(F.col("run_id").isNotNull(), mine).otherwise(F.col(run).isNull())).drop("run_id")
 
@@ -52,7 +54,7 @@ def legacy_runs(transcripts: DataFrame, rows: DataFrame, runs: DataFrame) -> Dat
 def backfill_run(rows: DataFrame, legacy: DataFrame) -> DataFrame:
     """Null run ids replaced by the transcript's legacy run where that exists."""
     owner = legacy.select("transcript_id", F.col("id").alias("legacy_id"))
-    return rows.join(owner, "transcript_id", "left").withColumn("analysis_run_id", F.coalesce("analysis_run_id", "legacy_id")).drop("legacy_id")
+    return join_unique(rows, owner, "transcript_id", "left").withColumn("analysis_run_id", F.coalesce("analysis_run_id", "legacy_id")).drop("legacy_id")
 
 
 def delete_cascade(tables: dict[str, DataFrame], gone: DataFrame) -> dict[str, DataFrame]:
@@ -67,10 +69,14 @@ def counts_of(rows: DataFrame, group: Sequence[str], column: str, values: Sequen
 
 
 def downstream(elected: DataFrame, finals: DataFrame, group: str) -> DataFrame:
-    """Per candidate its place after deduplication and ranking: elected id, the group's members in id order, selected, rank."""
+    """Per candidate its place after deduplication and ranking: elected id, relationship, selected, rank.
+
+    The members of a group, in id order, stand with its elected member only; with each of them they
+    would be the square of the group.
+    """
     members = elected.groupBy(group).agg(F.array_sort(F.collect_set("id")).alias("member_ids"))
     chosen = finals.select(F.col("signal_id").alias("id"), "analysis_run_id", "rank")
-    rows = elected.join(members, group).join(chosen, ["id", "analysis_run_id"], "left")
+    rows = elected.join(members.withColumn("is_canonical", F.lit(True)), [group, "is_canonical"], "left").join(chosen, ["id", "analysis_run_id"], "left")
     relation = F.when(F.col("is_canonical"), "canonical").otherwise("duplicate_of_canonical")
     return rows.select("analysis_run_id", "id", "canonical_id", relation.alias("relationship"), "member_ids", F.col("rank").isNotNull().alias("selected"), "rank")
 

@@ -36,6 +36,26 @@ def numbered(df: DataFrame, group: Sequence[str], order: Sequence[str | Column],
     return joined.select(*df.columns, value.alias(name))
 
 
+def running(df: DataFrame, group: Sequence[str], order: Sequence[Column], sums: Sequence[str]) -> DataFrame:
+    """Running sums inside each group, the row itself included, as ``<column>_cum``; ``order`` must not tie.
+
+    As in ``numbered`` the rows are range-sorted on (group, order); each partition sums its own rows and
+    one row per (group, partition) carries the offsets, so neither a hot group nor a single
+    group over everything is one task.  Runs eagerly.
+    """
+    scratch = Scratch(df.sparkSession, "running")
+    by = [*[F.col(g) for g in group], *order]
+    placed = scratch.save(df.repartitionByRange(*by).withColumn("__part", F.spark_partition_id()), "placed")
+    pieces = placed.groupBy(*group, "__part").agg(*[F.sum(c).alias(f"__t_{c}") for c in sums])
+    before = Window.partitionBy(*group).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    pieces = pieces.select(*[F.col(g).alias(f"__g{i}") for i, g in enumerate(group)], F.col("__part").alias("__p"),
+                           *[F.coalesce(F.sum(f"__t_{c}").over(before), F.lit(0)).alias(f"__skip_{c}") for c in sums])
+    inside = Window.partitionBy(*group, "__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    own = placed.select("*", *[F.sum(c).over(inside).alias(f"__own_{c}") for c in sums])
+    on = [F.col(g).eqNullSafe(F.col(f"__g{i}")) for i, g in enumerate(group)] + [F.col("__part") == F.col("__p")]
+    return own.join(pieces, on).select(*df.columns, *[(F.col(f"__own_{c}") + F.col(f"__skip_{c}")).alias(f"{c}_cum") for c in sums])
+
+
 def with_neighbours(df: DataFrame, group: Sequence[str], pos: str, columns: Sequence[str], reach: int = 1) -> DataFrame:
     """Each row with the values of its neighbours: ``column_m1`` is one before, ``column_p1`` one after.
 

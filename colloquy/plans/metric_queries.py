@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import metrics, ranking
+from ..operators.sequence import numbered
 from ..session import table
 from .base import R, results
 from .signal_queries import _LEVEL, _TIER, structured_levels
@@ -74,8 +75,9 @@ def order_sensitivity(spark, base):
 def _ranked(spark, base):
     """Per run two rankings of the same candidates, both without ties: by the model's score and by mentions, then id."""
     r = results(spark, base).select(F.col("analysis_run_id").alias("run"), F.col("candidate_id").alias("id"), "direct_model_score", "mention_count")
-    w = ranking.Window.partitionBy("run")
-    return r.select("run", "id", F.row_number().over(w.orderBy(F.desc("direct_model_score"), "id")).alias("expert"), F.row_number().over(w.orderBy(F.desc("mention_count"), "id")).alias("guess"), "direct_model_score", "mention_count")
+    r = numbered(r, ["run"], [F.desc("direct_model_score"), F.col("id")], "expert")
+    r = numbered(r, ["run"], [F.desc("mention_count"), F.col("id")], "guess")
+    return r.withColumn("expert", F.col("expert") + 1).withColumn("guess", F.col("guess") + 1)
 
 
 def rank_spearman(spark, base):
@@ -84,7 +86,7 @@ def rank_spearman(spark, base):
 
 
 def rank_kendall(spark, base):
-    return metrics.kendall(_ranked(spark, base), ["run"], "id", "expert", "guess").select("run", F.round("kendall", 9).alias("kendall"))
+    return metrics.kendall(_ranked(spark, base), ["run"], "expert", "guess").select("run", F.round("kendall", 9).alias("kendall"))
 
 
 def rank_quality(spark, base):
@@ -176,8 +178,8 @@ SQL = {
     "rank_spearman": f"""with {_RANKED}, q as (select run, rank() over (partition by run order by d) + (count(*) over (partition by run, d) - 1) / 2.0::double as rx,
         rank() over (partition by run order by m) + (count(*) over (partition by run, m) - 1) / 2.0::double as ry from k)
         select run, count(*) as n, round(case when count(*) < 2 or var_pop(rx) = 0 or var_pop(ry) = 0 then 0.0 else corr(rx, ry) end, 6) as spearman from q group by run""",
-    "rank_kendall": f"""with {_RANKED} select a.run, round(sum(sign((a.expert - b.expert) * (a.guess - b.guess))) / sum(abs(sign((a.expert - b.expert) * (a.guess - b.guess)))), 9) as kendall
-        from k a join k b on a.run = b.run and a.id < b.id group by a.run""",
+    "rank_kendall": f"""with {_RANKED} select a.run, round(case when count(b.id) = 0 then 0.0 else sum(sign((a.expert - b.expert) * (a.guess - b.guess))) / sum(abs(sign((a.expert - b.expert) * (a.guess - b.guess)))) end, 9) as kendall
+        from k a left join k b on a.run = b.run and a.id < b.id group by a.run""",
     "rank_quality": f"""with {_RANKED}, f as (select run, min(guess) filter (expert = 1) as g from k group by run)
         select run, round(1.0::double / g, 6) as mrr, cast(g = 1 as double) as top1, cast(g <= 3 as double) as top3 from f""",
     "rank_ndcg": f"""with {_RANKED}, t as (select run, expert, row_number() over (partition by run order by guess) as g, count(*) over (partition by run) as n from k where expert <= 10)

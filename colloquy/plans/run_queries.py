@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import dedup, export, runs, telemetry
+from ..operators.skew import join_unique
 from ..session import table
 from .base import R, S, T, results, signals
 from . import signal_queries
@@ -36,7 +37,7 @@ def visible_signals(spark, base):
 def signal_listing(spark, base):
     """Signals of the latest completed run, of all runs where there is none, with their last score if any."""
     latest = runs.latest_run(table(spark, base, "analysis_runs"), completed_only=True)
-    s = signals(spark, base).join(latest, "transcript_id", "left").filter("run_id is null or analysis_run_id = run_id")
+    s = join_unique(signals(spark, base), latest, "transcript_id", "left").filter("run_id is null or analysis_run_id = run_id")
     r = results(spark, base).select(F.col("candidate_id").alias("id"), "analysis_run_id", "structured_score", "validation_verdict")
     return s.join(r, ["id", "analysis_run_id"], "left").select("id", "transcript_id", "item_type", F.nanvl("structured_score", F.lit(None).cast("double")).alias("structured_score"), "validation_verdict")
 
@@ -190,7 +191,7 @@ _SUPPORT = """m as (select a.id as signal_id, list(b.advisor_quote order by b.id
 
 SQL = {
     "downstream_snapshots": f"""with {_ELECT}, fs as ({signal_queries.SQL["final_selection"]}), mm as (select duplicate_group_id, string_agg(cast(id as varchar), ',' order by id) as member_ids from g group by all)
-        select g.analysis_run_id, g.id, g.canon as canonical_id, case when g.id = g.canon then 'canonical' else 'duplicate_of_canonical' end as relationship, mm.member_ids,
+        select g.analysis_run_id, g.id, g.canon as canonical_id, case when g.id = g.canon then 'canonical' else 'duplicate_of_canonical' end as relationship, case when g.id = g.canon then mm.member_ids end as member_ids,
             fs.rank is not null as selected, fs.rank from g join mm using (duplicate_group_id) left join fs on fs.signal_id = g.id and fs.analysis_run_id = g.analysis_run_id""",
     "table_integrity": " union all ".join(
         f"""select '{n}' as table_name, '{f}' as foreign_key, (select count(*) from {n}) as row_count, (select count(*) from (select {k} from {n} group by {k} having count(*) > 1)) as repeated_keys,

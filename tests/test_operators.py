@@ -4,11 +4,12 @@ import itertools
 import random
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from colloquy.functions import text as tx
 from colloquy.functions.vectors import cosine, sigmoid
-from colloquy.operators import dedup, evidence, export, graph, importance, metrics, ranking, rules, runs, segmentation, sequence, telemetry, views
+from colloquy.operators import dedup, evidence, export, graph, importance, metrics, ranking, rules, runs, segmentation, sequence, skew, telemetry, views
 from colloquy.sources import files
 
 
@@ -285,13 +286,47 @@ def test_rank_correlations(spark):
     rng = random.Random(2)
     data = [(g, i, rng.randint(1, 4), rng.randint(1, 4)) for g in (1, 2) for i in range(8)] + [(3, 0, 1, 1)]
     df = spark.createDataFrame(data, "g int, id int, x int, y int")
-    got = {r.g: r.kendall for r in metrics.kendall(df, ["g"], "id", "x", "y").collect()}
+    got = {r.g: r.kendall for r in metrics.kendall(df, ["g"], "x", "y").collect()}
     for g in (1, 2):
         rows_ = [d for d in data if d[0] == g]
         s = [(a[2] - b[2]) * (a[3] - b[3]) for a, b in itertools.combinations(rows_, 2)]
         c, d = sum(v > 0 for v in s), sum(v < 0 for v in s)
         assert abs(got[g] - ((c - d) / (c + d) if c + d else 0)) < 1e-12
-    assert {r.g: r.spearman for r in metrics.spearman(df, ["g"], "x", "y").collect()}[3] == 0.0
+    rho = {r.g: r.spearman for r in metrics.spearman(df, ["g"], "x", "y").collect()}
+    assert rho[3] == 0.0
+
+    def mean_ranks(v):
+        return [sum(u < a for u in v) + (sum(u == a for u in v) + 1) / 2 for a in v]
+
+    for g in (1, 2):
+        x, y = (mean_ranks([d[k] for d in data if d[0] == g]) for k in (2, 3))
+        mx, my = sum(x) / len(x), sum(y) / len(y)
+        want = sum((a - mx) * (b - my) for a, b in zip(x, y)) / (sum((a - mx) ** 2 for a in x) * sum((b - my) ** 2 for b in y)) ** 0.5
+        assert abs(rho[g] - want) < 1e-9
+
+
+def test_running_sums(spark):
+    rng = random.Random(11)
+    data = [(rng.choice([1, 1, 1, None]), i, rng.randint(-3, 9)) for i in range(500)]
+    df = spark.createDataFrame(data, "g int, k int, v long")
+    got = {(r.g, r.k): r.v_cum for r in sequence.running(df, ["g"], [F.col("k")], ["v"]).collect()}
+    for g in (1, None):
+        total = 0
+        for _, k, v in [d for d in data if d[0] == g]:
+            total += v
+            assert got[g, k] == total
+    assert sequence.running(df.limit(0), [], [F.col("k")], ["v"]).count() == 0
+
+
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_join_unique_with_hot_and_missing_keys(spark, monkeypatch, how):
+    monkeypatch.setattr(skew, "HOT_LEAST", 3)
+    monkeypatch.setattr(skew, "HOT_SHARE", 4)
+    big = spark.createDataFrame([(1, i) for i in range(9)] + [(2, 20), (3, 30)] + [(None, 40 + i) for i in range(9)], "k int, v int")
+    small = spark.createDataFrame([(1, "a"), (2, "b"), (None, "never")], "k int, s string")
+    got = sorted((r.v, r.s) for r in skew.join_unique(big, small, "k", how).collect())
+    want = [(i, "a") for i in range(9)] + [(20, "b")] + ([(30, None)] + [(40 + i, None) for i in range(9)] if how == "left" else [])
+    assert got == want
 
 
 def test_views_and_export(spark, tmp_path):
