@@ -57,7 +57,7 @@ def line_segments(docs: DataFrame, doc_id: str = "id", text: str = "raw_text") -
     lines, a pending time the last one since; both are windows over a document's lines.
     """
     line = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("raw")).filter(F.col("raw").isNotNull() & ~F.col("raw").rlike(BOUNDARY))
-    line = line.select("doc_id", F.posexplode(F.split("raw", r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]")).alias("n", "line"))
+    line = line.select("doc_id", F.posexplode(F.split("raw", r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]")).alias("n", "line"))
     line = line.withColumn("line", strip(F.col("line"))).filter(F.col("line") != "")
     a = rf"^({TIME})\s+([^:]{{1,100}}):\s*(.*)$"
     b = rf"^(.+?)\s+({TIME})\s*:?[ \t]*$"
