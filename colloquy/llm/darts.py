@@ -303,6 +303,7 @@ def near_duplicates(
     met = met.join(sketch.select(F.col("id").alias("b"), F.col("s0").alias("b0"), F.col("s1").alias("b1")), "b")
     apart = F.bit_count(F.col("a0").bitwiseXOR(F.col("b0"))) + F.bit_count(F.col("a1").bitwiseXOR(F.col("b1")))
     met = scratch.save(met.filter(apart <= slack).select("a", "b").distinct(), "met")
+    scratch.drop(signed)
 
     pairs = met.join(base.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
     pairs = pairs.join(base.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")

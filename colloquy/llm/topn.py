@@ -138,6 +138,7 @@ def top_n_per_group(
         if left.isEmpty():
             break
         done, step = done + step, step * 2
+    scratch.drop(clustered, catalog)
     ranked = kept.withColumn("place", F.row_number().over(best))
     return ranked.select(*[F.col(a).alias(g) for g, a in zip(groups, gcols)], "place", F.col("key").alias(key), F.col("score").alias(score))
 

@@ -273,6 +273,7 @@ def speaker_turns(transcripts: DataFrame, stored: DataFrame, participants: DataF
     before = along.rowsBetween(Window.unboundedPreceding, -1)
     shift = F.coalesce(F.sum("n").over(before), F.lit(0)) - F.sum("joins").over(along)
     parts = scratch.save(parts.withColumn("shift", shift).select("t", "pid", "shift"), "pieces")
+    scratch.drop(all_, keyed)
     placed = runs.join(F.broadcast(parts), ["t", "pid"])
     whole = (
         placed.groupBy("t", (F.col("run") + F.col("shift")).alias("turn"))
