@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import metrics, ranking
+from ..operators import metrics, ranking, rules
 from ..operators.sequence import numbered
 from ..session import table
-from .base import R, results
-from .signal_queries import _LEVEL, _TIER, structured_levels
+from .base import R, S, results, signals
+from .signal_queries import _FIRST_BAD, _LEVEL, _TIER, _hard, structured_levels
 
 
 def _tiers(spark, base):
@@ -131,8 +131,31 @@ def dataset_invariants(spark, base):
                                   F.count_if(F.col("text").isNull() | (F.trim("text") == "")).alias("blank"))
 
 
+FIELDS = ("importance_tier", "decision_centrality", "priority_expression")
+
+
+def rescoring_fields(spark, base):
+    """How far the last scoring of a candidate agrees with its first, field by field."""
+    r = table(spark, base, "importance_results").groupBy("analysis_run_id", "candidate_id").agg(
+        F.count_distinct("scored_at").alias("times"),
+        *[f(F.col(c), F.struct("scored_at", c)).alias(f"{k}_{c}") for c in FIELDS for k, f in (("first", F.min_by), ("last", F.max_by))],
+    ).filter("times > 1")
+    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.col(f"first_{c}").alias("actual"), F.col(f"last_{c}").alias("guess")) for c in FIELDS]))
+    out = metrics.report(r.select(pairs.alias("p")).select("p.*"), "actual", "guess", ["field"])
+    return out.select("field", "count", *[F.round(c, 9).alias(c) for c in ("accuracy", "macro_precision", "macro_recall", "macro_f1")])
+
+
+def precheck_attribution(spark, base):
+    """Per reason of the hard rules: how many candidates it settles, and how many of those the stored verdict rejects too."""
+    s = signals(spark, base).select("id", "analysis_run_id", rules.first_reason(_hard()).alias("reason"))
+    r = results(spark, base).select(F.col("candidate_id").alias("id"), "analysis_run_id", "validation_verdict")
+    j = s.filter("reason is not null").join(r.filter("validation_verdict is not null"), ["id", "analysis_run_id"])
+    agree = F.count_if(F.col("validation_verdict") == "reject")
+    return j.groupBy("reason").agg(F.count(F.lit(1)).alias("resolved"), agree.alias("agreed"), F.round(metrics.ratio(agree, F.count(F.lit(1))), 9).alias("precision"))
+
+
 QUERIES = {f.__name__: f for f in (
-    tier_confusion, tier_classes, tier_report, label_sets, score_thresholds, merge_threshold, average_precision, eval_split, value_percentiles, order_sensitivity,
+    rescoring_fields, precheck_attribution, tier_confusion, tier_classes, tier_report, label_sets, score_thresholds, merge_threshold, average_precision, eval_split, value_percentiles, order_sensitivity,
     rank_spearman, rank_kendall, rank_quality, rank_ndcg, score_errors, even_sample, baseline_tops, dataset_invariants,
 )}
 
@@ -152,7 +175,23 @@ _RANKED = f"""{R}, k as (select analysis_run_id as run, candidate_id as id, dire
     row_number() over (partition by analysis_run_id order by direct_model_score desc, candidate_id) as expert,
     row_number() over (partition by analysis_run_id order by mention_count desc, candidate_id) as guess from r)"""
 
+_RESCORED = """g as (select analysis_run_id, candidate_id, {pick} from importance_results group by all having count(distinct scored_at) > 1),
+    x as ({rows}), y as (select distinct field, unnest([actual, guess]) as label from x),
+    z as (select field, label, (select count(*) from x where x.field = y.field and actual = label and guess = label) as tp, (select count(*) from x where x.field = y.field and guess = label) as named,
+        (select count(*) from x where x.field = y.field and actual = label) as support from y),
+    pr as (select field, case when named = 0 then 0.0 else tp / named end as p, case when support = 0 then 0.0 else tp / support end as r from z),
+    m as (select field, avg(p) as mp, avg(r) as mr, avg(case when p + r = 0 then 0.0 else 2 * p * r / (p + r) end) as mf from pr group by all)""".format(
+    pick=", ".join(f"arg_min({c}, struct_pack(a := scored_at, b := {c})) as f_{c}, arg_max({c}, struct_pack(a := scored_at, b := {c})) as l_{c}" for c in FIELDS),
+    rows=" union all ".join(f"select '{c}' as field, f_{c} as actual, l_{c} as guess from g" for c in FIELDS),
+)
+
 SQL = {
+    "rescoring_fields": f"""with {_RESCORED} select x.field, count(*) as count, round(count(*) filter (actual = guess) / count(*), 9) as accuracy, round(any_value(mp), 9) as macro_precision,
+        round(any_value(mr), 9) as macro_recall, round(any_value(mf), 9) as macro_f1 from x join m using (field) group by all""",
+    "precheck_attribution": f"""with {S}, {R}, b as (select id, analysis_run_id, case when item_type = 'no_signal' then 'no_signal'
+            when coalesce(trim(rationale), '') = '' or coalesce(len(source_turn_ids) <> len(list_distinct(source_turn_ids)), false) then 'malformed_candidate' else 'invalid_confidence' end as reason from s where {_FIRST_BAD})
+        select reason, count(*) as resolved, count(*) filter (validation_verdict = 'reject') as agreed, round(count(*) filter (validation_verdict = 'reject') / count(*), 9) as precision
+        from b join r on r.candidate_id = b.id and r.analysis_run_id = b.analysis_run_id where validation_verdict is not null group by all""",
     "tier_confusion": f"with {_TIERS} select actual, coalesce(guess, '__missing__') as guess, count(*) as n from x group by all",
     "tier_classes": f"with {_CLASSES} select item_type, label, support, precision, recall, f1 from cl",
     "tier_report": f"""with {_CLASSES}, a as (select item_type, count(*) as count, count(*) filter (actual = guess) / count(*) as accuracy, count(*) filter (guess is null) / count(*) as missing_rate from x group by all)
