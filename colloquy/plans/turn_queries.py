@@ -167,7 +167,24 @@ _WINDOW = """n as (select transcript_id, pos, raw_speaker_label as l0, lag(raw_s
     k as (select t.*, e.id as sid, row_number() over (partition by e.id order by t.pos) as rn from e join t on t.transcript_id = e.transcript_id
         and (t.pos in (e.a - 1, e.b + 1) or list_contains({own}, t.pos) or (e.back and t.pos = e.a - 2) or (e.ahead and t.pos = e.b + 2)))"""
 
+_SPEAKER = "trim({0}) <> '' and len(string_split_regex(trim({0}), '\\s+')) <= 8 and not regexp_matches({0}, '[.!?]')"
+_PA, _PB, _PD = r"^(\d{1,2}:\d{2}:\d{2})\s+([^:]{1,100}):\s*(.*)$", r"^(.+?)\s+(\d{1,2}:\d{2}:\d{2})\s*:?[ \t]*$", r"^([^:]{1,100}):\s*(.*)$"
+
 SQL = {
+    "turns_lines": rf"""with d as (select id, string_split_regex(raw_text, '\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{{85}}\x{{2028}}\x{{2029}}]') as a from transcripts where not regexp_matches(raw_text, '{BOUNDARY}')),
+        l as (select id, n, regexp_replace(a[n], '^\s+|\s+$', '', 'g') as s from (select id, a, unnest(range(1, len(a) + 1)) as n from d)),
+        e as (select *, regexp_extract(s, '{_PA}', ['t', 'w', 'x']) as pa, regexp_extract(s, '{_PB}', ['w', 't']) as pb, regexp_extract(s, '{_PD}', ['w', 'x']) as pd from l where s <> ''),
+        k as (select *, case when regexp_matches(s, '{_PA}') and {_SPEAKER.format("pa.w")} then 'a' when regexp_matches(s, '{_PB}') and {_SPEAKER.format("pb.w")} then 'b'
+            when regexp_matches(s, '^\d{{1,2}}:\d{{2}}:\d{{2}}$') then 'c' when regexp_matches(s, '{_PD}') and {_SPEAKER.format("pd.w")} then 'd' else 'e' end as k0 from e),
+        f as (select id, n, case when k0 in ('a', 'd') and lower(trim(case k0 when 'a' then pa.w else pd.w end)) in {segmentation.METADATA} then 'm' else k0 end as kind,
+            case k0 when 'a' then pa.w when 'b' then pb.w when 'd' then pd.w end as label, case k0 when 'a' then pa.t when 'b' then pb.t when 'c' then s end as time,
+            case k0 when 'a' then pa.x when 'd' then pd.x when 'e' then s else '' end as said from k),
+        g as (select *, kind in ('a', 'b', 'd') or (kind = 'e' and coalesce(lag(kind) over (partition by id order by n) in ('c', 'm'), true)) as opens from f),
+        h as (select *, sum(case when opens or kind in ('c', 'm') then 1 else 0 end) over (partition by id order by n) as turn,
+            last_value(case when kind = 'c' then time when kind = 'm' or opens then '' end ignore nulls) over (partition by id order by n rows between unbounded preceding and 1 preceding) as carried from g),
+        t as (select id, turn, max(case when kind in ('a', 'b') then time when opens then nullif(carried, '') end) as timestamp, max(case when opens then coalesce(trim(label), 'unknown') end) as label,
+            string_agg(said, chr(10) order by n) filter (said <> '') as text from h where kind not in ('c', 'm') group by all)
+        select id as doc_id, cast(row_number() over (partition by id order by turn) - 1 as int) as turn_index, timestamp, label as raw_speaker_label, text from t where text is not null""",
     "turns_flat": rf"""
         with p as (select id as doc_id, regexp_extract_all(raw_text, '{BOUNDARY}', 1) as st, regexp_extract_all(raw_text, '{BOUNDARY}', 2) as lb,
             regexp_extract_all(raw_text, '{BOUNDARY}', 3) as co, string_split_regex(raw_text, '{BOUNDARY}') as body
