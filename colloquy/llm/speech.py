@@ -96,7 +96,7 @@ def speaker_of(label: str | None, people: Sequence[Person]) -> int:
         return 0
 
     def hits(test) -> list[int]:
-        found = [p for p in people if test(p[1].lower().split())]
+        found = [p for p in people if p[1].split() and test(p[1].lower().split())]
         if len(found) > 1 and role:
             found = [p for p in found if p[2] == role] or found
         return [p[0] for p in found]
@@ -118,6 +118,8 @@ def speaker_of(label: str | None, people: Sequence[Person]) -> int:
         scored = []
         for no, name, _ in people:
             n = name.lower().split()
+            if not n:
+                continue
             forms = [" ".join(n), n[0], n[-1], f"{n[0]} {n[-1][0]}.", f"{n[0][0]}. {n[-1]}"]
             scored.append((min(_edits(text, f, most) for f in forms if len(f) >= 4 or f == forms[0]), no))
         scored.sort()

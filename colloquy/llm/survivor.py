@@ -15,7 +15,7 @@ class Survivorship:
 
     fields: output column -> normalised value, null where not usable.
     usable: conditions counted for completeness; the record with the most is the survivor.
-    trust: 0..1 or null (no trust: lowest).  recency: a timestamp.  id: the key of a record.
+    trust: 0..1 or null (no trust: lowest).  recency: a timestamp.  id: the numeric key of a record.
     half_life_days: None lets the single most trusted, then most recent voter decide (the
     limit of an infinitely steep trust weight); a number sums trust * 2^(-age / half life)
     over all voters of a value, age counted from ``as_of``.

@@ -87,7 +87,8 @@ def top_n_per_group(
     group's current n-th score.  Equal maxima are read, since a smaller key may win.
     A round doubles the row groups it takes per group, so rounds are few.  Each
     read keeps at most n rows per group and row group; the window that merges
-    them never sees a whole group.  Runs eagerly.
+    them never sees a whole group.  The tasks read row groups with pyarrow, so the shared folder
+    must be of a scheme it knows (file, hdfs, s3, gs, abfss).  Runs eagerly.
 
     Defined cases: null and NaN scores and null keys take no part; null group
     values form a group; equal rows count once; an empty table gives no rows;

@@ -139,6 +139,12 @@ def test_labels(label, no):
     assert speech.speaker_of(label, PEOPLE) == no
 
 
+def test_labels_with_odd_people():
+    odd = [(1, "", "advisor"), (2, "Cher", "optimize_rep"), (3, "  ", "")]
+    assert [speech.speaker_of(x, odd) for x in ("Cher", "cher's phone", "x", ",", "Speaker 3", "Somebody Else", "C")] == [2, 2, 0, 0, 3, 0, 2]
+    assert speech.speaker_of("Ann", []) == 0
+
+
 def test_clean_and_times():
     assert speech.clean("Um, I — uh-huh [laughter] don’t KNOW *coughs* ♪ hold music ♪ (12:30) <noise> {beep} mm-hmm well, like 3.5%") == "i don't know well like 3 5"
     assert speech.clean("Summer hummed; umbrella, error, her") == "summer hummed umbrella error her"
