@@ -32,7 +32,7 @@ def _with_min(ends: DataFrame, scratch: Scratch, total: int) -> tuple[DataFrame,
     least = scratch.save(ends.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")), "least")
     bar = max(HOT_LEAST, total // HOT_SHARE)
     hub = least.filter(F.col("n") > bar).select("u", "m")
-    if hub.isEmpty():
+    if total <= bar or hub.isEmpty():
         return ends.join(least.select("u", "m"), "u"), least
     hub = F.broadcast(hub)
     cold = ends.join(hub, "u", "left_anti").join(least.filter(F.col("n") <= bar).select("u", "m"), "u")
