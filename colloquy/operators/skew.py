@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,19 +14,22 @@ HOT_SHARE = 2000
 HOT_LEAST = 100_000
 
 
-def join_unique(big: DataFrame, small: DataFrame, key: str, how: str = "inner") -> DataFrame:
+def join_unique(big: DataFrame, small: DataFrame, key: str | Sequence[str], how: str = "inner") -> DataFrame:
     """``big`` with the one row of ``small`` for its key, ``how`` inner or left.
 
     Rows of hot keys stay where they are and get theirs by broadcast, which is bounded by
     HOT_SHARE rows; the others are shuffled.  Rows without a key match nothing: they are
     left out or kept with nulls, but never shuffled to one task.  Counts the keys eagerly.
     """
-    counts = big.groupBy(key).agg(F.count(F.lit(1)).alias("__n"))
+    keys = [key] if isinstance(key, str) else list(key)
+    counts = big.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
     total = counts.agg(F.sum("__n")).first()[0] or 0
-    hot = counts.filter(F.col("__n") > max(HOT_LEAST, total // HOT_SHARE)).select(key)
-    if hot.isEmpty():
-        return big.join(small, key, how)
-    keyed, hot = big.filter(F.col(key).isNotNull()), F.broadcast(hot.filter(F.col(key).isNotNull()))
-    near = keyed.join(hot, key, "left_semi").join(F.broadcast(small.join(hot, key, "left_semi")), key, how)
-    out = near.unionByName(keyed.join(hot, key, "left_anti").join(small, key, how))
-    return out.unionByName(big.filter(F.col(key).isNull()), allowMissingColumns=True) if how == "left" else out
+    bar = max(HOT_LEAST, total // HOT_SHARE)
+    hot = counts.filter(F.col("__n") > bar).select(*keys)
+    if total <= bar or hot.isEmpty():
+        return big.join(small, keys, how)
+    there = reduce(and_, [F.col(k).isNotNull() for k in keys])
+    keyed, hot = big.filter(there), F.broadcast(hot.filter(there))
+    near = keyed.join(hot, keys, "left_semi").join(F.broadcast(small.join(hot, keys, "left_semi")), keys, how)
+    out = near.unionByName(keyed.join(hot, keys, "left_anti").join(small, keys, how))
+    return out.unionByName(big.filter(~there), allowMissingColumns=True) if how == "left" else out
