@@ -21,6 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.skew import join_unique
 from ..session import Scratch
 
 _MAX = np.uint64(2**64 - 1)
@@ -288,7 +289,7 @@ def near_duplicates(
 
     same = ["h", "n", "s0", "s1"]
     classes = signed.groupBy(*same).agg(F.min("id").alias("class_id"), F.max("id").alias("last")).filter("class_id < last").drop("last")
-    members = scratch.save(signed.select("id", *same).join(classes, same).select("id", "class_id").distinct(), "members")
+    members = scratch.save(join_unique(signed.select("id", *same), classes, same).select("id", "class_id").distinct(), "members")
     copies = members.filter("id <> class_id").select("id")
     lead = signed.join(F.broadcast(copies) if copies.count() <= COPIES_BROADCAST else copies, "id", "left_anti")
 

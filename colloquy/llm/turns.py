@@ -19,12 +19,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.skew import join_unique
 from ..session import Scratch
 from .speech import TIME, Person, clean, plain_label, seconds, speaker_of
 
-HOT_SHARE = 2000
-HOT_LEAST = 50_000
-
 UNKNOWN = re.compile(r"(?:unknown|unidentified|unnamed|guest|caller|inaudible|unclear)(?: (?:speaker|line|voice|caller|guest|participant|person)?\s*\d*)?|speaker|\?+|n/a")
 META = re.compile(r"\s*(?:meeting (?:id|topic)|host(?: email)?|start time|end time|date|duration|recorded|participants|attendees|kind|language)\b[^:\n]{0,30}:", re.I)
 FLAT = re.compile(rf"({TIME})\s*-->\s*{TIME}\s*\[([^\]\n]*)\]\s*:")
@@ -212,18 +210,6 @@ def _merge_runs(batches):
         yield flush([(*open_[:5], " ".join(open_[5]))])
 
 
-def _with(big: DataFrame, small: DataFrame, how: str = "inner") -> DataFrame:
-    """big joined with one row per ``t`` of small; hot keys (fewer than HOT_SHARE by construction) by broadcast."""
-    n = big.groupBy("t").agg(F.count(F.lit(1)).alias("n"))
-    total = n.agg(F.sum("n")).first()[0] or 0
-    hot = n.filter(F.col("n") > max(HOT_LEAST, total // HOT_SHARE)).select("t")
-    if hot.isEmpty():
-        return big.join(small, "t", how)
-    hot = F.broadcast(hot)
-    one = big.join(hot, "t", "left_semi").join(F.broadcast(small.join(hot, "t", "left_semi")), "t", how)
-    return one.unionByName(big.join(hot, "t", "left_anti").join(small, "t", how))
-
-
 def speaker_turns(transcripts: DataFrame, stored: DataFrame, participants: DataFrame) -> DataFrame:
     """Ordered turns of every transcript from its raw text, or from the stored turns where that is gone.
 
@@ -250,7 +236,7 @@ def speaker_turns(transcripts: DataFrame, stored: DataFrame, participants: DataF
     kept = stored.filter("transcript_id is not null").select(
         F.col("transcript_id").alias("t"), F.col("turn_index").cast("long").alias("turn_index"), "timestamp", "raw_speaker_label", "text"
     )
-    held = _with(kept, lost).select("t", "turn_index", "timestamp", "raw_speaker_label", "text", "people").mapInArrow(_stored, _SEGMENT)
+    held = join_unique(kept, lost, "t").select("t", "turn_index", "timestamp", "raw_speaker_label", "text", "people").mapInArrow(_stored, _SEGMENT)
     all_ = scratch.save(told.unionByName(held), "segments")
 
     timed = all_.groupBy("t").agg((F.count(F.lit(1)) == F.count("sec")).alias("timed"))
@@ -259,7 +245,7 @@ def speaker_turns(transcripts: DataFrame, stored: DataFrame, participants: DataF
         .groupBy("t", "sec", "speaker", "words", F.when(F.col("sec").isNull(), F.col("place")).alias("untimed"))
         .agg(F.min("place").alias("place"))
     )
-    keyed = _with(once, timed).select("t", F.when(F.col("timed"), F.col("sec")).otherwise(F.lit(0)).alias("k"), "place", "sec", "speaker", "words")
+    keyed = join_unique(once, timed, "t").select("t", F.when(F.col("timed"), F.col("sec")).otherwise(F.lit(0)).alias("k"), "place", "sec", "speaker", "words")
     keyed = scratch.save(keyed, "keyed")
     order = ["t", "k", "place", "words"]
     runs = scratch.save(keyed.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_merge_runs, "t long, pid int, run int, speaker int, sec int, words string"), "runs")

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 groups = pytest.importorskip("colloquy.llm.groups")
+from colloquy.operators import skew  # noqa: E402
 from colloquy.llm import darts, leakage, spam, speech, survivor, tokens, topn, turns  # noqa: E402
 
 
@@ -97,6 +98,7 @@ def test_near_duplicates(spark):
 
 def test_near_duplicates_hot_copies(spark, monkeypatch):
     monkeypatch.setattr(darts, "COPIES_BROADCAST", 0)
+    monkeypatch.setattr(skew, "HOT_LEAST", 50)
     data = near_data(60, 5) + [(1000 + i, "Same words in each copy %d" % 7, None, None) for i in range(400)]
     df = spark.createDataFrame(data, "id long, q string, r string, c string")
     pairs, members = darts.near_duplicates(df, "id", ["q", "r", "c"], 0.7)
@@ -175,8 +177,8 @@ def test_set_phrases_stay_speech():
 
 
 def test_stored_turns(spark, monkeypatch):
-    monkeypatch.setattr(turns, "HOT_LEAST", 3)
-    monkeypatch.setattr(turns, "HOT_SHARE", 5)
+    monkeypatch.setattr(skew, "HOT_LEAST", 3)
+    monkeypatch.setattr(skew, "HOT_SHARE", 5)
     said = [(1, i, f"00:{i:02d}:00", "Ann Leeman" if i % 5 else "Bo Rask", f"word{i}") for i in range(40)]
     said += [(1, 41, "0:07:00", "A. Leeman", "word7"), (1, 42, "00:00:30", "Bo Rask", "early"), said[3]]  # stored twice, late, delivered twice
     said += [(2, 0, None, "Bo Rask", "Right."), (2, 1, None, "Bo Rask", "Right."), (2, 2, "9:00", None, "who"), (2, 3, "1:00", "Ann Leeman", "uh"), (2, 4, None, "Ann Leeman", None)]
