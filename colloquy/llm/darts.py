@@ -31,6 +31,9 @@ _WEIGHTS = 2.0 ** np.arange(24) - 1
 #: their number is at most COMMON times the mean words of a record.
 COMMON = 1000
 LEAST_WEIGHT = 0.1
+#: Records signed at a time, which bounds the darts in a worker's memory, and words whose hashes a worker remembers.
+SIGNED_AT_ONCE = 2500
+REMEMBERED = 100_000
 #: Copies up to this many are taken out by a broadcast of their ids, more by a shuffled anti join.
 COPIES_BROADCAST = 200_000
 
@@ -185,7 +188,7 @@ def word_set(text: str | None) -> set[bytes]:
 
 class _Hashes(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > REMEMBERED:
             self.clear()
         self[word] = h = xxhash.xxh64_intdigest(word)
         return h
@@ -227,7 +230,7 @@ def _signer(common: np.ndarray, common_weight: np.ndarray, rest: float, bands: B
 
     def sign(batches):
         hashes = _Hashes()
-        for batch in batches:
+        for batch in (b.slice(i, SIGNED_AT_ONCE) for b in batches for i in range(0, b.num_rows, SIGNED_AT_ONCE)):
             ids = batch.column("id")
             values, offsets = hashes.sets(batch.column("text").to_pylist())
             sig = signatures(values, offsets, weights, bands.k)
