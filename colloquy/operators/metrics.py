@@ -160,7 +160,7 @@ def kendall(rows: DataFrame, group: Sequence[str], x: str, y: str) -> DataFrame:
 def ranking_quality(rows: DataFrame, group: Sequence[str], expert: str, predicted: str) -> DataFrame:
     """NDCG (gain 2^rel - 1), reciprocal rank of the expert's first, top-1 and top-3 hits per group; both columns are ranks from 1.
 
-    rel is n + 1 - expert; 2^(n + 1) is taken out of the sums, so one aggregate does without a window.
+    rel is n + 1 - expert; gains are scaled by 2^-(n + 1), so one aggregate does without a window and no group is too large for a double.
     """
     e, p = F.col(expert), F.col(predicted)
 
@@ -168,9 +168,9 @@ def ranking_quality(rows: DataFrame, group: Sequence[str], expert: str, predicte
         return F.sum(F.pow(F.lit(2.0), -e) / F.log2(at + 1)), F.sum(1 / F.log2(at + 1))
 
     (a, b), (c, d) = sums(p), sums(e)
-    agg = rows.groupBy(*group).agg(F.pow(F.lit(2.0), F.count(F.lit(1)) + 1).alias("k"), a.alias("a"), b.alias("b"), c.alias("c"), d.alias("d"), F.min(F.when(e == 1, p)).alias("first"))
+    agg = rows.groupBy(*group).agg(F.pow(F.lit(2.0), -F.count(F.lit(1)) - 1).alias("k"), a.alias("a"), b.alias("b"), c.alias("c"), d.alias("d"), F.min(F.when(e == 1, p)).alias("first"))
     return agg.select(
-        *group, ratio(F.col("k") * F.col("a") - F.col("b"), F.col("k") * F.col("c") - F.col("d")).alias("ndcg"), ratio(F.lit(1), F.col("first")).alias("mrr"),
+        *group, ratio(F.col("a") - F.col("k") * F.col("b"), F.col("c") - F.col("k") * F.col("d")).alias("ndcg"), ratio(F.lit(1), F.col("first")).alias("mrr"),
         (F.col("first") == 1).cast("double").alias("top1"), (F.col("first") <= 3).cast("double").alias("top3"),
     )
 
