@@ -134,6 +134,19 @@ def context_window(signals: DataFrame, turns: DataFrame, most: int = 5, include_
     return kept.select("id", F.explode("rows").alias("r")).select("id", "r.pos", "r.turn_id")
 
 
+def rank_context(signals: DataFrame, turns: DataFrame) -> DataFrame:
+    """The texts of all turns from one before the first to one after the last cited turn; the quote where none is cited.
+
+    The range becomes one row per position, so the join has the key (transcript, pos).  Result: ``id``, ``context``.
+    """
+    span = cited_turns(signals, turns).groupBy("id", "transcript_id").agg(F.min("t_pos").alias("first"), F.max("t_pos").alias("last"))
+    span = span.select("id", "transcript_id", F.explode(F.sequence(F.col("first") - 1, F.col("last") + 1)).alias("pos"))
+    rows = span.join(turns.select("transcript_id", "pos", "text"), ["transcript_id", "pos"])
+    texts = F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"])
+    found = rows.groupBy("id").agg(F.array_join(texts, " ").alias("context"))
+    return signals.select("id", "advisor_quote").join(found, "id", "left").select("id", F.coalesce("context", "advisor_quote").alias("context"))
+
+
 def completion_turns(signals: DataFrame, turns: DataFrame, owner: str = "advisor", need_quote: bool = True) -> DataFrame:
     """For signals with a single cited turn, the neighbours of the same speaker that complete its thought."""
     cited = cited_turns(signals, turns)

@@ -90,6 +90,10 @@ def context_texts(spark, base):
     return rows.groupBy("id").agg(F.array_join(F.transform(packed, lambda x: x["text"]), " ").alias("context"))
 
 
+def rank_contexts(spark, base):
+    return ev.rank_context(signals(spark, base), turns(spark, base))
+
+
 def completion_turns(spark, base):
     return ev.completion_turns(signals(spark, base), turns(spark, base), need_quote=False)
 
@@ -139,7 +143,7 @@ def unparsed_transcripts(spark, base):
 
 QUERIES = {f.__name__: f for f in (
     turns_flat, turns_lines, transcript_texts, repaired_documents, upload_checks, turn_batches, batch_hashes, gated_roles, role_histogram,
-    owner_neighbourhood, reliable_turns, source_resolution, context_windows, context_texts, completion_turns, procedural_turns,
+    owner_neighbourhood, reliable_turns, source_resolution, context_windows, context_texts, rank_contexts, completion_turns, procedural_turns,
     quote_matches, owner_contexts, unparsed_transcripts, evidence_locator, tagged_neighbours, natural_listing, status_counts,
 )}
 
@@ -213,6 +217,9 @@ SQL = {
             min(turn_id) filter (t_time = timestamp and timestamp <> '') as tm from h group by id)
         select s.id, cast(coalesce(n, 0) as int) as matches, case when n = 1 then one when k = 1 then tm end as turn_id,
             case when n = 1 then 'source_turn_id' when k = 1 then 'source_turn_id_timestamp' end as method from s left join g using (id)""",
+    "rank_contexts": f"""with {_CITED}, o as (select id, transcript_id, min(pos) as a, max(pos) as b from c group by all),
+        x as (select o.id, string_agg(text, ' ' order by pos) as context from o join t on t.transcript_id = o.transcript_id and t.pos between a - 1 and b + 1 group by o.id)
+        select s.id, coalesce(context, advisor_quote) as context from s left join x using (id)""",
     "context_windows": f"with {_CITED}, {_WINDOW.replace('{own}', 'e.part')} select sid as id, pos, id as turn_id from k where rn <= 5",
     "context_texts": f"with {_CITED}, {_WINDOW.replace('{own}', 'e.own')} select sid as id, string_agg(text, ' ' order by pos) as context from k where rn <= 5 group by sid",
     "completion_turns": f"""with {_CITED}, n as (select *, lag(id) over w as pi, lag(raw_speaker_label) over w as pl, lag(inferred_role) over w as pr, lead(id) over w as ni,

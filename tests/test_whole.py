@@ -3,7 +3,7 @@
 import math
 import random
 
-from colloquy.operators import metrics
+from colloquy.operators import evidence, metrics
 
 
 def test_ndcg_over_groups_of_any_size(spark):
@@ -16,3 +16,17 @@ def test_ndcg_over_groups_of_any_size(spark):
         want = sum(gain[e] / math.log2(p + 1) for p, e in enumerate(order, 1)) / sum(gain[e] / math.log2(e + 1) for e in order)
         assert abs(got[g] - want) < 1e-9, g
     assert got["tail"] < 0.9
+
+
+TURNS = "id long, transcript_id long, pos int, timestamp string, raw_speaker_label string, inferred_role string, role_confidence double, text string"
+SIGNALS = "id long, transcript_id long, advisor_quote string, timestamp string, source_turn_ids array<long>"
+
+
+def _turns(spark, texts, roles=None):
+    return spark.createDataFrame([(10 + i, 1, i, f"0:0{i}", "A", (roles or ["advisor"] * len(texts))[i], 0.9, t) for i, t in enumerate(texts)], TURNS)
+
+
+def test_rank_context_takes_the_whole_range(spark):
+    t = _turns(spark, list("abcdefghi"))
+    s = spark.createDataFrame([(1, 1, "q", None, [11, 17]), (2, 1, "quote", None, None), (3, 1, "far", None, [99]), (4, 1, "q", None, [10]), (5, 1, "q", None, [12, 13, 14, 15])], SIGNALS)
+    assert {r.id: r.context for r in evidence.rank_context(s, t).collect()} == {1: "a b c d e f g h i", 2: "quote", 3: "far", 4: "a b", 5: "b c d e f g"}
