@@ -64,26 +64,33 @@ def resolve_source(signals: DataFrame, turns: DataFrame, need_quote: bool = True
     return signals.select("id").join(found, "id", "left").withColumn("matches", F.coalesce("matches", F.lit(0)))
 
 
-def quote_matches(quotes: DataFrame, turns: DataFrame) -> DataFrame:
-    """How many turns of its transcript hold each quote, and which, if it is only one.
+def quote_hits(quotes: DataFrame, turns: DataFrame) -> DataFrame:
+    """Each quote with every turn of its transcript that holds it; ``quotes`` has ``timestamp``.
 
     Containment has no equi-key of its own, so the longest word inside the quote, which the
     turn must hold as a whole word, serves as one: words of the turns are exploded and joined on
-    (transcript, word), and ``contains`` decides.  Only quotes without an inner word, shorter than three
+    (transcript, word) with ids and lengths only, and ``contains`` decides over the texts of what is left.  Only quotes without an inner word, shorter than three
     words, meet all turns of their transcript.  Case counts.  Blank quotes match nothing.
-    Result: ``id``, ``matches``, ``turn_id``.
+    Result: ``id``, ``timestamp``, ``turn_id``, ``t_timestamp``.
     """
     word = F.lit(r"([A-Za-z0-9]+)")
-    q = quotes.select("id", "transcript_id", F.col("advisor_quote").alias("q")).filter(F.col("q").rlike(r"\S"))
+    q = quotes.select("id", "transcript_id", "timestamp", F.col("advisor_quote").alias("q")).filter(F.col("q").rlike(r"\S"))
     all_words = F.regexp_extract_all("q", word, F.lit(1))
     inner = F.slice(all_words, 2, F.greatest(F.size(all_words) - 2, F.lit(0)))
     longest = F.reduce(inner, F.lit(""), lambda a, w: F.when(F.length(w) > F.length(a), w).otherwise(a))
     q = q.withColumn("anchor", longest)
-    t = turns.select("transcript_id", F.col("id").alias("turn_id"), "text")
-    held = t.select("*", F.explode(F.array_distinct(F.regexp_extract_all("text", word, F.lit(1)))).alias("anchor"))
-    near = q.filter("anchor <> ''").join(held, ["transcript_id", "anchor"]).select("id", "q", "turn_id", "text")
-    short = q.filter("anchor = ''").join(t, "transcript_id").select("id", "q", "turn_id", "text")
-    hit = near.unionByName(short).filter(F.contains("text", "q"))
+    t = turns.select("transcript_id", F.col("id").alias("turn_id"), "text", F.col("timestamp").alias("t_timestamp"))
+    both = ["id", "timestamp", "q", "turn_id", "t_timestamp", "text"]
+    held = t.select("transcript_id", "turn_id", F.length("text").alias("room"), F.explode(F.array_distinct(F.regexp_extract_all("text", word, F.lit(1)))).alias("anchor"))
+    near = q.filter("anchor <> ''").select("id", "transcript_id", "anchor", F.length("q").alias("size")).join(held, ["transcript_id", "anchor"]).filter("size <= room")
+    near = near.select("id", "turn_id").join(q.select("id", "timestamp", "q"), "id").join(t.drop("transcript_id"), "turn_id").select(*both)
+    short = q.filter("anchor = ''").join(t, "transcript_id").select(*both)
+    return near.unionByName(short).filter(F.contains("text", "q")).select("id", "timestamp", "turn_id", "t_timestamp")
+
+
+def quote_matches(quotes: DataFrame, turns: DataFrame) -> DataFrame:
+    """How many turns of its transcript hold each quote, and which, if it is only one: ``id``, ``matches``, ``turn_id``."""
+    hit = quote_hits(quotes.withColumn("timestamp", F.lit(None).cast("string")), turns)
     found = hit.groupBy("id").agg(F.count(F.lit(1)).cast("int").alias("matches"), F.min("turn_id").alias("turn_id"))
     out = quotes.select("id").join(found, "id", "left").withColumn("matches", F.coalesce("matches", F.lit(0)))
     return out.select("id", "matches", F.when(F.col("matches") == 1, F.col("turn_id")).alias("turn_id"))

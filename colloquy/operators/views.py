@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .evidence import quote_hits
 from .sequence import with_neighbours
 
 
@@ -26,18 +27,24 @@ def plain_evidence(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(c, r"\s+", " "), r"^\s+|\s+$", "")
 
 
-def locate(signals: DataFrame, turns: DataFrame, owner: str = "advisor") -> DataFrame:
-    """The owner's one turn that holds a signal's quote, by exact text; an equal time settles several; else null.
+def locate(signals: DataFrame, turns: DataFrame, owner: str = "advisor", contained: bool = True) -> DataFrame:
+    """The owner's one turn that holds a signal's quote, by exact text or else by containment; an equal time settles several; else null.
 
     Exact equality of normalised texts is a hash join on (transcript, text), so it scales
-    with the rows and not with a transcript's turns times signals.
+    with the rows and not with a transcript's turns times signals; quotes without an equal turn
+    (``contained``) go by an anchor word.
     """
     s = signals.select("id", "transcript_id", "timestamp", plain_evidence(F.col("advisor_quote")).alias("q")).filter("q <> ''")
     t = turns.filter(F.col("inferred_role") == owner).select(
         "transcript_id", plain_evidence(F.col("text")).alias("q"), F.col("id").alias("turn_id"), F.col("timestamp").alias("t_time")
     )
     timed = F.coalesce((F.col("t_time") == F.col("timestamp")) & (F.col("timestamp") != ""), F.lit(False))
-    hits = s.join(t, ["transcript_id", "q"]).groupBy("id").agg(
+    hits = s.join(t, ["transcript_id", "q"]).select("id", "timestamp", "turn_id", "t_time")
+    if contained:
+        rest = s.join(hits.select("id").distinct(), "id", "left_anti").withColumnRenamed("q", "advisor_quote")
+        own = t.select("transcript_id", F.col("turn_id").alias("id"), F.col("q").alias("text"), F.col("t_time").alias("timestamp"))
+        hits = hits.unionByName(quote_hits(rest, own).withColumnRenamed("t_timestamp", "t_time"))
+    hits = hits.groupBy("id").agg(
         F.count(F.lit(1)).alias("n"), F.min("turn_id").alias("only"), F.count_if(timed).alias("k"), F.min(F.when(timed, F.col("turn_id"))).alias("at")
     )
     found = hits.select("id", F.when(F.col("n") == 1, F.col("only")).when(F.col("k") == 1, F.col("at")).alias("turn_id"))

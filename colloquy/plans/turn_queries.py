@@ -79,6 +79,14 @@ def source_resolution(spark, base):
     return ev.resolve_source(signals(spark, base), turns(spark, base), need_quote=False)
 
 
+def _real_and_cut(spark, base, t):
+    """The quotes of the signals as they are (odd ids), then the third to eighth word of every longer turn (even ids), of which every other cites its turn."""
+    columns = ["transcript_id", "timestamp", "advisor_quote", "source_turn_ids"]
+    cut = t.withColumn("advisor_quote", F.regexp_extract("text", r"^\S+ \S+ (\S+ \S+ \S+ \S+ \S+ \S+)", 1)).filter("advisor_quote <> ''")
+    cut = cut.withColumn("source_turn_ids", F.when(F.col("id") % 2 == 0, F.array("id")))
+    return signals(spark, base).select((F.col("id") * 2 + 1).alias("id"), *columns).unionByName(cut.select((F.col("id") * 2).alias("id"), *columns))
+
+
 def context_windows(spark, base):
     return ev.context_window(signals(spark, base), turns(spark, base), need_quote=False)
 
@@ -107,7 +115,13 @@ def procedural_turns(spark, base):
 def evidence_locator(spark, base):
     t = turns(spark, base)
     quotes = t.select("id", "transcript_id", "timestamp", F.col("text").alias("advisor_quote"))
-    return views.locate(quotes, t)
+    return views.locate(quotes, t, contained=False)
+
+
+def evidence_places(spark, base):
+    """Real quotes and excerpts, exact matches before containment."""
+    t = table(spark, base, "transcript_turns").dropDuplicates(["id"])
+    return views.locate(_real_and_cut(spark, base, t), t)
 
 
 def tagged_neighbours(spark, base):
@@ -144,7 +158,7 @@ def unparsed_transcripts(spark, base):
 QUERIES = {f.__name__: f for f in (
     turns_flat, turns_lines, transcript_texts, repaired_documents, upload_checks, turn_batches, batch_hashes, gated_roles, role_histogram,
     owner_neighbourhood, reliable_turns, source_resolution, context_windows, context_texts, rank_contexts, completion_turns, procedural_turns,
-    quote_matches, owner_contexts, unparsed_transcripts, evidence_locator, tagged_neighbours, natural_listing, status_counts,
+    quote_matches, owner_contexts, unparsed_transcripts, evidence_locator, evidence_places, tagged_neighbours, natural_listing, status_counts,
 )}
 
 _BAD = [(b, g) for b, g in tx._broken_forms()]
@@ -171,6 +185,10 @@ _WINDOW = """n as (select transcript_id, pos, raw_speaker_label as l0, lag(raw_s
     k as (select t.*, e.id as sid, row_number() over (partition by e.id order by t.pos) as rn from e join t on t.transcript_id = e.transcript_id
         and (t.pos in (e.a - 1, e.b + 1) or list_contains({own}, t.pos) or (e.back and t.pos = e.a - 2) or (e.ahead and t.pos = e.b + 2)))"""
 
+_CUT = r"""qt as (select id * 2 + 1 as id, transcript_id, timestamp, advisor_quote as q, source_turn_ids as cites from s union all select id * 2, transcript_id, timestamp,
+    regexp_extract(text, '^\S+ \S+ (\S+ \S+ \S+ \S+ \S+ \S+)', 1) as x, case when id % 2 = 0 then [id] end from t where x <> '')"""
+_PLAIN = r"""trim(regexp_replace(translate({0}, '“”‘’', '""'''''), '\s+', ' ', 'g'))"""
+
 _SPEAKER = "trim({0}) <> '' and len(string_split_regex(trim({0}), '\\s+')) <= 8 and not regexp_matches({0}, '[.!?]')"
 _PA, _PB, _PD = r"^(\d{1,2}:\d{2}:\d{2})\s+([^:]{1,100}):\s*(.*)$", r"^(.+?)\s+(\d{1,2}:\d{2}:\d{2})\s*:?[ \t]*$", r"^([^:]{1,100}):\s*(.*)$"
 
@@ -220,6 +238,12 @@ SQL = {
     "rank_contexts": f"""with {_CITED}, o as (select id, transcript_id, min(pos) as a, max(pos) as b from c group by all),
         x as (select o.id, string_agg(text, ' ' order by pos) as context from o join t on t.transcript_id = o.transcript_id and t.pos between a - 1 and b + 1 group by o.id)
         select s.id, coalesce(context, advisor_quote) as context from s left join x using (id)""",
+    "evidence_places": f"""with {S}, {T}, {_CUT}, a as (select id, transcript_id, timestamp, {_PLAIN.format('q')} as q from qt),
+        b as (select id as turn_id, transcript_id, timestamp as t_time, {_PLAIN.format('text')} as x from t where inferred_role = 'advisor'),
+        h as (select a.id, turn_id, x = q as same, coalesce(timestamp = t_time and t_time <> '', false) as tm from a join b on a.transcript_id = b.transcript_id and contains(x, q) where q <> ''),
+        w as (select * from h qualify same = max(same) over (partition by id)),
+        g as (select id, count(*) as n, min(turn_id) as one, count(*) filter (tm) as k, min(turn_id) filter (tm) as at_ from w group by id)
+        select qt.id, case when n = 1 then one when k = 1 then at_ end as turn_id from qt left join g using (id)""",
     "context_windows": f"with {_CITED}, {_WINDOW.replace('{own}', 'e.part')} select sid as id, pos, id as turn_id from k where rn <= 5",
     "context_texts": f"with {_CITED}, {_WINDOW.replace('{own}', 'e.own')} select sid as id, string_agg(text, ' ' order by pos) as context from k where rn <= 5 group by sid",
     "completion_turns": f"""with {_CITED}, n as (select *, lag(id) over w as pi, lag(raw_speaker_label) over w as pl, lag(inferred_role) over w as pr, lead(id) over w as ni,

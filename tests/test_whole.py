@@ -3,7 +3,7 @@
 import math
 import random
 
-from colloquy.operators import evidence, metrics
+from colloquy.operators import evidence, metrics, views
 
 
 def test_ndcg_over_groups_of_any_size(spark):
@@ -30,3 +30,11 @@ def test_rank_context_takes_the_whole_range(spark):
     t = _turns(spark, list("abcdefghi"))
     s = spark.createDataFrame([(1, 1, "q", None, [11, 17]), (2, 1, "quote", None, None), (3, 1, "far", None, [99]), (4, 1, "q", None, [10]), (5, 1, "q", None, [12, 13, 14, 15])], SIGNALS)
     assert {r.id: r.context for r in evidence.rank_context(s, t).collect()} == {1: "a b c d e f g h i", 2: "quote", 3: "far", 4: "a b", 5: "b c d e f g"}
+
+
+def test_locate_falls_back_to_containment(spark):
+    t = _turns(spark, ["we like the “fee” schedule", "the fee schedule", "so the fee schedule it is", "we like  the fee", "only the rep said this"], ["advisor"] * 4 + ["optimize_rep"])
+    quotes = ['like the "fee" schedule', "the fee schedule", "fee schedule", "fee schedule", "LIKE THE FEE", "the rep said", "like the fee", " "]
+    s = spark.createDataFrame([(i, 1, q, "0:02" if i == 3 else None, None) for i, q in enumerate(quotes)], SIGNALS)
+    # 1 equals a turn that others contain; 2 is left ambiguous, the time settles 3
+    assert {r.id: r.turn_id for r in views.locate(s, t).collect()} == {0: 10, 1: 11, 2: None, 3: 12, 4: None, 5: None, 6: 13, 7: None}
