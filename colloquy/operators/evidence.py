@@ -44,24 +44,34 @@ def cited_turns(signals: DataFrame, turns: DataFrame) -> DataFrame:
 def resolve_source(signals: DataFrame, turns: DataFrame, need_quote: bool = True) -> DataFrame:
     """The one cited turn that is reliably the owner's and holds the quote.
 
-    Several are settled by an equal time if exactly one has it.  ``method`` is
-    ``source_turn_id``, ``source_turn_id_timestamp`` or null where nothing or
-    more than one is left.  One row per signal: ``id``, ``matches``, ``turn_id``, ``method``.
+    Several are settled by an equal time if exactly one has it.  With ``need_quote``, a signal none of
+    whose cited turns fits is looked up in the reliable turns of its whole transcript.  ``method`` is
+    ``source_turn_id`` or ``unique_quote``, either with ``_timestamp`` where the time decided, or null where nothing
+    or more than one is left.  One row per signal: ``id``, ``matches``, ``turn_id``, ``method``.
     """
     hit = cited_turns(signals, turns).filter(reliable(F.col("t_role"), F.col("t_confidence")))
     if need_quote:
         hit = hit.filter(F.contains("t_text", "advisor_quote"))
+    found = _settled(hit.withColumnRenamed("cited_id", "hit_id"), "source_turn_id")
+    if need_quote:
+        left = signals.join(found.select("id"), "id", "left_anti")
+        sure = turns.filter(reliable(F.col("inferred_role"), F.col("role_confidence")))
+        found = found.unionByName(_settled(quote_hits(left, sure).withColumnRenamed("turn_id", "hit_id"), "unique_quote"))
+    return signals.select("id").join(found, "id", "left").withColumn("matches", F.coalesce("matches", F.lit(0)))
+
+
+def _settled(hits: DataFrame, method: str) -> DataFrame:
+    """Per signal the number of its hits and the one turn they settle on, by number or else by an equal time."""
     timed = F.coalesce((F.col("t_timestamp") == F.col("timestamp")) & (F.col("timestamp") != ""), F.lit(False))
-    found = hit.groupBy("id").agg(
+    found = hits.groupBy("id").agg(
         F.count(F.lit(1)).cast("int").alias("matches"), F.count_if(timed).alias("timed"),
-        F.min("cited_id").alias("only"), F.min(F.when(timed, F.col("cited_id"))).alias("timed_id"),
+        F.min("hit_id").alias("only"), F.min(F.when(timed, F.col("hit_id"))).alias("timed_id"),
     )
     one, several = F.col("matches") == 1, F.col("timed") == 1
-    found = found.select(
+    return found.select(
         "id", "matches", F.when(one, F.col("only")).when(several, F.col("timed_id")).alias("turn_id"),
-        F.when(one, F.lit("source_turn_id")).when(several, F.lit("source_turn_id_timestamp")).alias("method"),
+        F.when(one, F.lit(method)).when(several, F.lit(f"{method}_timestamp")).alias("method"),
     )
-    return signals.select("id").join(found, "id", "left").withColumn("matches", F.coalesce("matches", F.lit(0)))
 
 
 def quote_hits(quotes: DataFrame, turns: DataFrame) -> DataFrame:

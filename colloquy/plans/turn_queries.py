@@ -87,6 +87,12 @@ def _real_and_cut(spark, base, t):
     return signals(spark, base).select((F.col("id") * 2 + 1).alias("id"), *columns).unionByName(cut.select((F.col("id") * 2).alias("id"), *columns))
 
 
+def source_quotes(spark, base):
+    """The quote must stand in the turn, and without a fitting cited turn the transcript is searched."""
+    t = turns(spark, base)
+    return ev.resolve_source(_real_and_cut(spark, base, t), t)
+
+
 def context_windows(spark, base):
     return ev.context_window(signals(spark, base), turns(spark, base), need_quote=False)
 
@@ -157,7 +163,7 @@ def unparsed_transcripts(spark, base):
 
 QUERIES = {f.__name__: f for f in (
     turns_flat, turns_lines, transcript_texts, repaired_documents, upload_checks, turn_batches, batch_hashes, gated_roles, role_histogram,
-    owner_neighbourhood, reliable_turns, source_resolution, context_windows, context_texts, rank_contexts, completion_turns, procedural_turns,
+    owner_neighbourhood, reliable_turns, source_resolution, source_quotes, context_windows, context_texts, rank_contexts, completion_turns, procedural_turns,
     quote_matches, owner_contexts, unparsed_transcripts, evidence_locator, evidence_places, tagged_neighbours, natural_listing, status_counts,
 )}
 
@@ -235,6 +241,13 @@ SQL = {
             min(turn_id) filter (t_time = timestamp and timestamp <> '') as tm from h group by id)
         select s.id, cast(coalesce(n, 0) as int) as matches, case when n = 1 then one when k = 1 then tm end as turn_id,
             case when n = 1 then 'source_turn_id' when k = 1 then 'source_turn_id_timestamp' end as method from s left join g using (id)""",
+    "source_quotes": f"""with {S}, {T}, {_CUT}, h as (select qt.id, t.id as turn_id, coalesce(list_contains(cites, t.id), false) as cited,
+            coalesce(qt.timestamp = t.timestamp and t.timestamp <> '', false) as tm from qt join t on t.transcript_id = qt.transcript_id and contains(t.text, q)
+            where inferred_role = 'advisor' and role_confidence >= 0.65),
+        w as (select * from h qualify cited = max(cited) over (partition by id)),
+        g as (select id, count(*) as n, min(turn_id) as one, count(*) filter (tm) as k, min(turn_id) filter (tm) as at_, case when any_value(cited) then 'source_turn_id' else 'unique_quote' end as how from w group by id)
+        select qt.id, cast(coalesce(n, 0) as int) as matches, case when n = 1 then one when k = 1 then at_ end as turn_id, case when n = 1 then how when k = 1 then how || '_timestamp' end as method
+        from qt left join g using (id)""",
     "rank_contexts": f"""with {_CITED}, o as (select id, transcript_id, min(pos) as a, max(pos) as b from c group by all),
         x as (select o.id, string_agg(text, ' ' order by pos) as context from o join t on t.transcript_id = o.transcript_id and t.pos between a - 1 and b + 1 group by o.id)
         select s.id, coalesce(context, advisor_quote) as context from s left join x using (id)""",

@@ -38,3 +38,14 @@ def test_locate_falls_back_to_containment(spark):
     s = spark.createDataFrame([(i, 1, q, "0:02" if i == 3 else None, None) for i, q in enumerate(quotes)], SIGNALS)
     # 1 equals a turn that others contain; 2 is left ambiguous, the time settles 3
     assert {r.id: r.turn_id for r in views.locate(s, t).collect()} == {0: 10, 1: 11, 2: None, 3: 12, 4: None, 5: None, 6: 13, 7: None}
+
+
+def test_source_without_a_fitting_citation_is_searched(spark):
+    t = _turns(spark, ["one plan only", "the same words", "the same words", "said by the rep", "more words here"], ["advisor"] * 3 + ["optimize_rep", "advisor"])
+    data = [("one plan", None, None), ("one plan only", None, [14]), ("same words", None, None), ("same words", "0:02", [99]), ("by the rep", None, [13]), ("words here", None, [14]), ("the same words", None, [11])]
+    s = spark.createDataFrame([(i, 1, q, at, ids) for i, (q, at, ids) in enumerate(data)], SIGNALS)
+    got = {r.id: (r.matches, r.turn_id, r.method) for r in evidence.resolve_source(s, t).collect()}
+    assert got == {
+        0: (1, 10, "unique_quote"), 1: (1, 10, "unique_quote"), 2: (2, None, None), 3: (2, 12, "unique_quote_timestamp"), 4: (0, None, None),
+        5: (1, 14, "source_turn_id"), 6: (1, 11, "source_turn_id"),
+    }
