@@ -10,7 +10,7 @@ from ..operators import dedup, evidence, graph, ranking, rules
 from ..operators import importance as imp
 from ..operators.runs import counts_of
 from ..session import table
-from . import pipeline, providers
+from . import pipeline, providers, turn_queries
 from .base import R, S, T, results, signals, turns
 
 #: Claims of the rationales and what must show them; parameters of the grounding operator.
@@ -42,6 +42,12 @@ def grounded_rationales(spark, base):
     return s.select("id", evidence.grounded(F.col("rationale"), F.col("advisor_quote"), F.col("advisor_quote"), CLAIMS).alias("rationale"))
 
 
+def grounded_in_context(spark, base):
+    """The claim of a rationale is looked for in the turns around its signal's cited turns, or in the quote where there are none."""
+    s = signals(spark, base).filter("rationale is not null").join(turn_queries.context_texts(spark, base), "id", "left")
+    return s.select("id", evidence.grounded(F.col("rationale"), F.coalesce("context", "advisor_quote"), F.col("advisor_quote"), CLAIMS).alias("rationale"))
+
+
 def _hard():
     ids = F.col("source_turn_ids")
     return [
@@ -240,7 +246,7 @@ def pipeline_finals(spark, base):
 
 
 QUERIES = {f.__name__: f for f in (
-    stored_responses, pipeline_finals, first_wins, extraction_counts, normalized_evidence, grounded_rationales, rule_cascade, clamped_scores, weighted_grid, verdict_counts,
+    stored_responses, pipeline_finals, first_wins, extraction_counts, normalized_evidence, grounded_rationales, grounded_in_context, rule_cascade, clamped_scores, weighted_grid, verdict_counts,
     similar_pairs, embedding_groups, reason_edges, merged_groups, complete_link, elected, enriched, dedup_summary, pair_texts, pair_scores,
     rank_inputs, final_selection, selection_checks, source_texts, structured_levels, tier_gaps, listwise_faults, pairs_complete, copeland, three_cycles,
 )}
@@ -294,6 +300,11 @@ SQL = {
     "grounded_rationales": f"""with {S} select id, case when (regexp_matches(rationale, '(?i)\\bbecause\\b') and not regexp_matches(advisor_quote, '(?i)\\b(because|since)\\b'))
         or (regexp_matches(rationale, '(?i)\\b(concern|loss)\\b') and not regexp_matches(advisor_quote, '(?i)\\b(worry|cost|lost)\\b'))
         then 'The advisor states, "' || advisor_quote || '"' else rationale end as rationale from s where rationale is not null""",
+    "grounded_in_context": f"""with {turn_queries._CITED}, {turn_queries._WINDOW.replace('{own}', 'e.own')}, cx as (select sid as id, string_agg(text, ' ' order by pos) as context from k where rn <= 5 group by sid),
+        x as (select s.id, rationale, advisor_quote, coalesce(context, advisor_quote) as support from s left join cx using (id) where rationale is not null)
+        select id, case when (regexp_matches(rationale, '(?i)\\bbecause\\b') and not regexp_matches(support, '(?i)\\b(because|since)\\b'))
+        or (regexp_matches(rationale, '(?i)\\b(concern|loss)\\b') and not regexp_matches(support, '(?i)\\b(worry|cost|lost)\\b'))
+        then 'The advisor states, "' || advisor_quote || '"' else rationale end as rationale from x""",
     "rule_cascade": f"""with {S}, x as (select id, case when item_type = 'no_signal' then 'no_signal' end as h1,
             case when coalesce(trim(rationale), '') = '' or coalesce(len(source_turn_ids) <> len(list_distinct(source_turn_ids)), false) then 'malformed_candidate' end as h2,
             case when isnan(extraction_confidence) or not extraction_confidence between 0 and 1 then 'invalid_confidence' end as h3,

@@ -3,7 +3,10 @@
 import math
 import random
 
+from pyspark.sql import functions as F
+
 from colloquy.operators import evidence, metrics, views
+from colloquy.plans import signal_queries
 
 
 def test_ndcg_over_groups_of_any_size(spark):
@@ -49,3 +52,12 @@ def test_source_without_a_fitting_citation_is_searched(spark):
         0: (1, 10, "unique_quote"), 1: (1, 10, "unique_quote"), 2: (2, None, None), 3: (2, 12, "unique_quote_timestamp"), 4: (0, None, None),
         5: (1, 14, "source_turn_id"), 6: (1, 11, "source_turn_id"),
     }
+
+
+def test_rationale_is_grounded_by_neighbouring_turns(spark, tmp_path):
+    told = _turns(spark, ["we wait since rates fell", "the quote", "end"]).withColumnRenamed("pos", "turn_index")
+    told.write.parquet(f"{tmp_path}/transcript_turns.parquet")
+    s = spark.createDataFrame([(1, 1, "the quote", None, [11]), (2, 1, "the quote", None, None), (3, 1, "since then", None, None)], SIGNALS)
+    s.withColumn("rationale", F.lit("because of x")).write.parquet(f"{tmp_path}/candidate_signals.parquet")
+    got = {r.id: r.rationale for r in signal_queries.grounded_in_context(spark, str(tmp_path)).collect()}
+    assert got == {1: "because of x", 2: 'The advisor states, "the quote"', 3: "because of x"}
