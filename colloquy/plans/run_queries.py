@@ -110,14 +110,27 @@ def supporting_evidence(spark, base):
     return rows.select("signal_id", F.size("supporting_evidence").alias("n"), F.array_join(F.transform("supporting_evidence", lambda x: x["quote"]), "|").alias("quotes"))
 
 
-def export_rows(spark, base):
-    """Elected members with their visible run, as CSV cells: nested values as JSON, scores with two places."""
+def _export(spark, base):
     e = _finals(spark, base)
     latest = runs.latest_run(table(spark, base, "analysis_runs"), completed_only=True)
     finals = runs.visible(e.filter("is_canonical"), latest).withColumnRenamed("id", "signal_id")
     wide = finals.join(export.supporting(finals, e), "signal_id", "left").withColumn("supporting_evidence", F.coalesce("supporting_evidence", F.array().cast("array<struct<quote:string,timestamp:string,relationship:string>>")))
-    wide = wide.select("signal_id", "transcript_id", "item_type", "category", F.col("extraction_confidence").alias("business_score"), "supporting_evidence")
-    return export.csv_cells(export.widened(wide).select("signal_id", "transcript_id", "item_type", "category", "business_score", "supporting_quote_1", "supporting_timestamp_1"))
+    return wide.select("signal_id", "transcript_id", "item_type", "category", F.col("extraction_confidence").alias("business_score"), "supporting_evidence")
+
+
+def export_rows(spark, base):
+    """Elected members with their visible run and first supporting quote, scores with two places."""
+    return export.csv_cells(export.widened(_export(spark, base)).select("signal_id", "transcript_id", "item_type", "category", "business_score", "supporting_quote_1", "supporting_timestamp_1"))
+
+
+def export_table(spark, base):
+    """The whole export: supporting evidence as a JSON cell, and in numbered columns up to the widest row."""
+    return export.csv_cells(export.widened(_export(spark, base)))
+
+
+def export_evidence(spark, base):
+    """The JSON cells of the export."""
+    return export.csv_cells(_export(spark, base).select("signal_id", "supporting_evidence"))
 
 
 def export_lines(spark, base):
@@ -176,7 +189,7 @@ def table_integrity(spark, base):
 
 QUERIES = {f.__name__: f for f in (
     downstream_snapshots, table_integrity, latest_runs, latest_completed_runs, run_listing, visible_signals, signal_listing, absent_results, replayed_signals, legacy_runs, backfilled_signals,
-    backfilled_snapshots, validation_backfill, after_deletion, replaced_finals, supporting_evidence, export_rows, export_lines, stage_usage, usage_totals,
+    backfilled_snapshots, validation_backfill, after_deletion, replaced_finals, supporting_evidence, export_rows, export_table, export_evidence, export_lines, stage_usage, usage_totals,
     progress_states, signal_summaries, diagnostics_listing,
 )}
 
@@ -224,6 +237,11 @@ SQL = {
     "export_rows": f"""with {_ELECT}, {_SUPPORT}, {_LATEST} select g.id as signal_id, g.transcript_id, g.item_type, g.category, case when not isnan(g.extraction_confidence) then printf('%.2f', g.extraction_confidence) end as business_score,
         coalesce(m.q[1], '') as supporting_quote_1, coalesce(m.ts[1], '') as supporting_timestamp_1 from g left join lr using (transcript_id) left join m on m.signal_id = g.id
         where g.id = g.canon and ((run_id is not null and g.analysis_run_id = run_id) or (run_id is null and g.analysis_run_id is null))""",
+    "export_evidence": f"""with {_ELECT}, {_LATEST}, m as (select a.id as signal_id, to_json(list(struct_pack(quote := b.advisor_quote, timestamp := b.timestamp, relationship := 'supporting_reason') order by b.id))::varchar as cell
+        from g a join g b on a.transcript_id = b.transcript_id and a.duplicate_group_id = b.duplicate_group_id and a.analysis_run_id is not distinct from b.analysis_run_id and a.id <> b.id
+        where a.id = a.canon and b.id <> b.canon group by all)
+        select g.id as signal_id, coalesce(cell, '[]') as supporting_evidence from g left join lr using (transcript_id) left join m on m.signal_id = g.id
+        where g.id = g.canon and ((run_id is not null and g.analysis_run_id = run_id) or (run_id is null and g.analysis_run_id is null))""",
     "export_lines": f"""with {_ELECT} select id, '{{"transcript_id":' || transcript_id || ',"item_type":"' || item_type || '","category":' || coalesce(to_json(category)::varchar, 'null') || ',"timestamp":' || coalesce(to_json(timestamp)::varchar, 'null') || '}}' as line from g where id = canon""",
     "stage_usage": f"with {_CALLS} select run, stage, {_USE}, round(greatest(0, sum(value)), 2) as value from c group by all",
     "usage_totals": f"with {_CALLS}, u as (select stage, {_USE} from c group by all) select cast(sum(call_count) as bigint) as call_count, cast(sum(tokens) as bigint) as tokens, cast(sum(cached) as bigint) as cached, cast(case when count(cost) = count(*) then sum(cost) end as bigint) as cost from u",

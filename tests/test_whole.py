@@ -1,12 +1,17 @@
 """Operators that must see all of their input: no cap, no fallback left out."""
 
+import json
 import math
+import os
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from colloquy.operators import evidence, metrics, views
-from colloquy.plans import signal_queries
+from colloquy.plans import run_queries, signal_queries
+
+BASE = os.environ.get("COLLOQUY_TESTDATA", "/root/testdata/sf0.001")
 
 
 def test_ndcg_over_groups_of_any_size(spark):
@@ -61,3 +66,15 @@ def test_rationale_is_grounded_by_neighbouring_turns(spark, tmp_path):
     s.withColumn("rationale", F.lit("because of x")).write.parquet(f"{tmp_path}/candidate_signals.parquet")
     got = {r.id: r.rationale for r in signal_queries.grounded_in_context(spark, str(tmp_path)).collect()}
     assert got == {1: "because of x", 2: 'The advisor states, "the quote"', 3: "because of x"}
+
+
+@pytest.mark.skipif(not os.path.isdir(BASE), reason="supplied tables are not here")
+def test_export_holds_every_supporting_quote(spark):
+    rows = run_queries.export_table(spark, BASE).collect()
+    held = [json.loads(r.supporting_evidence) for r in rows]
+    width = max(1, *map(len, held))
+    assert width > 1 and sum("supporting_quote_" in c for c in rows[0].asDict()) == width
+    for r, items in zip(rows, held):
+        items = items + [{"quote": "", "timestamp": ""}] * (width - len(items))
+        for i, x in enumerate(items, 1):
+            assert r[f"supporting_quote_{i}"] == (x["quote"] or "") and r[f"supporting_timestamp_{i}"] == (x["timestamp"] or "")
