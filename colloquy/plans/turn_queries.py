@@ -151,6 +151,10 @@ def quote_matches(spark, base):
     return ev.quote_matches(quotes, t)
 
 
+def signal_quote_matches(spark, base):
+    return ev.quote_matches(signals(spark, base), table(spark, base, "transcript_turns").dropDuplicates(["id"]))
+
+
 def owner_contexts(spark, base):
     return ev.bounded_owner_context(turns(spark, base))
 
@@ -164,7 +168,7 @@ def unparsed_transcripts(spark, base):
 QUERIES = {f.__name__: f for f in (
     turns_flat, turns_lines, transcript_texts, repaired_documents, upload_checks, turn_batches, batch_hashes, gated_roles, role_histogram,
     owner_neighbourhood, reliable_turns, source_resolution, source_quotes, context_windows, context_texts, rank_contexts, completion_turns, procedural_turns,
-    quote_matches, owner_contexts, unparsed_transcripts, evidence_locator, evidence_places, tagged_neighbours, natural_listing, status_counts,
+    quote_matches, signal_quote_matches, owner_contexts, unparsed_transcripts, evidence_locator, evidence_places, tagged_neighbours, natural_listing, status_counts,
 )}
 
 _BAD = [(b, g) for b, g in tx._broken_forms()]
@@ -257,6 +261,9 @@ SQL = {
         w as (select * from h qualify same = max(same) over (partition by id)),
         g as (select id, count(*) as n, min(turn_id) as one, count(*) filter (tm) as k, min(turn_id) filter (tm) as at_ from w group by id)
         select qt.id, case when n = 1 then one when k = 1 then at_ end as turn_id from qt left join g using (id)""",
+    "signal_quote_matches": f"""with {S}, {T}, g as (select s.id, count(*) as n, min(t.id) as one from s join t on t.transcript_id = s.transcript_id and contains(t.text, advisor_quote)
+        where regexp_matches(advisor_quote, '\\S') group by s.id)
+        select s.id, cast(coalesce(n, 0) as int) as matches, case when n = 1 then one end as turn_id from s left join g using (id)""",
     "context_windows": f"with {_CITED}, {_WINDOW.replace('{own}', 'e.part')} select sid as id, pos, id as turn_id from k where rn <= 5",
     "context_texts": f"with {_CITED}, {_WINDOW.replace('{own}', 'e.own')} select sid as id, string_agg(text, ' ' order by pos) as context from k where rn <= 5 group by sid",
     "completion_turns": f"""with {_CITED}, n as (select *, lag(id) over w as pi, lag(raw_speaker_label) over w as pl, lag(inferred_role) over w as pr, lead(id) over w as ni,

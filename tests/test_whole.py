@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from colloquy.operators import evidence, metrics, views
-from colloquy.plans import run_queries, signal_queries
+from colloquy.plans import run_queries, signal_queries, turn_queries
 
 BASE = os.environ.get("COLLOQUY_TESTDATA", "/root/testdata/sf0.001")
 
@@ -78,3 +78,12 @@ def test_export_holds_every_supporting_quote(spark):
         items = items + [{"quote": "", "timestamp": ""}] * (width - len(items))
         for i, x in enumerate(items, 1):
             assert r[f"supporting_quote_{i}"] == (x["quote"] or "") and r[f"supporting_timestamp_{i}"] == (x["timestamp"] or "")
+
+
+def test_quote_matches_of_all_kinds(spark):
+    t = _turns(spark, ["We like the fee schedule a lot", "a lot", "nothing here"])
+    quotes = ["like the fee", "Like the fee", "a lot", "here", "never said by anyone", "We like the fee schedule a lot", " "]
+    s = spark.createDataFrame([(i, 1, q, None, None) for i, q in enumerate(quotes)], SIGNALS)
+    got = {r.id: (r.matches, r.turn_id) for r in evidence.quote_matches(s, t).collect()}
+    assert got == {0: (1, 10), 1: (0, None), 2: (2, None), 3: (1, 12), 4: (0, None), 5: (1, 10), 6: (0, None)}
+    assert {"signal_quote_matches"} <= set(turn_queries.QUERIES) & set(turn_queries.SQL)
