@@ -85,15 +85,81 @@ def near_data(n=300, seed=3):
     return out
 
 
-def test_near_duplicates(spark):
-    data = near_data() + [(900, None, None, None), (901, "", "", ""), (902, "!!", None, ""), (None, "w1 w2", None, None), (903, "Solo", None, None), (904, "solo!", None, None)]
-    data += data[:5]
+def found_pairs(spark, data, **kw):
     df = spark.createDataFrame([(*d, "extra", 1) for d in data], "id long, q string, r string, c string, words string, n int")
+    return rows(darts.all_pairs(*darts.near_duplicates(df, "id", ["q", "r", "c"], 0.7, **kw)))
+
+
+def formulaic(n, rng):
+    """Nine of twelve common words and one of its own: pairs that share the nine have similarity 9/11, others at most 8/12."""
+    return [(i, " ".join(rng.sample([f"common{j}" for j in range(12)], 9) + [f"own{i}"]), None, None) for i in range(n)]
+
+
+def rare_edits(n, rng):
+    """Pairs at exactly 0.7 that share common words and differ in rare ones."""
+    out = []
+    for i in range(0, 2 * n, 2):
+        shared = rng.sample([f"often{j}" for j in range(60)], 35)
+        out += [(i + side, " ".join(shared + [f"rare{i}x{side}x{j}" for j in range(7 + side)]), None, None) for side in (0, 1)]
+    return out
+
+
+@pytest.mark.parametrize("make, n", [(near_data, 300), (lambda n: formulaic(n, random.Random(1)), 700), (lambda n: rare_edits(n, random.Random(2)), 400)])
+def test_near_duplicates(spark, make, n):
+    data = make(n)
+    odd = [(9000, None, None, None), (9001, "", "", ""), (9002, "!!", None, ""), (None, "w1 w2", None, None), (9003, "Solo", None, None), (9004, "solo!", None, None)]
+    data = data + odd + data[:5]
     want = brute_pairs(data, 0.7)
-    got = rows(darts.all_pairs(*darts.near_duplicates(df, "id", ["q", "r", "c"], 0.7)))
-    assert not set(got) - set(want) and len(got) == len(set(got))
-    # half of these pairs lie within 0.05 of the threshold, where a pair may be missed
-    assert len(got) >= 0.93 * len(want) and (903, 904) in got
+    assert len(want) > 100
+    assert found_pairs(spark, data, exact=True) == want
+    got = found_pairs(spark, data)
+    assert not set(got) - set(want) and len(got) == len(set(got)) and (9003, 9004) in got
+    assert len(got) >= 0.99 * len(want)
+
+
+def test_near_duplicates_large_buckets(spark, monkeypatch):
+    data = formulaic(400, random.Random(5)) + near_data(100, 6)[:60]
+    data = [(n, *d[1:]) for n, d in enumerate(data)]
+    want = brute_pairs(data, 0.7)
+    few = found_pairs(spark, data)
+    monkeypatch.setattr(darts, "BUCKET", 8)  # nearly every bucket of the formulaic records is too large now
+    assert len(found_pairs(spark, data)) >= max(len(few), 0.99 * len(want))
+    monkeypatch.setattr(darts, "PAIRS_AT_ONCE", 3)
+    assert set(found_pairs(spark, data)) <= set(want)
+
+
+def test_bucket_pairs_over_batches():
+    """Groups that cross batches, and one that grows beyond BUCKET, come out whole."""
+    import pyarrow as pa
+
+    rng = random.Random(3)
+    size = [1, 3, 900, 2, 40, 1, 5000, 7, 4]
+    p = [(k << 24) | 50 for k, n in enumerate(size) for _ in range(n)]
+    ids = rng.sample(range(10**6), len(p))
+    t = pa.table({"p": pa.array(p), "id": pa.array(ids), "s0": pa.array([0] * len(p)), "s1": pa.array([-1] * len(p))})
+    out = pa.Table.from_batches(darts._bucket_pairs(0.7)(t.to_batches(max_chunksize=700)), pa.schema([("a", pa.int64()), ("b", pa.int64())])).to_pylist()
+    at, pairs, hot = 0, set(), set()
+    for n in size:
+        own = sorted(ids[at : at + n])
+        at += n
+        if n > darts.BUCKET:
+            hot = set(own)
+        else:
+            pairs |= {(a, b) for i, a in enumerate(own) for b in own[i + 1 :]}
+    assert {(r["a"], r["b"]) for r in out if r["b"] is not None} == pairs and {r["a"] for r in out if r["b"] is None} == hot
+
+
+@pytest.mark.parametrize("mean", [0.25, 40.0, 744.0, 800.0, 1200.0, 5000.0])
+def test_darts_of_a_cell_have_their_mean(mean):
+    steps = darts._poisson_steps(mean)
+    assert abs((1 - steps).sum() - mean) < 0.01 * mean + 1e-6 and (np.diff(steps) >= 0).all() and steps[-1] <= 1
+
+
+def test_bands_keep_their_recall_at_every_size():
+    for n in (10, 10**5, 10**9):
+        b = darts.Bands.least(n, 0.7)
+        assert 1 - (1 - 0.7**b.rows) ** b.bands >= 0.995
+    assert darts.Bands.least(10**9, 0.7).rows > darts.Bands.least(10**5, 0.7).rows
 
 
 def test_near_duplicates_hot_copies(spark, monkeypatch):
@@ -124,7 +190,18 @@ def test_dart_agreement_estimates_weighted_similarity():
     sig = darts.signatures(np.concatenate([a, b]), np.array([0, 45, 90]), weights, 2000)
     want = sum(weight[int(w)] for w in words[15:45]) / sum(weight.values())
     assert abs((sig[0] == sig[1]).mean() - want) < 0.05
-    assert (sig != darts._MAX).all()
+    assert (sig != darts._FAR).all()
+
+
+def test_signature_does_not_depend_on_what_is_signed_with_it(monkeypatch):
+    rng = np.random.default_rng(2)
+    sets = [rng.integers(1, 2**63, n).astype(np.uint64) for n in (1, 3, 40, 40, 900, 20_000)]
+    sets.append(np.zeros(0, np.uint64))
+    offsets = np.cumsum([0] + [len(x) for x in sets])
+    all_ = darts.signatures(np.concatenate(sets), offsets, None, 96)
+    monkeypatch.setattr(darts, "TABLE", 10_000)
+    for x, sig in zip(sets, all_):
+        assert (darts.signatures(x, np.array([0, len(x)]), None, 96)[0] == sig).all()
 
 
 # 3: speaker turns
