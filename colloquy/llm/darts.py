@@ -37,8 +37,8 @@ TABLE = 6_000_000
 REMEMBERED = 100_000
 #: Copies up to this many are taken out by a broadcast of their ids, more by a shuffled anti join.
 COPIES_BROADCAST = 200_000
-#: Members of a bucket compared with each other; a larger bucket goes to the exact join on rare words, without loss.
-BUCKET = 4000
+#: Members of a bucket compared with each other, 2 * 10^8 pairs at most; a larger bucket goes to the exact join on rare words, without loss.
+BUCKET = 20_000
 #: Pairs formed at once, and postings per task of the banded join.
 PAIRS_AT_ONCE = 1_000_000
 POSTINGS_PER_TASK = 400_000
@@ -351,10 +351,11 @@ def _prefixer(common: np.ndarray, count: np.ndarray, threshold: float):
             order = np.lexsort((values, often, owner))
             place = np.arange(len(values)) - np.repeat(offsets[:-1], size)
             keep = place < (size - np.ceil(threshold * size - 1e-9) + 1)[owner]
-            word, owner, place = values[order][keep], owner[keep], place[keep]
+            word, owner, place, maps = values[order][keep], owner[keep], place[keep], _parities(values, offsets)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(word.view(np.int64)), batch.column("id").take(pa.array(owner)), pa.array(size[owner].astype(np.int32)), pa.array(place.astype(np.int32))], ["w", "id", "n", "place"]
-            )
+                [pa.array(word.view(np.int64)), batch.column("id").take(pa.array(owner)), pa.array(size[owner].astype(np.int32)), pa.array(place.astype(np.int32)),
+                 pa.array(maps[owner, 0]), pa.array(maps[owner, 1])], ["w", "id", "n", "place", "s0", "s1"],
+            )
 
     return rarest
 
@@ -362,19 +363,20 @@ def _prefixer(common: np.ndarray, count: np.ndarray, threshold: float):
 def _rare_word_pairs(texts: DataFrame, threshold: float) -> DataFrame:
     """All pairs that can reach the threshold, found on a shared word among the rarest of both; loses none.
 
-    Left out are only pairs whose sizes, or the words that remain from the shared one on, are too few.
+    Left out are only pairs whose sizes, parity maps, or words that remain from the shared one on, rule the threshold out.
     """
     total = texts.count()
     counted = texts.select("text").mapInArrow(_count_words, "w long, n long").groupBy("w").agg(F.sum("n").alias("n"))
     stats = counted.filter(F.col("n") >= max(2, total // COMMON)).toPandas()  # at most COMMON times the mean words of a record
     common = stats["w"].to_numpy().astype(np.int64).view(np.uint64)
     order = np.argsort(common)
-    posts = texts.mapInArrow(_prefixer(common[order], stats["n"].to_numpy().astype(np.int64)[order], threshold), "w long, id long, n int, place int")
+    posts = texts.mapInArrow(_prefixer(common[order], stats["n"].to_numpy().astype(np.int64)[order], threshold), "w long, id long, n int, place int, s0 long, s1 long")
     l, r = posts.alias("l"), posts.alias("r")
     both = F.col("l.n") + F.col("r.n")
     near_size = F.least("l.n", "r.n") >= F.greatest("l.n", "r.n") * F.lit(threshold) - 1e-9
     enough = F.least(F.col("l.n") - F.col("l.place"), F.col("r.n") - F.col("r.place")) >= both * F.lit(threshold / (1 + threshold)) - 1e-9
-    met = l.join(r, (F.col("l.w") == F.col("r.w")) & (F.col("l.id") < F.col("r.id")) & near_size & enough)
+    apart = F.bit_count(F.col("l.s0").bitwiseXOR(F.col("r.s0"))) + F.bit_count(F.col("l.s1").bitwiseXOR(F.col("r.s1")))
+    met = l.join(r, (F.col("l.w") == F.col("r.w")) & (F.col("l.id") < F.col("r.id")) & near_size & enough & (apart <= both * F.lit((1 - threshold) / (1 + threshold)) + 1e-9))
     return met.select(F.col("l.id").alias("a"), F.col("r.id").alias("b")).distinct()
 
 
