@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass, field
-from math import ceil, log
 
 import numpy as np
 import pyarrow as pa
@@ -12,14 +10,20 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import ship
+from ..session import Scratch, ship
 from .darts import mix
+from .shared import open_shared
 
 WORD = re.compile(r"[^\W_]+")
-#: Item windows per pass over the corpus; a larger item set is searched block by block.
-BLOCK_WINDOWS = 1_000_000
+#: Keys of item windows that a worker holds at a time (8 bytes each); a larger item set takes one pass over the corpus per so many.
+BLOCK_KEYS = 8_000_000
+#: Windows of the items (rows of the index) up to this many are joined by broadcast.
+INDEX_BROADCAST = 200_000
+#: Items whose windows calibrate the number of repetitions, edits tried per kind and position, and the most repetitions.
+CALIBRATION_ITEMS = 200
+TRIALS = 40
+MOST_REPETITIONS = 256
 _PAD = np.uint64(0x5851F42D4C957F2D)
-_TRIALS = 400
 
 
 def words_of(text: str | None) -> list[str]:
@@ -59,9 +63,12 @@ def walk(symbols: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int, w
     return out
 
 
-def _keys(symbols, starts, ends, seed, wanted) -> np.ndarray:
+def _keys(symbols, starts, ends, m: int, sample: int, seed: int) -> np.ndarray:
+    """The keys of windows of m words in one repetition: hashes of sampled places of their walks."""
+    steps = 3 * m
+    wanted = np.sort(np.random.default_rng([1000 + seed, m]).choice(steps, min(sample, steps), replace=False))
     s = walk(symbols, starts, ends, seed, wanted)
-    key = np.full(len(starts), np.uint64(seed + 1))
+    key = np.full(len(starts), np.uint64(seed * 1_000_003 + m))
     for c in range(s.shape[1]):
         key = mix(key * np.uint64(0x9E3779B97F4A7C15) + s[:, c])
     return key
@@ -86,160 +93,185 @@ def within(a: list[str], b: list[str], most: int) -> bool:
     return min(row.values(), default=inf) <= most
 
 
-@dataclass
-class LeakIndex:
-    """The windows of an item set under bit samples; a few hundred bytes per window.
+def _edited(words: np.ndarray, edits: list[tuple[int, int]], rng) -> np.ndarray:
+    """words after edits (kind, place) of kinds change, delete, insert, followed by words that belong to nobody."""
+    out = list(words)
+    for kind, at in sorted(edits, key=lambda e: -e[1]):
+        fresh = np.uint64(rng.integers(1, 2**62))
+        if kind == 0:
+            out[at] = fresh
+        elif kind == 1:
+            del out[at]
+        else:
+            out.insert(at, fresh)
+    return np.concatenate([np.array(out, np.uint64), rng.integers(1, 2**62, len(words)).astype(np.uint64)])
 
-    sample: coordinates of the 3 * window steps in a key.  The number of
-    repetitions is the least that finds a window with ``max_edits`` random word
-    edits with probability ``recall``, measured here on the items' own windows; unedited
-    windows always meet, so without edits one repetition has recall 1.
-    """
 
-    window: int
-    max_edits: int
-    sample: int
-    recall: float
-    items: list[tuple[int, list[str]]]
-    tables: list = field(default_factory=list)
+def repetitions(windows: list[np.ndarray], max_edits: int, sample: int, recall: float) -> int:
+    """The least number of repetitions whose recall is reached for the worst kind and place of an edit.
 
-    def __post_init__(self) -> None:
+    Every kind of edit is tried at every place of the windows, together with max_edits - 1 others at random, in TRIALS windows
+    each, and with other words behind; the repetitions are those that the search runs, one after another.
+    """
+    if not max_edits or not windows:
+        return 1
+    rng = np.random.default_rng(7)
+    parts, group, width, alike = [], [], [], len({len(w) for w in windows}) == 1
+    for n, w in enumerate(windows):
+        m = len(w)
+        for kind in range(3):
+            for at in range(m):
+                for _ in range(max(1, -(-TRIALS // len(windows)))):
+                    others = rng.choice([p for p in range(m) if p != at], min(max_edits - 1, m - 1), replace=False).tolist()
+                    parts += [w, _edited(w, [(kind, at), *((int(rng.integers(3)), p) for p in others)], rng)]
+                    group.append((kind, at if alike else (10 * at) // m))
+                    width.append(m)
+    symbols = np.concatenate(parts)
+    first = np.cumsum([0] + [len(p) for p in parts[:-1]])
+    group, width = np.unique(np.array(group), axis=0, return_inverse=True)[1], np.array(width)
+    met = np.zeros(len(group), bool)
+    for seed in range(MOST_REPETITIONS):
+        for m in np.unique(width):
+            some = np.flatnonzero((width == m) & ~met)
+            if len(some):
+                a, b = first[2 * some], first[2 * some + 1]
+                met[some] = _keys(symbols, a, a + m, m, sample, seed) == _keys(symbols, b, b + m, m, sample, seed)
+        if min(np.bincount(group, met) / np.bincount(group)) >= recall:
+            break
+    return seed + 1
+
+
+def _windows(words: int, window: int | None, edits: int) -> list[tuple[int, int]]:
+    """(start, length) of an item's windows; the item itself where the window is as long as the item."""
+    if window is None:
+        return [(0, words)] if words > 2 * edits else []
+    return [(q, window) for q in range(words - window + 1)]
+
+
+def _indexer(window: int | None, edits: int, sample: int, reps: int):
+    """One row per window and repetition: key, length, words, item."""
+
+    def index(batches):
         hasher = _Hasher()
-        m, k = self.window, self.max_edits
-        self.owner, self.offset, parts = [], [], []
-        at = 0
-        starts = []
-        for n, (_, words) in enumerate(self.items):
-            for q in range(len(words) - m + 1):
-                self.owner.append(n)
-                self.offset.append(q)
-                starts.append(at + q)
-            parts.append(hasher.all(words))
-            at += len(words)
-        symbols = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
-        starts = np.array(starts, np.int64)
-        rng = np.random.default_rng(7)
-        reps = self._repetitions(symbols, starts, rng) if k and len(starts) else 1
-        for seed in range(reps):
-            wanted = self._sample(seed)
-            key = _keys(symbols, starts, starts + m, seed, wanted)
-            order = np.argsort(key, kind="stable")
-            self.tables.append((seed, wanted, key[order], order))
-
-    def _sample(self, seed: int) -> np.ndarray:
-        steps = 3 * self.window
-        return np.sort(np.random.default_rng(1000 + seed).choice(steps, min(self.sample, steps), replace=False))
-
-    def _repetitions(self, symbols, starts, rng) -> int:
-        m, met, tries = self.window, 0, 0
-        for t in range(_TRIALS):
-            s = starts[rng.integers(len(starts))]
-            a = symbols[s : s + m]
-            b = list(a)
-            for _ in range(self.max_edits):
-                kind, pos = rng.integers(3), rng.integers(max(1, len(b)))
-                fresh = np.uint64(rng.integers(1, 2**62))
-                if kind == 0 and b:
-                    b[pos] = fresh
-                elif kind == 1 and b:
-                    del b[pos]
-                else:
-                    b.insert(pos, fresh)
-            both = np.concatenate([a, np.array(b, np.uint64)])
-            wanted = self._sample(t % 50)
-            k = _keys(both, np.array([0, m]), np.array([m, min(len(both), 2 * m)]), t % 50, wanted)
-            met += k[0] == k[1]
-            tries += 1
-        p = max(met, 1) / tries
-        return 1 if p >= self.recall else max(1, ceil(log(1 - self.recall) / log(1 - p)))
-
-    def search(self, texts: list[str | None]) -> list[set[int]]:
-        """Of each text the numbers of the items it contains."""
-        m, k = self.window, self.max_edits
-        hasher = self.__dict__.setdefault("_hasher", _Hasher())
-        found: list[set[int]] = [set() for _ in texts]
-        block, size = [], 0
-        for n, text in enumerate(texts):
-            words = words_of(text)
-            if len(words) >= m - k and words:
-                block.append((n, words))
-                size += len(words)
-            if size > 200_000:
-                self._search_block(block, found, hasher)
-                block, size = [], 0
-        if block:
-            self._search_block(block, found, hasher)
-        return found
-
-    def _search_block(self, block, found, hasher) -> None:
-        m, k = self.window, self.max_edits
-        symbols = np.concatenate([hasher.all(w) for _, w in block])
-        lens = np.array([len(w) for _, w in block])
+        for batch in batches:
+            rows = []
+            for item, text in zip(batch.column("item_id").to_pylist(), batch.column("text").to_pylist()):
+                words = words_of(text)
+                for q, m in _windows(len(words), window, edits):
+                    part = words[q : q + m]
+                    symbols, zero = hasher.all(part), np.zeros(1, np.int64)
+                    key = {int(_keys(symbols, zero, zero + m, m, sample, r).view(np.int64)[0]) for r in range(reps)}
+                    rows += [(k, m, " ".join(part), item) for k in key]
+            cols = list(zip(*rows)) or [()] * 4
+            types = [pa.int64(), pa.int32(), pa.string(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["key", "m", "passage", "item_id"])
+
+    return index
+
+
+_held: dict[tuple[str, ...], np.ndarray] = {}
+
+
+def _block_keys(paths: tuple[str, ...]) -> np.ndarray:
+    """The sorted keys of a block, read from the shared folder once per worker."""
+    if paths not in _held:
+        _held.clear()
+        _held[paths] = np.unique(np.concatenate([open_shared(p).read(columns=["key"]).column("key").to_numpy() for p in paths]) if paths else np.zeros(0, np.int64))
+    return _held[paths]
+
+
+def _finder(paths: tuple[str, ...], lengths: list[int], edits: int, sample: int, reps: int):
+    """Windows of documents whose key is among the items' keys of a block."""
+
+    def find_block(block, keys, rows):
+        symbols = np.concatenate([h for _, _, h in block])
+        lens = np.array([len(h) for _, _, h in block])
         base = np.cumsum(lens) - lens
-        counts = np.maximum(0, lens - (m - k) + 1)
-        doc = np.repeat(np.arange(len(block)), counts)
-        local = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-        starts = base[doc] + local
-        ends = np.minimum(starts + m, (base + lens)[doc])
-        for seed, wanted, keys, order in self.tables:
-            if not len(keys):
-                return
-            key = _keys(symbols, starts, ends, seed, wanted)
-            lo = np.searchsorted(keys, key)
-            hit = np.flatnonzero(keys[np.minimum(lo, len(keys) - 1)] == key)
-            for w in hit.tolist():
-                n, words = block[doc[w]]
-                p, i = int(local[w]), int(lo[w])
-                while i < len(keys) and keys[i] == key[w]:
-                    item = self.owner[order[i]]
-                    if item not in found[n]:
-                        q = self.offset[order[i]]
-                        if within(self.items[item][1][q : q + m], words[p : p + m + k], k):
-                            found[n].add(item)
-                    i += 1
-
-
-def _searcher(index: LeakIndex):
-    ids = [i for i, _ in index.items]
-
-    def search(batches):
+        for m in lengths:
+            counts = np.maximum(0, lens - max(1, m - edits) + 1)
+            doc = np.repeat(np.arange(len(block)), counts)
+            local = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+            starts = base[doc] + local
+            ends = np.minimum(starts + m, (base + lens)[doc])
+            for r in range(reps):
+                key = _keys(symbols, starts, ends, m, sample, r).view(np.int64)
+                at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+                for w in np.flatnonzero(keys[at] == key).tolist():
+                    n, words, _ = block[doc[w]]
+                    p = int(local[w])
+                    rows.add((int(key[w]), n, " ".join(words[p : p + m + edits])))
+
+    def find(batches):
+        hasher, keys = _Hasher(), _block_keys(paths)
+        for batch in batches:
+            rows: set = set()
+            block, size = [], 0
+            for n, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
+                words = words_of(text)
+                if words and len(keys):
+                    block.append((n, words, hasher.all(words)))
+                    size += len(words)
+                if size > 200_000:
+                    find_block(block, keys, rows)
+                    block, size = [], 0
+            if block:
+                find_block(block, keys, rows)
+            cols = list(zip(*rows)) or [()] * 3
+            types = [pa.int64(), pa.int64(), pa.string()]
+            out = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["key", "doc_id", "found"])
+            yield from (out.slice(i, 20_000) for i in range(0, max(1, out.num_rows), 20_000))
+
+    return find
+
+
+def _verifier(edits: int):
+    def verify(batches):
         for batch in batches:
-            found = index.search(batch.column("text").to_pylist())
-            docs = batch.column("doc_id").to_pylist()
-            rows = [(docs[n], ids[i]) for n, items in enumerate(found) for i in items]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64())], ["doc_id", "item_id"]
-            )
+            keep = [within(a.split(" "), b.split(" "), edits) for a, b in zip(batch.column("passage").to_pylist(), batch.column("found").to_pylist())]
+            yield batch.select(["doc_id", "item_id"]).filter(pa.array(keep, pa.bool_()))
 
-    return search
+    return verify
 
 
 def leaked_items(
-    documents: DataFrame, items: DataFrame, window: int = 13, max_edits: int = 0, sample: int = 12, recall: float = 0.95
+    documents: DataFrame, items: DataFrame, window: int | None = 13, max_edits: int = 0, sample: int | None = None, recall: float = 0.95
 ) -> DataFrame:
     """Each document with each item of which it holds a window, up to ``max_edits`` word edits.
 
-    Every window of ``window`` words of the items and of the documents is embedded by
-    the CGK walk, which turns word edits into few differing places; keys of sampled
-    places meet in sorted tables that travel to the executors, and every
-    meeting is verified on the words themselves.  The corpus is read once, without a
-    shuffle of texts, per block of BLOCK_WINDOWS item windows, so the item
-    set may be of any size.  Runs eagerly for the item set.
+    window: the words of a window, every one of an item being searched; None for windows as long as each item, so that the whole
+    item is searched.  Every window of the items and of the documents is embedded by
+    the CGK walk, which turns word edits into few differing places; ``sample`` places make a key.
+    The number of repetitions is the least that reaches ``recall`` for the worst kind and place of an edit (``repetitions``), on
+    the windows of up to CALIBRATION_ITEMS items; unedited windows always meet, so without edits one repetition has recall 1.
+    The items' keys are a table in the shared folder.  The workers read BLOCK_KEYS of them at a time and pass over the corpus
+    once per block, without a shuffle of texts; only windows with a known key go on, join the
+    table on the key, and are verified by edit distance on the words.  Nothing of it is held by the driver.
 
     Defined cases: null and empty texts and items shorter than the window have no
-    match; null ids are left out; a row delivered twice counts once; an empty table
-    gives no rows; items of equal text are each reported.  Result: ``doc_id``, ``item_id``.
+    match, nor has, with ``window`` None, an item of at most 2 * max_edits words; null ids are left out; a row delivered twice
+    counts once; an empty table gives no rows; items of equal text are each reported; other columns are ignored.
+    Result: ``doc_id``, ``item_id``.
     """
     spark = documents.sparkSession
     ship(spark)
+    scratch = Scratch(spark, "leakage")
+    sample = sample or (12 if not max_edits else max(4, 8 - 2 * max_edits))
     held = items.filter("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text").distinct()
-    size = held.select(F.sum(F.size(F.split("text", r"\s+")))).first()[0] or 0
-    blocks = max(1, -(-size // BLOCK_WINDOWS))
+    reps = 1
+    if max_edits:
+        some = [words_of(r["text"]) for r in held.orderBy(F.xxhash64("item_id"), "item_id").limit(CALIBRATION_ITEMS).collect()]
+        hasher, rng = _Hasher(), np.random.default_rng(5)
+        cut = [(w, own[rng.integers(len(own))]) for w in some if (own := _windows(len(w), window, max_edits))]
+        reps = repetitions([hasher.all(w[q : q + m]) for w, (q, m) in cut][: max(20, TRIALS)], max_edits, sample, recall)
+    index = scratch.save(held.mapInArrow(_indexer(window, max_edits, sample, reps), "key long, m int, passage string, item_id long"), "index")
+    rows = index.count()
+    lengths = sorted(r["m"] for r in index.select("m").distinct().collect())  # at most the words of the longest item
+    blocks = max(1, -(-rows // BLOCK_KEYS))
     docs = documents.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    out = None
+    hits = None
     for b in range(blocks):
-        part = held.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).orderBy("item_id").collect()
-        index = LeakIndex(window, max_edits, sample, recall, [(r["item_id"], words_of(r["text"])) for r in part])
-        found = docs.mapInArrow(_searcher(index), "doc_id long, item_id long")
-        out = found if out is None else out.unionByName(found)
-    return (out if out is not None else spark.createDataFrame([], "doc_id long, item_id long")).distinct()
+        part = scratch.save(index.filter(F.pmod(F.xxhash64("key"), F.lit(blocks)) == b).select("key"), "keys")
+        found = docs.mapInArrow(_finder(tuple(sorted(part.inputFiles())), lengths, max_edits, sample, reps), "key long, doc_id long, found string")
+        hits = found if hits is None else hits.unionByName(found)
+    met = hits.join(F.broadcast(index) if rows <= INDEX_BROADCAST else index, "key")
+    return met.select("passage", "found", "doc_id", "item_id").mapInArrow(_verifier(max_edits), "doc_id long, item_id long").distinct()

@@ -11,24 +11,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import Scratch
+from .shared import open_shared
 
 CATALOG = "path string, rg int, lo long, hi long, top double, rows long"
 
 
-def _open(path: str):
-    import pyarrow.fs as pafs
-    import pyarrow.parquet as pq
-
-    fs, inner = pafs.FileSystem.from_uri(path)
-    return pq.ParquetFile(fs.open_input_file(inner))
-
-
 def _footers(batches):
     """One row per row group, from the footers alone; a missing statistic never lets it be skipped."""
     for batch in batches:
         rows = []
         for path in batch.column("path").to_pylist():
-            file = _open(path)
+            file = open_shared(path)
             meta, names = file.metadata, file.schema_arrow.names
             for i in range(meta.num_row_groups):
                 rg = meta.row_group(i)
@@ -62,7 +55,7 @@ def _reader(n: int, columns: list[str]):
     def read(batches):
         for batch in batches:
             for path, rg in zip(batch.column("path").to_pylist(), batch.column("rg").to_pylist()):
-                t = _open(path).read_row_group(rg, columns=columns).combine_chunks()
+                t = open_shared(path).read_row_group(rg, columns=columns).combine_chunks()
                 if not t.num_rows:
                     continue
                 group = _changes(t, columns[:-2])

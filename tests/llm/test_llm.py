@@ -414,28 +414,47 @@ def test_leakage_exact(spark):
 
 
 def test_leakage_blocks(spark, monkeypatch):
-    monkeypatch.setattr(leakage, "BLOCK_WINDOWS", 20)
+    monkeypatch.setattr(leakage, "BLOCK_KEYS", 20)
+    monkeypatch.setattr(leakage, "INDEX_BROADCAST", 0)
     text = " ".join(f"q{i}" for i in range(60))
     items = spark.createDataFrame([(i, " ".join(f"q{j}" for j in range(i, i + 15))) for i in range(20)], "item_id long, text string")
     docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
     assert len(rows(leakage.leaked_items(docs, items))) == 20
 
 
-def test_leakage_with_edits():
-    rng = random.Random(8)
+def leaks(edits, each, size, rng, first=0):
+    """Items of ``size`` words and documents that hold one with edits: every kind at every place, ``each`` times, further edits at random."""
     pool = [f"t{i}" for i in range(4000)]
-    items = [(i, [rng.choice(pool) for _ in range(20)]) for i in range(60)]
-    index = leakage.LeakIndex(20, 2, 8, 0.95, items)
-    assert len(index.tables) > 1
-    docs = []
-    for _, words in items:
-        w = list(words)
-        w[rng.randrange(20)] = "changed"
-        del w[rng.randrange(20)]
-        docs.append(" ".join(rng.choice(pool) for _ in range(30)) + " " + " ".join(w) + " tail words go on")
-    found = index.search(docs + [None, "", "short"])
-    assert sum(n in f for n, f in enumerate(found[:60])) >= 54
-    assert not any(found[60:]) and sum(len(f - {n}) for n, f in enumerate(found[:60])) == 0
+    items, docs = [], []
+    for kind in range(3):
+        for at in range(size):
+            for _ in range(each):
+                words = [rng.choice(pool) for _ in range(size)]
+                n = first + len(items)
+                items.append((n, " ".join(words)))
+                places = [(kind, at)] + [(rng.randrange(3), p) for p in rng.sample([p for p in range(size) if p != at], edits - 1)]
+                for k, p in sorted(places, key=lambda x: -x[1]):
+                    words[p : p + (k < 2)] = [] if k == 1 else [rng.choice(pool)]
+                docs.append((n, " ".join(rng.choice(pool) for _ in range(30)) + " " + " ".join(words) + " " + " ".join(rng.choice(pool) for _ in range(30)), (kind, at)))
+    return items, docs
+
+
+@pytest.mark.parametrize("edits, window, size", [(1, 13, 13), (2, 13, 13), (3, 13, 13), (2, None, 24)])
+def test_leakage_with_edits(spark, edits, window, size):
+    items, docs = leaks(edits, 20, size, random.Random(edits))
+    noise = [(10**6, None), (10**6 + 1, ""), (10**6 + 2, "short")]
+    ddf = spark.createDataFrame([d[:2] for d in docs] + noise, "doc_id long, text string")
+    idf = spark.createDataFrame(items + [(10**6, None), (10**6 + 1, "t1 t2")], "item_id long, text string")
+    got = rows(leakage.leaked_items(ddf, idf, window, edits))
+    assert all(d == i for d, i in got)  # nothing but what was planted
+    found, by = {d for d, _ in got}, defaultdict(list)
+    for n, _, (kind, at) in docs:
+        by[kind].append(n in found)
+        by[kind, at].append(n in found)
+    assert len(found) >= 0.95 * len(docs)
+    assert all(sum(by[kind]) >= 0.95 * len(by[kind]) for kind in range(3))
+    # twenty trials a place: 0.95 may look like 0.8
+    assert all(sum(v) >= 0.8 * len(v) for v in by.values()), {k: sum(v) for k, v in by.items() if sum(v) < 0.8 * len(v)}
 
 
 @pytest.mark.parametrize("a, b, k, yes", [("a b c", "a b c d", 0, True), ("a b c", "a x c", 0, False), ("a b c", "a x c d", 1, True), ("a b c", "b c d", 1, True), ("a b c", "x y c", 1, False), ("a b c", "a b", 1, True), ("a", "", 0, False)])
