@@ -490,4 +490,69 @@ def test_pages(spark):
 
 
 def test_long_page():
-    assert spam.non_prose_share(PROSE * 5000) < 0.05
+    assert spam.Labeller(spam.Model.believed()).share(PROSE * 5000) < 0.05
+
+
+def made_pages(kind, n, rng):
+    """Pages of one kind over words of their own, so that no page repeats another."""
+    word = lambda: "".join(rng.choice("bcdfglmnprst") + rng.choice("aeiou") for _ in range(rng.randint(2, 4)))
+    name = lambda: word().title()
+    said = lambda: f"The {word()} wants to {word()} the {word()} before {rng.choice(['it', 'she', 'he'])} is {word()} with a {word()}."
+    make = {
+        "links": lambda: "\n".join(f"{name()} {name()}: https://{word()}.test/{word()}" for _ in range(12)),
+        "anchors": lambda: "\n".join(f'<a href="/{word()}">{name()} {word()}</a>' for _ in range(10)),
+        "tags": lambda: ", ".join(f"{word()} {word()}" for _ in range(40)),
+        "hashtags": lambda: " ".join(f"#{word()}" for _ in range(30)),
+        "products": lambda: "\n".join((lambda w: f"best {w}, cheap {w}, {w} shop, {w} prices")(word()) for _ in range(12)),
+        "stuffed": lambda: (lambda w: f"Our {w} is the {word()} {w} for {w}. Get {w} now because {w} means {w}. " * 6)(f"{word()} {word()}"),
+        "menu": lambda: "\n".join(rng.choice(["Home", "Login", "Next page", "Read more", "Archive", "Contact", "Share", "Privacy", "Sitemap"]) for _ in range(30)),
+        "prose": lambda: " ".join(said() for _ in range(12)),
+        "notes": lambda: "\n".join(f"- {said()}" for _ in range(8)),
+        "log": lambda: "\n".join(f"{name()}: {said()}" for _ in range(10)),
+        "table": lambda: "\n".join(f"{word()} {word()}\t{rng.randint(1, 99)}\t{rng.randint(1, 99)}" for _ in range(12)),
+        "prices": lambda: said() + "\n" + "\n".join(f"{name()} {word()}: {rng.randint(10, 900)} for {rng.randint(2, 9)} of them" for _ in range(10)),
+        "record": lambda: "{" + ", ".join(f'"{word()}": "{word()} {word()}"' for _ in range(14)) + "}",
+        "ends": lambda: " ".join(said() for _ in range(14)) + "\nhttps://a.test/x\nhttps://b.test/y\ntags: " + ", ".join(word() for _ in range(6)),
+    }[kind]
+    return [make() for _ in range(n)]
+
+
+BAD_KINDS, GOOD_KINDS = ("links", "anchors", "tags", "hashtags", "products", "stuffed", "menu"), ("prose", "notes", "log", "table", "prices", "record", "ends")
+
+
+def test_pages_of_kinds_the_fit_has_not_seen():
+    rng = random.Random(11)
+    pages = {k: made_pages(k, 40, rng) for k in BAD_KINDS + GOOD_KINDS}
+    bins = {k: [np.array(spam._bins(t)[0]) for t in v] for k, v in pages.items()}
+    hit = wrong = 0
+    for kind, texts in pages.items():
+        labeller = spam.Labeller(spam.fit([b for k, v in bins.items() if k != kind for b in v]))
+        flagged = sum(labeller.share(t) > 0.5 for t in texts)
+        hit += flagged * (kind in BAD_KINDS)
+        wrong += flagged * (kind in GOOD_KINDS)
+    assert hit >= 0.95 * 40 * len(BAD_KINDS) and wrong <= 0.05 * 40 * len(GOOD_KINDS), (hit, wrong)
+
+
+def test_neighbouring_lines_change_a_label():
+    """The same doubtful line is a list item between links and prose between sentences."""
+    model = spam.fit([np.array(spam._bins(t)[0]) for k in BAD_KINDS + GOOD_KINDS for t in made_pages(k, 10, random.Random(3))])
+    links, prose = made_pages("links", 1, random.Random(4))[0].split("\n"), made_pages("notes", 1, random.Random(4))[0].split("\n")
+    doubtful = "Broad mandate for client meetings"
+    label = lambda lines, l: l.labels(spam._bins("\n".join(lines))[0])
+    chained, alone = spam.Labeller(model), spam.Labeller(model, chained=False)
+    between_links, between_prose = links[:4] + [doubtful] + links[4:8], prose[:4] + [doubtful] + prose[4:8]
+    assert label(between_links, chained)[4] != 0 and label(between_prose, chained)[4] == 0
+    assert label(between_links, alone)[4] == label(between_prose, alone)[4]  # by itself it is one or the other
+    # and a page's flag: half of its words stand on such lines
+    page = "\n".join(x for line in links[:9] for x in (line.split(": ")[1], doubtful))
+    assert (chained.share(page) > 0.5) and chained.share("\n".join(x for line in prose[:8] for x in (line, doubtful))) < 0.5
+
+
+def test_fit_learns_what_follows_what():
+    """States that never mix are told to stay, and a feature of one state is learnt from its lines."""
+    model = spam.fit([np.array(spam._bins(t)[0]) for k in ("links", "prose") for t in made_pages(k, 300, random.Random(7))], prior=10.0)
+    move = np.exp(model.move)
+    assert np.allclose(move.sum(axis=1), 1) and move[0, 0] > 0.97 and move[1, 1] > 0.97
+    assert np.exp(model.emit[0])[0, 0] > 0.99  # prose has no links
+    empty = spam.fit([])
+    assert np.allclose(empty.move, spam.Model.believed().move)
