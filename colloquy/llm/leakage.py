@@ -65,7 +65,7 @@ def walk(symbols: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int, w
 
 def _keys(symbols, starts, ends, m: int, sample: int, seed: int) -> np.ndarray:
     """The keys of windows of m words in one repetition: hashes of sampled places of their walks."""
-    steps = 3 * m
+    steps = 2 * m  # a walk moves at every other step, so later ones would write the padding only
     wanted = np.sort(np.random.default_rng([1000 + seed, m]).choice(steps, min(sample, steps), replace=False))
     s = walk(symbols, starts, ends, seed, wanted)
     key = np.full(len(starts), np.uint64(seed * 1_000_003 + m))
@@ -157,11 +157,13 @@ def _indexer(window: int | None, edits: int, sample: int, reps: int):
             rows = []
             for item, text in zip(batch.column("item_id").to_pylist(), batch.column("text").to_pylist()):
                 words = words_of(text)
-                for q, m in _windows(len(words), window, edits):
-                    part = words[q : q + m]
-                    symbols, zero = hasher.all(part), np.zeros(1, np.int64)
-                    key = {int(_keys(symbols, zero, zero + m, m, sample, r).view(np.int64)[0]) for r in range(reps)}
-                    rows += [(k, m, " ".join(part), item) for k in key]
+                own = _windows(len(words), window, edits)
+                if own:
+                    symbols, starts, m = hasher.all(words), np.array([q for q, _ in own], np.int64), own[0][1]
+                    keys = np.stack([_keys(symbols, starts, starts + m, m, sample, r) for r in range(reps)]).view(np.int64)
+                    for n, q in enumerate(starts.tolist()):
+                        passage = " ".join(words[q : q + m])
+                        rows += [(k, m, passage, item) for k in set(keys[:, n].tolist())]
             cols = list(zip(*rows)) or [()] * 4
             types = [pa.int64(), pa.int32(), pa.string(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["key", "m", "passage", "item_id"])
@@ -227,7 +229,11 @@ def _finder(paths: tuple[str, ...], lengths: list[int], edits: int, sample: int,
 def _verifier(edits: int):
     def verify(batches):
         for batch in batches:
-            keep = [within(a.split(" "), b.split(" "), edits) for a, b in zip(batch.column("passage").to_pylist(), batch.column("found").to_pylist())]
+            keep = []
+            for a, b in zip(batch.column("passage").to_pylist(), batch.column("found").to_pylist()):
+                a, b = a.split(" "), b.split(" ")
+                # words that the found window lacks altogether each take an edit
+                keep.append(len(set(a).difference(b)) <= edits and within(a, b, edits))
             yield batch.select(["doc_id", "item_id"]).filter(pa.array(keep, pa.bool_()))
 
     return verify
@@ -255,7 +261,7 @@ def leaked_items(
     spark = documents.sparkSession
     ship(spark)
     scratch = Scratch(spark, "leakage")
-    sample = sample or (12 if not max_edits else max(4, 8 - 2 * max_edits))
+    sample = sample or {0: 12, 1: 8}.get(max_edits, 4)
     held = items.filter("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text").distinct()
     reps = 1
     if max_edits:

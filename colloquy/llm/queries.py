@@ -68,11 +68,16 @@ def p7_found(spark: SparkSession, base: str) -> DataFrame:
     return leakage.leaked_items(table(spark, base, "documents"), table(spark, base, "eval_items"), window=13, max_edits=0)
 
 
+def p7_edited(spark: SparkSession, base: str) -> DataFrame:
+    """Documents with 13 words of an item, one of which may be changed, left out or put in."""
+    return leakage.leaked_items(table(spark, base, "documents"), table(spark, base, "eval_items"), window=13, max_edits=1, recall=0.99)
+
+
 def p8_found(spark: SparkSession, base: str) -> DataFrame:
     return spam.spam_pages(table(spark, base, "documents"))
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p6_ids": p6_ids, "p7_found": p7_found, "p8_found": p8_found}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p6_ids": p6_ids, "p7_found": p7_found, "p7_edited": p7_edited, "p8_found": p8_found}
 
 SQL: dict[str, str] = {
     "p1_found": """with recursive l as (select left_id as a, right_id as b from pair_diagnostics where proposed_duplicate and left_id <> right_id),
@@ -103,4 +108,14 @@ SQL: dict[str, str] = {
         dw as (select doc_id, array_to_string(w[p:p + 12], ' ') as g from (select doc_id, w, unnest(range(1, len(w) - 11)) as p from d)),
         iw as (select item_id, array_to_string(w[p:p + 12], ' ') as g from (select item_id, w, unnest(range(1, len(w) - 11)) as p from i))
         select distinct doc_id, item_id from dw join iw using (g)""",
+    "p7_edited": """with d as (select doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') as w from documents where text is not null),
+        i as (select item_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') as w from eval_items),
+        iw as (select distinct item_id, w[p:p + 12] as a from (select item_id, w, unnest(range(1, len(w) - 11)) as p from i)),
+        dp as (select doc_id, w, unnest(range(1, len(w) + 1)) as p from d),
+        heads as (select doc_id, array_to_string(w[p:p + 5], ' ') as g, w[p + 6:p + 13] as t from dp where len(w) >= p + 5),
+        tails as (select doc_id, array_to_string(w[p:p + 6], ' ') as g, list_reverse(w[greatest(1, p - 7):p - 1]) as t from dp where len(w) >= p + 6),
+        c as (select item_id, doc_id, a[7:13] as r, t from iw join heads on g = array_to_string(a[1:6], ' ')
+            union all select item_id, doc_id, list_reverse(a[1:6]) as r, t from iw join tails on g = array_to_string(a[7:13], ' ')),
+        m as (select *, len(r) as n, coalesce(list_min([k for k in range(1, len(r) + 1) if r[k] is distinct from t[k]]), len(r) + 1) as x from c)
+        select distinct doc_id, item_id from m where x > n or t[x + 1:n] = r[x + 1:n] or t[x:n - 1] = r[x + 1:n] or t[x + 1:n + 1] = r[x:n]""",
 }
