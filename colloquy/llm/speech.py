@@ -12,7 +12,7 @@ _TIME = re.compile(rf"\[?\(?\s*({TIME})\s*\)?\]?")
 NOISE = re.compile(r"(?:u+h+m*|u+m+|e+r+m*|e+h+|a+h+|h+m+|m+h+m*|m{2,}|u+h+u+h+|h+u+h+|m+h+m+|a+h+e+m+|o+h+m+|h+e+r+m+)\Z")
 NOISE_PAIR = re.compile(r"\b(?:m+-?h+m+|u+h*-h+u+h+|u+h+-u+h+|m+-m+|a+h+-h+a+h*)\b")
 #: Sounds and recorder marks inside the speech: anything bracketed, starred or between notes.
-ANNOTATION = re.compile(r"\[[^\[\]]{0,80}\]|\([^()]{0,80}\)|\{[^{}]{0,80}\}|<[^<>]{0,80}>|\*[^*]{1,80}\*|♪[^♪]{0,80}♪|♪|\b\d{1,2}:\d{2}:\d{2}(?:[.,]\d{1,3})?\b")
+ANNOTATION = re.compile(r"\[[^\[\]]*\]|\([^()]*\)|\{[^{}]*\}|<[^<>]*>|\*[^*.!?]+\*|♪[^♪.!?]*♪|♪|\b\d{1,2}:\d{2}:\d{2}(?:[.,]\d{1,3})?\b")
 WORD = re.compile(r"[a-z0-9']+")
 _QUOTES = str.maketrans({"’": "'", "‘": "'", "ʼ": "'", "＇": "'", "`": "'", "′": "'"})
 

@@ -1,12 +1,11 @@
 """Speech transcripts into clean, ordered speaker turns.
 
-A recording gives three kinds of precedence between two segments: timing (the
-earlier time), cue order and dialogue order (the earlier place in the text or
-the lower turn index).  Where every segment of a transcript has a time, timing
-edges win and each order edge that contradicts one is dropped; otherwise the times
-cannot order everything and timing edges that contradict the order are dropped.
-What remains is free of cycles and orders every two segments, so its topological order is
-the sort by (time if all are timed, place), which Spark does as a range sort.
+A recording gives three kinds of precedence between segments: timing (the
+earlier time), cue numbers, and dialogue order (the earlier place in the text or
+the lower turn index).  ``order.precedence`` holds them as edges, drops those that a stronger kind contradicts, and
+orders the segments topologically.  A recording may be too long for one task, so Spark first cuts it by a range
+partitioning on (time if all segments have one, place): edges that run from a later piece to an earlier one contradict the
+strongest kind and are dropped, the others hold between the pieces, and every piece is ordered by its own edges.
 """
 
 from __future__ import annotations
@@ -21,22 +20,26 @@ from pyspark.sql import functions as F
 
 from ..operators.skew import join_unique
 from ..session import Scratch
+from .order import precedence
 from .speech import TIME, Person, clean, plain_label, seconds, speaker_of
 
 UNKNOWN = re.compile(r"(?:unknown|unidentified|unnamed|guest|caller|inaudible|unclear)(?: (?:speaker|line|voice|caller|guest|participant|person)?\s*\d*)?|speaker|\?+|n/a")
-META = re.compile(r"\s*(?:meeting (?:id|topic)|host(?: email)?|start time|end time|date|duration|recorded|participants|attendees|kind|language)\b[^:\n]{0,30}:", re.I)
+META = re.compile(r"\s*(?:meeting (?:id|topic)|host(?: email)?|start time|end time|date|duration|recorded|participants|attendees|kind|language)\b[^:\n]*:", re.I)
 FLAT = re.compile(rf"({TIME})\s*-->\s*{TIME}\s*\[([^\]\n]*)\]\s*:")
 CUE = re.compile(rf"\s*({TIME})\s*-->\s*{TIME}.*")
 VOICE = re.compile(r"\s*<v(?:\.[^ >]*)?\s+([^>]*)>(.*?)(?:</v>)?\s*$", re.S)
 ONLY_TIME = re.compile(rf"\s*[\[(]?({TIME})[\])]?\s*")
-PAREN_FIRST = re.compile(rf"\s*[\[(]({TIME})[\])]\s+([^\n:]{{1,60}}?)\s+-\s+(.*)", re.S)
-PAREN_LAST = re.compile(rf"\s*([^\n:]{{1,60}}?)\s*[\[(]({TIME})[\])]\s*:\s*(.*)", re.S)
-PREFIX = re.compile(rf"\s*[\[(]?({TIME})[\])]?\s+([^:\n]{{1,60}}?):(?:\s+(.*)|\s*$)", re.S)
-HEADER = re.compile(rf"\s*([^\n]{{1,60}}?)\s+({TIME})\s*:?\s*")
-PLAIN = re.compile(r"\s*([^:\n]{1,60}?)\s*:(?:\s+(.*)|\s*$)", re.S)
-DASH = re.compile(r"\s*([^\n]{1,60}?)\s+-\s+(.*)", re.S)
+PAREN_FIRST = re.compile(rf"\s*[\[(]({TIME})[\])]\s+([^\n:]+?)\s+-\s+(.*)", re.S)
+PAREN_LAST = re.compile(rf"\s*([^\n:]+?)\s*[\[(]({TIME})[\])]\s*:\s*(.*)", re.S)
+PREFIX = re.compile(rf"\s*[\[(]?({TIME})[\])]?\s+([^:\n]+?):(?:\s+(.*)|\s*$)", re.S)
+HEADER = re.compile(rf"\s*([^\n]+?)\s+({TIME})\s*:?\s*")
+PLAIN = re.compile(r"\s*([^:\n]+?)\s*:(?:\s+(.*)|\s*$)", re.S)
+DASH = re.compile(r"\s*([^\n]+?)\s+-\s+(.*)", re.S)
 
-Segment = tuple[int | None, str | None, str]
+#: Segments of a recording that are ordered together; a longer one is cut where the strongest kind of constraint ascends.
+PIECE = 20_000
+
+Segment = tuple[int | None, str | None, str, int | None]
 
 
 def _lines(raw: str) -> list[str]:
@@ -44,7 +47,7 @@ def _lines(raw: str) -> list[str]:
 
 
 def segments(raw: str | None, people: Sequence[Person]) -> list[Segment]:
-    """(second or None, label or None, text) in order of place, for any of the recorder layouts.
+    """(second or None, label or None, text, cue number or None) in order of place, for any of the recorder layouts.
 
     The layout is told by the lines that only it has.  A line that starts with words
     and a colon opens a segment only if the words name somebody or are a
@@ -63,7 +66,9 @@ def segments(raw: str | None, people: Sequence[Person]) -> list[Segment]:
     marks = list(FLAT.finditer(raw))
     if marks:
         ends = [m.start() for m in marks[1:]] + [len(raw)]
-        return [(seconds(m[1]), m[2], raw[m.end() : e]) for m, e in zip(marks, ends)]
+        # what stands before the first mark is header lines, or speech of nobody
+        before = "\n".join(x for x in _lines(raw[: marks[0].start()]) if x.strip() and not META.match(x))
+        return [(None, None, before, None)] * bool(before) + [(seconds(m[1]), m[2], raw[m.end() : e], None) for m, e in zip(marks, ends)]
 
     lines = _lines(raw)
     first = next((i for i, x in enumerate(lines) if x.strip() and not META.match(x)), len(lines))
@@ -115,44 +120,47 @@ def segments(raw: str | None, people: Sequence[Person]) -> list[Segment]:
             out[-1][2] += "\n" + line
         else:
             out.append([None, None, line])
-    return [tuple(x) for x in out]
+    return [(*x, None) for x in out]
 
 
 def _cues(lines: list[str], names) -> list[Segment]:
     out: list[list] = []
-    at, body = None, False
-    for i, line in enumerate(lines):
+    at, body, number, cue = None, False, None, None
+    for line in lines:
         if m := CUE.fullmatch(line):
-            at, body = seconds(m[1]), True
+            at, body, cue, number = seconds(m[1]), True, number, None
             fresh = True
             continue
         if not line.strip():
             body = False
             continue
-        if not body and (line.strip().isdigit() or line.strip().upper().startswith(("WEBVTT", "NOTE"))):
+        if not body and line.strip().isdigit():
+            number = int(line.strip()) if len(line.strip()) < 10 else None
+            continue
+        if not body and line.strip().upper().startswith(("WEBVTT", "NOTE")):
             continue
         if not body:
-            at, fresh = None, True
+            at, fresh, cue = None, True, None
         v, p = VOICE.match(line), PLAIN.fullmatch(line)
         if v:
-            out.append([at, v[1], v[2]])
+            out.append([at, v[1], v[2], cue])
         elif p and names(p[1]):
-            out.append([at, p[1], p[2] or ""])
+            out.append([at, p[1], p[2] or "", cue])
         elif fresh or not out:
-            out.append([at, None, line])
+            out.append([at, None, line, cue])
         else:
             out[-1][2] += "\n" + line
         fresh, body = False, True
     return [tuple(x) for x in out]
 
 
-_SEGMENT = "t long, place long, sec int, speaker int, words string"
+_SEGMENT = "t long, place long, cue int, sec int, speaker int, words string"
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    cols = list(zip(*rows)) or [()] * 5
-    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.string()]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["t", "place", "sec", "speaker", "words"])
+    cols = list(zip(*rows)) or [()] * 6
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string()]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["t", "place", "cue", "sec", "speaker", "words"])
 
 
 def _people(value) -> list[Person]:
@@ -165,10 +173,10 @@ def _parse(batches):
         for t, raw, people in zip(batch.column("t").to_pylist(), batch.column("raw_text").to_pylist(), batch.column("people").to_pylist()):
             people = _people(people)
             who: dict = {}
-            for place, (sec, label, text) in enumerate(segments(raw, people)):
+            for place, (sec, label, text, cue) in enumerate(segments(raw, people)):
                 if label not in who:
                     who[label] = speaker_of(label, people)
-                rows.append((t, place, sec, who[label], clean(text)))
+                rows.append((t, place, cue, sec, who[label], clean(text)))
         yield _batch(rows)
 
 
@@ -181,12 +189,33 @@ def _stored(batches):
                 if len(who) > 100_000:
                     who.clear()
                 who[t, label] = speaker_of(label, _people(people))
-            rows.append((t, place, seconds(at), who[t, label], clean(text)))
+            rows.append((t, place, None, seconds(at), who[t, label], clean(text)))
         yield _batch(rows)
 
 
+def _in_order(batches):
+    """The segments of a partition sorted by (transcript, strongest kind), each piece in the order of its constraints."""
+    held: list[tuple] = []
+    for batch in batches:
+        for row in zip(*(batch.column(c).to_pylist() for c in ("t", "timed", "place", "cue", "sec", "speaker", "words"))):
+            # a cut is sound between transcripts, and where the strongest kind ascends
+            if held and (row[0] != held[0][0] or len(held) >= PIECE and (not row[1] or row[4] != held[-1][4])):
+                yield from _piece(held)
+                held = []
+            held.append(row)
+    if held:
+        yield from _piece(held)
+
+
+def _piece(rows: list[tuple]):
+    rows.sort(key=lambda r: (r[2], r[6]))  # segments of one place, by their words
+    rank = {p: i for i, p in enumerate(sorted({r[2] for r in rows}))}
+    order, _, _ = precedence([r[4] for r in rows], [r[3] for r in rows], [rank[r[2]] for r in rows], bool(rows[0][1]))
+    return (rows[i] for i in order)
+
+
 def _merge_runs(batches):
-    """Neighbouring segments of one speaker in a sorted partition, as runs numbered per transcript."""
+    """Neighbouring segments of one speaker in an ordered partition, as runs numbered per transcript."""
     pid = TaskContext.get().partitionId()
     open_, rows = None, []
 
@@ -195,27 +224,28 @@ def _merge_runs(batches):
         kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string()]
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["t", "pid", "run", "speaker", "sec", "words"])
 
-    for batch in batches:
-        for t, sec, speaker, words in zip(*(batch.column(c).to_pylist() for c in ("t", "sec", "speaker", "words"))):
-            if open_ and open_[0] == t and open_[3] == speaker:
-                open_[5].append(words)
-                continue
-            run = open_[2] + 1 if open_ and open_[0] == t else 0
-            if open_:
-                rows.append((*open_[:5], " ".join(open_[5])))
-            open_ = (t, pid, run, speaker, -1 if sec is None else sec, [words])
-        yield flush(rows)
-        rows = []
+    for t, _, _, _, sec, speaker, words in _in_order(batches):
+        if open_ and open_[0] == t and open_[3] == speaker:
+            open_[5].append(words)
+            continue
+        run = open_[2] + 1 if open_ and open_[0] == t else 0
+        if open_:
+            rows.append((*open_[:5], " ".join(open_[5])))
+        open_ = (t, pid, run, speaker, -1 if sec is None else sec, [words])
+        if len(rows) >= 10_000:
+            yield flush(rows)
+            rows = []
     if open_:
-        yield flush([(*open_[:5], " ".join(open_[5]))])
+        rows.append((*open_[:5], " ".join(open_[5])))
+    yield flush(rows)
 
 
 def speaker_turns(transcripts: DataFrame, stored: DataFrame, participants: DataFrame) -> DataFrame:
     """Ordered turns of every transcript from its raw text, or from the stored turns where that is gone.
 
-    Rows are parsed and cleaned one by one in Arrow batches; ordering is one range
-    sort on (transcript, time, place), so a transcript that holds a third of all rows
-    spreads over many partitions.  Runs of one speaker are merged inside the sorted
+    Rows are parsed and cleaned one by one in Arrow batches.  A range
+    partitioning on (transcript, time, place) spreads a transcript that holds a third of all rows over
+    many partitions; inside, every piece of up to PIECE segments is ordered by its precedence constraints.  Runs of one speaker are merged inside the sorted
     partitions; the few transcripts that cross a partition border, fewer than
     partitions, are renumbered and rejoined from one summary row per piece.
     Runs eagerly up to the runs.
@@ -243,9 +273,10 @@ def speaker_turns(transcripts: DataFrame, stored: DataFrame, participants: DataF
     once = (
         all_.filter("words <> ''")
         .groupBy("t", "sec", "speaker", "words", F.when(F.col("sec").isNull(), F.col("place")).alias("untimed"))
-        .agg(F.min("place").alias("place"))
+        .agg(F.min_by(F.struct("place", "cue"), F.struct("place", "cue")).alias("at"))
+        .select("t", "sec", "speaker", "words", "at.place", "at.cue")
     )
-    keyed = join_unique(once, timed, "t").select("t", F.when(F.col("timed"), F.col("sec")).otherwise(F.lit(0)).alias("k"), "place", "sec", "speaker", "words")
+    keyed = join_unique(once, timed, "t").select("t", F.when(F.col("timed"), F.col("sec")).otherwise(F.lit(0)).alias("k"), "timed", "place", "cue", "sec", "speaker", "words")
     keyed = scratch.save(keyed, "keyed")
     order = ["t", "k", "place", "words"]
     runs = scratch.save(keyed.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_merge_runs, "t long, pid int, run int, speaker int, sec int, words string"), "runs")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 groups = pytest.importorskip("colloquy.llm.groups")
 from colloquy.operators import skew  # noqa: E402
-from colloquy.llm import darts, leakage, spam, speech, survivor, tokens, topn, turns  # noqa: E402
+from colloquy.llm import darts, leakage, order, spam, speech, survivor, tokens, topn, turns  # noqa: E402
 
 
 def rows(df):
@@ -250,7 +250,7 @@ def test_layouts(spark, layout):
 
 def test_set_phrases_stay_speech():
     raw = "Ann Leeman 00:00:01\nOne thing\nTo be clear: we stay\nBo Rask:\nok"
-    assert turns.segments(raw, PEOPLE) == [(1, "Ann Leeman", "\nOne thing\nTo be clear: we stay"), (None, "Bo Rask", "\nok")]
+    assert turns.segments(raw, PEOPLE) == [(1, "Ann Leeman", "\nOne thing\nTo be clear: we stay", None), (None, "Bo Rask", "\nok", None)]
 
 
 def test_stored_turns(spark, monkeypatch):
@@ -273,6 +273,63 @@ def test_stored_turns(spark, monkeypatch):
     assert got[3] == [(0, 2, -1, "raw")] and got[4] == [(0, 0, 3, "alone")] and 5 not in got
 
 
+@pytest.mark.parametrize("seed", range(40))
+def test_precedence_is_met_and_equals_the_sort(seed):
+    rng = random.Random(seed)
+    n = rng.randint(0, 30)
+    places = rng.sample(range(50), n)
+    timed = rng.random() < 0.5
+    times = [rng.randint(0, 12) if timed or rng.random() < 0.6 else None for _ in range(n)]
+    cues = [rng.randint(1, 40) if rng.random() < 0.5 else None for _ in range(n)]
+    got, kept, dropped = order.precedence(times, cues, places, timed)
+    assert got == sorted(range(n), key=lambda i: (times[i] if timed else 0, places[i]))
+    at = {i: k for k, i in enumerate(got)}
+    assert all(at[u] < at[v] for _, u, v in kept)
+    assert all(at[u] > at[v] for _, u, v in dropped)  # a dropped edge contradicts what is left
+    assert not any(kind == order.STRENGTH[timed][0] for kind, _, _ in dropped)
+
+
+def test_conflicts_between_constraints():
+    # the third segment came late; its time is trusted, its place is not
+    got, kept, dropped = order.precedence([5, 9, 2], [1, 2, 3], [0, 1, 2], True)
+    assert got == [2, 0, 1] and ("place", 1, 2) in dropped and ("cue", 1, 2) in dropped and ("time", 2, 0) in kept
+    # one time is missing, so places are trusted and times against them are not
+    got, kept, dropped = order.precedence([5, None, 2], [None] * 3, [0, 1, 2], False)
+    assert got == [0, 1, 2] and dropped == [("time", 2, 0)]
+    assert order.precedence([], [], [], True) == ([], [], [])
+
+
+@pytest.mark.parametrize("piece", [1, 3, 20_000])
+def test_pieces_of_a_long_recording(spark, monkeypatch, piece):
+    monkeypatch.setattr(turns, "PIECE", piece)
+    rng = random.Random(piece)
+    rows_ = [(1, rng.randint(0, 9), i, None, None, i % 3, f"w{i}") for i in range(60)]
+    rows_ = [(*r[:4], r[1], *r[5:]) for r in rows_] + [(2, 0, i, None, rng.choice([None, 4]), 1, f"x{i}") for i in range(7)]
+    import pyarrow as pa
+
+    def batches(data):
+        data = [(t, 1 - (t == 2), p, c, s, k, w) for t, _, p, c, s, k, w in data]
+        data.sort(key=lambda r: (r[0], r[4] if r[1] else 0, r[2]))
+        yield pa.RecordBatch.from_pydict(dict(zip(("t", "timed", "place", "cue", "sec", "speaker", "words"), map(list, zip(*data)))))
+
+    got = [(r[0], r[2]) for r in turns._in_order(batches(rows_))]
+    assert got == [(1, p) for _, p in sorted((r[4], r[2]) for r in rows_ if r[0] == 1)] + [(2, i) for i in range(7)]
+
+
+def test_text_before_the_first_mark_and_long_spans():
+    raw = "Meeting ID: 7\nwe have begun already\n00:00:05 --> 00:00:06 [ADVISOR_1]: Hi."
+    assert turns.segments(raw, PEOPLE) == [(None, None, "we have begun already", None), (5, "ADVISOR_1", " Hi.", None)]
+    assert speech.clean("so [" + "long note " * 40 + "] yes (" + "x" * 300 + ") no") == "so yes no"
+    name = "Aurelia-" + "Maximiliana" * 8 + " Lund"
+    people = [(1, name.strip(), "advisor")]
+    assert turns.segments(f"0:01 {name.strip()}: Hello.", people) == [(1, name.strip(), "Hello.", None)]
+
+
+def test_cue_numbers():
+    raw = "WEBVTT\n\n7\n00:00:01.000 --> 00:00:02.000\n<v Ann Leeman>Hi.\n\n8\n00:00:05.000 --> 00:00:06.000\nBo Rask: yes\n"
+    assert [s[3] for s in turns.segments(raw, PEOPLE)] == [7, 8]
+
+
 def test_turns_empty(spark):
     t = spark.createDataFrame([], "id long, raw_text string")
     s = spark.createDataFrame([], "transcript_id long, turn_index int, timestamp string, raw_speaker_label string, text string")
