@@ -355,23 +355,38 @@ def test_top_n(spark, size):
     assert got == want
 
 
-def test_top_n_skips(spark, monkeypatch):
-    read = []
-    catalog = []
-    scratch = topn.Scratch
-
-    class Watched(scratch):
-        def save(self, df, name, **o):
-            out = super().save(df, name, **o)
-            if name == "catalog":
-                catalog.append(out.count())
-            return out
-
-    monkeypatch.setattr(topn, "Scratch", Watched)
+def test_top_n_skips(spark):
+    """Of two groups with hundreds of row groups each, only those are read that can hold one of the best."""
     df = spark.range(200_000).select((F.col("id") % 2).alias("g"), "id", (F.col("id") / 7).alias("s"))
-    got = rows(topn.top_n_per_group(df, ["g"], "s", "id", 2, 1000))
+    report = {}
+    got = rows(topn.top_n_per_group(df, ["g"], "s", "id", 2, 1000, report))
     assert [(r[0], r[1], r[2]) for r in got] == [(0, 1, 199998), (0, 2, 199996), (1, 1, 199999), (1, 2, 199997)]
-    assert catalog[0] > 100 and read == []
+    assert report["row_groups"] >= 200 and report["read"] <= 12, report
+
+
+def test_top_n_reads_what_may_tie(spark):
+    """Row groups whose maximum equals the n-th score may hold a smaller key and are read; the lower half is skipped."""
+    df = spark.range(40_000).select(F.lit("g").alias("g"), (40_000 - F.col("id")).alias("id"), F.when(F.col("id") < 20_000, 1.0).otherwise(0.5).alias("s"))
+    report = {}
+    got = rows(topn.top_n_per_group(df, ["g"], "s", "id", 3, 1000, report))
+    assert [r[2] for r in got] == [20_001, 20_002, 20_003]
+    assert 20 <= report["read"] <= 23 and report["row_groups"] >= 40, report
+
+
+def test_top_n_of_small_groups_reads_each_row_group_once(spark):
+    df = spark.range(20_000).select((F.col("id") % 5000).alias("g"), "id", F.rand(3).alias("s"))
+    report = {}
+    assert topn.top_n_per_group(df, ["g"], "s", "id", 3, 1000, report).count() == 15_000
+    assert report["read"] == report["row_groups"]
+
+
+def test_constant_columns_are_told_by_statistics(tmp_path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    pq.write_table(pa.table({"a": ["x", "x"], "b": pa.array([None, None], pa.string()), "c": ["x", None], "d": ["x", "y"]}), tmp_path / "t.parquet")
+    rg = pq.ParquetFile(tmp_path / "t.parquet").metadata.row_group(0)
+    assert [topn._constant(rg.column(i)) for i in range(4)] == [True, True, False, False]
 
 
 def test_top_n_empty_and_latest(spark):
