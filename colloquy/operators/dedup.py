@@ -14,18 +14,13 @@ from .graph import components
 from .sequence import numbered
 from .skew import join_unique
 
-#: Wording of a conclusion, and of its link to reasons.
-CONCLUSION = r"\b(misfit|not (a )?fit|incompatib(le|ility)|does(n't| not) fit|won't work|cannot work|can't work)\b"
-CONCLUSION_LINK = r"\b(so|therefore|thus|consequently|for that reason|because of that|unfortunately)\b"
-
-
 def embedding_text() -> Column:
     """Type, category, rationale and quote by line; nulls as empty lines."""
     return F.concat_ws("\n", *[F.coalesce(c, F.lit("")) for c in ("item_type", "category", "rationale", "advisor_quote")])
 
 
 def pair_text(form: str) -> Column:
-    """One side of a compared pair in one of the four forms."""
+    """One side of a compared pair in one of the four forms; their wording is fixed, since models were tuned on it."""
     kind, category, quote = F.col("item_type"), squeeze(F.col("category")), strip(F.col("advisor_quote"))
     side = F.when(kind == "driver", "supports move").otherwise("opposes move")
     factor = F.format_string("Type: %s\nDecision direction: %s\nDecision factor: %s\nAdvisor evidence: %s", kind, side, category, quote)
@@ -72,8 +67,9 @@ def similar_pairs(items: DataFrame, block: Sequence[str], vector: str, threshold
     """Pairs a < b of one block whose vectors reach the cosine threshold; ``similarity`` has six places.
 
     A block's vectors are numbered without a task per block and packed into tiles of at most ``tile``;
-    every two tiles of a block are one row, scored by one matrix product, so a large
-    block is spread over (n / tile)^2 / 2 rows and no row holds more than two tiles.  Pairs below the
+    every two tiles of a block meet under a key of their own and are scored by one matrix product, so a large
+    block is spread over (n / tile)^2 / 2 keys and no row holds more than two tiles.  All pairs of a block are compared: blocks are runs
+    or labels, not the corpus.  Pairs below the
     threshold never leave the worker.  Vectors pair with those of their own dimension; null, empty and
     zero vectors have no partner.  A block's key may be null.
     """
@@ -81,16 +77,20 @@ def similar_pairs(items: DataFrame, block: Sequence[str], vector: str, threshold
     keys = [f"k{i}" for i in range(len(block))] + ["dim"]
     placed = numbered(keyed, keys, ["id"]).withColumn("tile", F.floor(F.col("pos") / tile))
     tiles = placed.groupBy(*keys, "tile").agg(F.collect_list(F.struct("id", "v")).alias("m"))
-    tiles = tiles.select(*keys, "tile", F.col("m.id").alias("ids"), F.col("m.v").alias("vs"))
-    a, b = tiles.alias("a"), tiles.alias("b")
-    same = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys] + [F.col("a.tile") <= F.col("b.tile")]
-    both = a.join(b, same).select(F.col("a.ids").alias("ia"), F.col("a.vs").alias("va"), F.col("b.ids").alias("ib"), F.col("b.vs").alias("vb"), *[F.col(f"a.{k}").alias(k) for k in keys[:-1]])
+    last = placed.groupBy(*keys).agg(F.max("tile").alias("last"))
+    on = [F.col(k).eqNullSafe(F.col(f"x_{k}")) for k in keys]
+    tiles = tiles.join(last.select(*[F.col(k).alias(f"x_{k}") for k in keys], "last"), on).select(*keys, "tile", "last", F.col("m.id").alias("ids"), F.col("m.v").alias("vs"))
+    # a tile goes to every pair it is part of, so the pair is the key and a hot block is spread over its pairs of tiles
+    sent = tiles.select(*keys, F.explode(F.sequence(F.lit(0).cast("long"), "last")).alias("other"), "tile", "ids", "vs")
+    pair = [F.least("tile", "other").alias("lo"), F.greatest("tile", "other").alias("hi")]
+    both = sent.groupBy(*keys, *pair).agg(F.array_sort(F.collect_list(F.struct("tile", "ids", "vs"))).alias("t"))
+    both = both.select(F.col("t")[0]["ids"].alias("ia"), F.col("t")[0]["vs"].alias("va"), F.element_at("t", -1)["ids"].alias("ib"), F.element_at("t", -1)["vs"].alias("vb"), *keys[:-1])
     schema = "a long, b long, s double" + "".join(f", k{i} {t}" for i, t in enumerate(dict(items.dtypes)[c] for c in block))
     out = both.mapInArrow(_tile_pairs(threshold), schema)
     return out.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(block)], "a", "b", F.round("s", 6).alias("similarity"))
 
 
-def reason_edges(items: DataFrame, block: Sequence[str], reach: int = 4, conclusion: str = CONCLUSION, link: str = CONCLUSION_LINK) -> DataFrame:
+def reason_edges(items: DataFrame, block: Sequence[str], conclusion: str, link: str, reach: int = 4) -> DataFrame:
     """Edges between a linked conclusion and the reasons said shortly before it, by turn id.
 
     Of two conclusions the one with the smaller id is the conclusion.  Reasons are bucketed

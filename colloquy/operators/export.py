@@ -21,12 +21,13 @@ def supporting(finals: DataFrame, members: DataFrame) -> DataFrame:
     return rows.groupBy("signal_id").agg(packed.alias("supporting_evidence"))
 
 
-def widened(rows: DataFrame, array: str = "supporting_evidence") -> DataFrame:
-    """The array's quotes and times as numbered columns, as many as the widest row needs, at least one pair.
+def widened(rows: DataFrame, array: str = "supporting_evidence", most: int = 50) -> DataFrame:
+    """The array's quotes and times as numbered columns, as many as the widest row needs, at least one pair and at most ``most``.
 
-    The width is one aggregated number, read before the plan of the columns is made.
+    The width is one aggregated number, read before the plan of the columns is made.  The array itself stays and
+    holds all of it, so nothing is lost where a group is larger than a table may be wide.
     """
-    width = rows.agg(F.max(F.size(array))).first()[0] or 0
+    width = min(most, rows.agg(F.max(F.size(array))).first()[0] or 0)
     columns = []
     for i in range(1, max(1, width) + 1):
         item = F.get(F.col(array), F.lit(i - 1))

@@ -74,10 +74,25 @@ def complete_link(nodes: DataFrame, accepted: DataFrame, block: str) -> DataFram
 
 
 def three_cycles(wins: DataFrame, block: str) -> DataFrame:
-    """Directed triangles of ``winner`` over ``loser`` inside a block, each once with a < b < c."""
-    e = wins.select(block, "winner", "loser").distinct()
-    one, two, three = e.alias("x"), e.alias("y"), e.alias("z")
-    ring = one.join(two, (F.col(f"x.{block}") == F.col(f"y.{block}")) & (F.col("x.loser") == F.col("y.winner")))
-    ring = ring.join(three, (F.col(f"y.{block}") == F.col(f"z.{block}")) & (F.col("y.loser") == F.col("z.winner")) & (F.col("z.loser") == F.col("x.winner")))
-    nodes = F.array_sort(F.array("x.winner", "y.winner", "z.winner"))
-    return ring.select(F.col(f"x.{block}").alias(block), nodes.alias("n")).distinct().select(block, F.col("n")[0].alias("a"), F.col("n")[1].alias("b"), F.col("n")[2].alias("c"))
+    """Directed triangles of ``winner`` over ``loser`` inside a block, each once with a < b < c.
+
+    Every compared pair is an edge from its end of fewer pairs to the other (then by id), so a node that all others meet opens no
+    wedges of its own: two edges from the same node are joined, and the third side closes them.
+    """
+    e = wins.select(F.col(block).alias("k"), "winner", "loser").filter("winner <> loser").distinct()
+    # which way a pair was decided: by the smaller id, the greater, or both
+    pairs = e.groupBy("k", F.least("winner", "loser").alias("p"), F.greatest("winner", "loser").alias("q")).agg(
+        F.bool_or(F.col("winner") < F.col("loser")).alias("up"), F.bool_or(F.col("winner") > F.col("loser")).alias("down")
+    )
+    degree = pairs.select("k", F.explode(F.array("p", "q")).alias("n")).groupBy("k", "n").agg(F.count(F.lit(1)).alias("d"))
+    pairs = pairs.join(degree.select("k", F.col("n").alias("p"), F.col("d").alias("dp")), ["k", "p"]).join(degree.select("k", F.col("n").alias("q"), F.col("d").alias("dq")), ["k", "q"])
+    low = F.col("dp") <= F.col("dq")
+    edges = pairs.select("k", F.when(low, F.col("p")).otherwise(F.col("q")).alias("u"), F.when(low, F.col("q")).otherwise(F.col("p")).alias("v"))
+    wedge = edges.select("k", "u", F.col("v").alias("x")).join(edges.select("k", "u", F.col("v").alias("y")), ["k", "u"]).filter("x < y")
+    triangle = wedge.join(pairs.select("k", F.col("p").alias("x"), F.col("q").alias("y")), ["k", "x", "y"])
+    n = F.array_sort(F.array("u", "x", "y"))
+    triangle = triangle.select("k", n[0].alias("a"), n[1].alias("b"), n[2].alias("c"))
+    side = lambda s, t, name: pairs.select("k", F.col("p").alias(s), F.col("q").alias(t), F.col("up").alias(f"{name}_up"), F.col("down").alias(f"{name}_down"))
+    told = triangle.join(side("a", "b", "ab"), ["k", "a", "b"]).join(side("b", "c", "bc"), ["k", "b", "c"]).join(side("a", "c", "ac"), ["k", "a", "c"])
+    ring = (F.col("ab_up") & F.col("bc_up") & F.col("ac_down")) | (F.col("ab_down") & F.col("bc_down") & F.col("ac_up"))
+    return told.filter(ring).select(F.col("k").alias(block), "a", "b", "c")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import squeeze
 from ..operators import dedup, ranking, rules
+from ..session import Scratch
 
 
 @dataclass(frozen=True)
@@ -55,6 +56,7 @@ def run(candidates: DataFrame, hard: Sequence[tuple[str, Column]], soft: Sequenc
         groups = s.scored.groupBy(*key).agg(F.min("id").alias("component"), F.collect_set("id").alias("ids")).select(F.explode("ids").alias("id"), "component")
     explicit = F.coalesce(F.col("evidence_strength") == "explicit", F.lit(False))
     s.grouped = dedup.elect(s.scored.join(groups, "id"), "component", [F.col("final_score"), explicit])
+    s.grouped = Scratch(candidates.sparkSession, "pipeline").save(s.grouped, "grouped")  # read by the choice and by its fallback
     order = [F.desc("final_score"), F.desc(explicit), F.asc("id")]
     pool = s.grouped.filter("is_canonical")
     chosen = ranking.top_distinct(pool.filter(F.col("final_score") >= config.least_score), list(config.block), squeeze(F.coalesce("category", F.lit(""))), order, config.keep_per_type)

@@ -98,8 +98,9 @@ def context_windows(spark, base):
 
 
 def context_texts(spark, base):
-    rows = ev.context_window(signals(spark, base), turns(spark, base), include_source=True, need_quote=False)
-    rows = rows.join(turns(spark, base).select(F.col("id").alias("turn_id"), "text"), "turn_id")
+    t = turns(spark, base)
+    rows = ev.context_window(signals(spark, base), t, include_source=True, need_quote=False)
+    rows = rows.join(t.select(F.col("id").alias("turn_id"), "text"), "turn_id")
     packed = F.array_sort(F.collect_list(F.struct("pos", "text")))
     return rows.groupBy("id").agg(F.array_join(F.transform(packed, lambda x: x["text"]), " ").alias("context"))
 

@@ -7,8 +7,11 @@ import re
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -56,20 +59,69 @@ def shared_dir(spark: SparkSession) -> str:
     return current.rstrip("/")
 
 
+_open: dict[str, object] = {}
+
+
+def _delete(where: str, conf) -> None:
+    path = SparkContext._jvm.org.apache.hadoop.fs.Path(where)
+    path.getFileSystem(conf).delete(path, True)
+
+
+def _clear(roots: list[str] | None = None) -> None:
+    """Removes the folders of tables that are still there."""
+    for root in list(_open) if roots is None else roots:
+        conf = _open.pop(root, None)
+        try:
+            if conf is not None:
+                _delete(root, conf)
+        except Exception:  # the JVM is gone; the folder's owner clears it
+            pass
+
+
+def _clear_on_stop(spark: SparkSession) -> None:
+    """Tables go when the session is stopped, or else when the driver ends."""
+    sc = spark.sparkContext
+    if "_colloquy_stop" in sc.__dict__:
+        return
+    stop = sc._colloquy_stop = sc.stop
+
+    def clear_and_stop() -> None:
+        _clear()
+        stop()
+
+    sc.stop = clear_and_stop
+    atexit.register(_clear)
+
+
+@contextmanager
+def scratch_scope() -> Iterator[None]:
+    """Tables written inside are removed at the end: read or write a result before that.
+
+    with scratch_scope():
+        queries["turn_batches"](spark, base).write.parquet(out)
+    """
+    before = set(_open)
+    try:
+        yield
+    finally:
+        _clear([r for r in _open if r not in before])
+
+
 class Scratch:
     """Tables written to the shared folder so that a lost executor costs a re-read, not a re-run.
 
     ``save`` writes a DataFrame and returns a reader of what was written;
-    ``drop`` removes tables that no later step reads.  What is left is removed
-    when the driver ends.
+    ``drop`` removes tables that no later step reads.  What a lazy result still reads is removed at the end of the
+    ``scratch_scope`` it was made in, when the session is stopped, or when the driver ends.
     """
 
     def __init__(self, spark: SparkSession, label: str):
         ship(spark)
+        _clear_on_stop(spark)
         self.spark = spark
         self.root = f"{shared_dir(spark)}/colloquy-{label}-{uuid.uuid4().hex[:12]}"
         self.count = 0
-        atexit.register(self._quietly_remove, self.root)
+        _open[self.root] = self.conf = spark.sparkContext._jsc.hadoopConfiguration()
 
     def path(self, name: str) -> str:
         self.count += 1
@@ -90,15 +142,4 @@ class Scratch:
         for t in tables:
             where = getattr(t, "_colloquy_path", None)
             if where:
-                self._remove(where)
-
-    def _remove(self, where: str) -> None:
-        jvm = self.spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(where)
-        p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-    def _quietly_remove(self, where: str) -> None:
-        try:
-            self._remove(where)
-        except Exception:  # the session is gone; the folder's owner clears it
-            pass
+                _delete(where, self.conf)

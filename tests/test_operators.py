@@ -215,7 +215,7 @@ def test_reason_edges_and_election(spark):
         (3, "r", "misfit", "so it is not a fit", "x", [12]), (4, "r", "late", "after that", "x", [30]), (5, "r", "other", "plain", None, None),
     ]
     df = spark.createDataFrame(s, "id long, run string, category string, advisor_quote string, rationale string, source_turn_ids array<long>")
-    assert rows(dedup.reason_edges(df, ["run"]).select("a", "b")) == [(1, 3), (2, 3)]
+    assert rows(dedup.reason_edges(df, ["run"], conclusion=r"\b(not a fit|misfit|incompatible|won't work)\b", link=r"\b(so|therefore)\b").select("a", "b")) == [(1, 3), (2, 3)]
     e = dedup.elect(df.withColumn("g", F.lit(1)), "g", [F.length("category")])
     assert {r.canonical_id for r in e.collect()} == {1}
     enriched = dedup.enrich(e.filter("id in (1, 2, 3)"), "g").collect()
