@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -134,3 +134,59 @@ def similarity_groups(items: DataFrame, block: Sequence[str], vector: str, thres
     if extra is not None:
         edges = edges.unionByName(extra.select("a", "b"))
     return components(edges, items)
+
+
+def default_keys(final: Column, explicit: Column, support: Column, risk: Column, concludes: Column | None = None) -> list[Column]:
+    """Order of election: a conclusion first in groups with a reason edge, then score, explicit evidence, support, low risk.
+
+    Unknown scores are lowest, an unknown risk is 1.
+    """
+    low = F.lit(float("-inf"))
+    first = [] if concludes is None else [F.coalesce(concludes, F.lit(False))]
+    return [*first, F.coalesce(final, low), F.coalesce(explicit, F.lit(False)), F.coalesce(support, low), -F.coalesce(risk, F.lit(1.0))]
+
+
+def active_keys(final: Column, explicit: Column, owner: Column, support: Column, risk: Column, quote: Column, timestamp: Column) -> list[Column]:
+    """Order of election of the other mode: explicit, owner's side, score, support, low risk, words of the quote, time."""
+    words = F.size(F.filter(F.split(F.coalesce(quote, F.lit("")), r"\s+"), lambda w: w != ""))
+    return [
+        F.coalesce(explicit, F.lit(False)), F.coalesce(owner, F.lit(-1.0)), F.coalesce(final, F.lit(float("-inf"))), F.coalesce(support, F.lit(-1.0)),
+        -F.coalesce(risk, F.lit(1.0)), words, F.coalesce(timestamp, F.lit("")),
+    ]
+
+
+def best_scores(elected: DataFrame, group: str, score: str, lifted: Column) -> DataFrame:
+    """The elected members; in groups where ``lifted`` holds for some member they take the best score of the group."""
+    best = elected.groupBy(group).agg(F.max(score).alias("__best"), F.bool_or(lifted).alias("__lift"))
+    rows = elected.filter("is_canonical").join(best, group)
+    return rows.withColumn(score, F.when(F.col("__lift"), F.coalesce("__best", score)).otherwise(F.col(score))).drop("__best", "__lift")
+
+
+def relationships(elected: DataFrame, group: str, lifted: DataFrame | None = None) -> DataFrame:
+    """One row per duplicate: the member it gave way to and why.  ``lifted`` has the groups with a reason edge."""
+    rows = elected.filter("not is_canonical").withColumn("edge", F.lit(False))
+    if lifted is not None:
+        rows = rows.drop("edge").join(lifted.select(group).distinct().withColumn("edge", F.lit(True)), group, "left")
+    why = F.when(F.col("edge"), "nearby_reason_conclusion").otherwise("semantic_similarity")
+    return rows.select(F.col("id").alias("duplicate_id"), "canonical_id", F.concat(F.lit("g_"), F.col("canonical_id").cast("string")).alias("group_label"), why.alias("reason"))
+
+
+MODES = ("embedding_only", "shadow", "active")
+
+
+def by_mode(mode: str, items: DataFrame, baseline: Callable[[], DataFrame], proposed: Callable[[], DataFrame], keep_baseline: bool = True) -> tuple[DataFrame, str | None]:
+    """Groups (``id``, ``component``) of a mode, and the failure if a fallback was taken.
+
+    embedding_only: the baseline; shadow: the proposal is made and the baseline stands; active: the proposal stands.  An unknown
+    mode leaves every item alone; a proposal that fails falls back to the baseline, or to single items if that is not wanted.
+    """
+    alone = items.select("id", F.col("id").alias("component"))
+    if mode not in MODES:
+        return alone, "invalid_configuration"
+    if mode == "embedding_only":
+        return baseline(), None
+    try:
+        made = proposed()
+        return (baseline() if mode == "shadow" else made), None
+    except Exception as error:  # a provider's failure must not lose the stage
+        return (baseline() if mode == "shadow" or keep_baseline else alone), type(error).__name__

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import like
 from .sequence import with_neighbours
+from .skew import join_unique
 
 #: How a turn shows that a thought goes on.
 MID_THOUGHT_END = r"(…|\.\.\.|[,;:]|\b(and|but|because|so|or))\s*$"
@@ -197,3 +198,44 @@ def grounded(rationale: Column, support: Column, quote: Column, rules: Sequence[
     for claim, shown in rules:
         unsupported = unsupported | (like(rationale, claim) & ~like(support, shown))
     return F.when(unsupported, F.concat(F.lit('The advisor states, "'), quote, F.lit('"'))).otherwise(rationale)
+
+
+def resolution(signals: DataFrame, turns: DataFrame) -> DataFrame:
+    """What became of each quote, the turn it stands in, that turn's time and its neighbours.
+
+    ``outcome``: resolved; ambiguous_evidence where several reliable turns fit; not_advisor_side where only other turns hold the
+    quote; quote_not_found.  Result: ``id``, ``outcome``, ``method``, ``turn_id``, ``timestamp`` (the turn's, not the signal's),
+    ``previous_id``, ``next_id``.
+    """
+    found = resolve_source(signals, turns)
+    nowhere = signals.join(found.filter("matches = 0").select("id"), "id", "left_semi")
+    other = quote_hits(nowhere, turns).select("id").distinct().withColumn("elsewhere", F.lit(True))
+    near = with_neighbours(turns.select("transcript_id", "pos", "id", "timestamp"), ["transcript_id"], "pos", ["id"])
+    near = near.select(F.col("id").alias("turn_id"), "timestamp", F.col("id_m1").alias("previous_id"), F.col("id_p1").alias("next_id"))
+    outcome = F.when(F.col("turn_id").isNotNull(), "resolved").when(F.col("matches") > 1, "ambiguous_evidence").when(F.col("elsewhere"), "not_advisor_side")
+    rows = found.join(other, "id", "left").join(near, "turn_id", "left")
+    return rows.select("id", outcome.otherwise("quote_not_found").alias("outcome"), "method", "turn_id", "timestamp", "previous_id", "next_id")
+
+
+def repeat_reasons(items: DataFrame, key: Sequence[Column], order: Sequence[str], batch: str) -> DataFrame:
+    """Each item with null if it is the first of its key, else whether the first is in the same batch.
+
+    Nulls of the key equal each other.  The first is a combined ``min_by``, joined back with hot keys split off.
+    """
+    keyed = items.withColumn("__key", F.to_json(F.struct(*[k.alias(f"k{i}") for i, k in enumerate(key)]), {"ignoreNullFields": "false"}))
+    first = keyed.groupBy("__key").agg(F.min(F.struct(*order, F.col(batch).alias("first_batch"))).alias("__first"))
+    rows = join_unique(keyed, first, "__key")
+    mine = F.struct(*[F.col(c) for c in order]) == F.struct(*[F.col(f"__first.{c}") for c in order])
+    again = F.when(F.col(batch) == F.col("__first.first_batch"), "duplicate_within_batch").otherwise("duplicate_across_batches")
+    return rows.withColumn("repeat_reason", F.when(~mine, again)).drop("__key", "__first")
+
+
+def overlaid_roles(turns: DataFrame, answers: DataFrame) -> DataFrame:
+    """Every turn with the role a response gave it, or unknown with confidence 0.
+
+    ``turns``: id, batch.  ``answers``: batch, item, turn_id, role, confidence.  Answers about turns of another batch are
+    ignored; of several about one turn the last item stands.
+    """
+    last = answers.groupBy("batch", F.col("turn_id").alias("id")).agg(F.max(F.struct("item", "role", "confidence")).alias("a"))
+    rows = turns.join(last, ["id", "batch"], "left")
+    return rows.select("id", F.coalesce("a.role", F.lit("unknown")).alias("role"), F.coalesce("a.confidence", F.lit(0.0)).alias("confidence"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -43,3 +43,11 @@ def selection_valid(selection: DataFrame, candidates: DataFrame, run: str, most:
     ok = F.col("fits") & (F.col("n") <= most) & (F.col("ids") == F.col("n")) & (F.col("categories") == F.col("n")) & (F.col("ranks") == F.col("n"))
     ok = ok & (F.col("lo") == 1) & (F.col("hi") == F.col("n"))
     return per.groupBy(run).agg(F.bool_and(ok).alias("valid"))
+
+
+def reaches(score: Column, by: Column, least: Mapping[str, float]) -> Column:
+    """Whether the score reaches the bound of its kind; other kinds never do."""
+    out = F.lit(False)
+    for name, bound in least.items():
+        out = out | ((by == name) & (score >= bound))
+    return F.coalesce(out, F.lit(False))

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import json
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -88,3 +89,32 @@ def integrity(child: DataFrame, parent: DataFrame, key: str, foreign: str) -> Da
     owners = parent.select(F.col("id").alias(foreign)).distinct()
     orphans = child.filter(F.col(foreign).isNotNull()).join(owners, foreign, "left_anti").agg(F.count(F.lit(1)).alias("orphans"))
     return repeated.crossJoin(orphans)  # one row by one row
+
+
+def created(transcripts: DataFrame, run_id: Column, started_at: Column, config: Mapping[str, object], run_type: str = "full", source: Column | None = None) -> DataFrame:
+    """A new run per transcript with the hash of its text and a copy of the configuration."""
+    none = F.lit(None).cast("string")
+    return transcripts.select(
+        run_id.alias("id"), F.col("id").alias("transcript_id"), F.lit("running").alias("status"), F.lit(run_type).alias("run_type"), (none if source is None else source).alias("source_run_id"),
+        started_at.alias("started_at"), F.sha2("raw_text", 256).alias("input_sha256"), F.lit(json.dumps(config, sort_keys=True)).alias("config"),
+    )
+
+
+def ended(runs: DataFrame, events: DataFrame) -> DataFrame:
+    """Runs after their last event (run_id, at, status, failed_stage, error): status, end and failure; others as they are.
+
+    Events are appended and the last wins, so nothing is updated in place; of equal times the greater status stands.
+    """
+    last = events.groupBy(F.col("run_id").alias("id")).agg(F.max(F.struct("at", "status", "failed_stage", "error")).alias("e"))
+    rows = runs.drop("completed_at", "failed_stage", "error").join(last, "id", "left")
+    return rows.select("*", F.col("e.at").alias("completed_at"), F.col("e.failed_stage").alias("failed_stage"), F.col("e.error").alias("error")).withColumn("status", F.coalesce("e.status", "status")).drop("e")
+
+
+def with_schema(df: DataFrame, columns: Mapping[str, str]) -> DataFrame:
+    """The table with the columns it lacks as nulls: an additive change of schema.  Columns it has stay as they are."""
+    return df.select("*", *[F.lit(None).cast(t).alias(c) for c, t in columns.items() if c not in df.columns])
+
+
+def without_columns(df: DataFrame, columns: Mapping[str, str]) -> DataFrame:
+    """The way back of ``with_schema``."""
+    return df.drop(*columns)

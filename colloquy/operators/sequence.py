@@ -77,3 +77,8 @@ def with_neighbours(df: DataFrame, group: Sequence[str], pos: str, columns: Sequ
 def batched(df: DataFrame, pos: str, size: int, name: str = "batch") -> DataFrame:
     """Consecutive chunks of ``size`` rows, numbered from 1."""
     return df.withColumn(name, (F.floor(F.col(pos) / size) + 1).cast("int"))
+
+
+def listed(df: DataFrame, order: Sequence[str | Column], name: str = "place") -> DataFrame:
+    """Places from 0 over the whole table, by a range sort; ``order`` must not tie."""
+    return numbered(df.withColumn("__all", F.lit(0)), ["__all"], order, name).drop("__all")

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -29,3 +29,28 @@ def totals(usage: DataFrame, tokens: Sequence[str], cost: str) -> DataFrame:
 def last_state(events: DataFrame, key: str, at: str, payload: Sequence[str]) -> DataFrame:
     """The state of each key after its last event; ties by the payload."""
     return events.groupBy(key).agg(F.max_by(F.struct(*payload), F.struct(at, *payload)).alias("s")).select(key, "s.*")
+
+
+def call_records(raw: DataFrame, usage: str, counts: Mapping[str, str]) -> DataFrame:
+    """One record per model call: token counts out of the nested usage, duration and retries not below 0, stage or unknown.
+
+    ``counts``: column -> JSON path.  A count that is missing or no whole number is null and never an error.
+    """
+    numbers = [F.get_json_object(usage, path).try_cast("bigint").alias(name) for name, path in counts.items()]
+    return raw.select(
+        "call_id", F.coalesce(F.nullif(F.trim("stage"), F.lit("")), F.lit("unknown")).alias("stage"), *numbers,
+        F.round(F.greatest(F.lit(0.0), F.coalesce(F.nanvl("duration_ms", F.lit(0.0)), F.lit(0.0))), 2).alias("duration_ms"),
+        F.greatest(F.lit(0), F.coalesce("retry_count", F.lit(0))).alias("retry_count"), F.coalesce("success", F.lit(False)).alias("success"),
+    )
+
+
+def transitions(events: DataFrame, key: str, at: str, state: str, tie: str) -> DataFrame:
+    """Each event of a key with the state before it and the seconds since it, ``idle`` and null at the start."""
+    w = Window.partitionBy(key).orderBy(at, tie)
+    gap = F.round((F.unix_micros(at) - F.unix_micros(F.lag(at).over(w))) / 1e6, 2)
+    return events.select(key, tie, F.coalesce(F.lag(state).over(w), F.lit("idle")).alias("before"), F.col(state).alias("after"), gap.alias("seconds"))
+
+
+def redacted(url: Column) -> Column:
+    """A connection address without its user and password."""
+    return F.regexp_replace(url, r"(?<=://)[^@/\s]*@", "***@")

@@ -23,6 +23,8 @@ class EngineConfig:
     keep_per_type: int = 3
     least_score: float = 3.5
     block: tuple[str, ...] = ("analysis_run_id", "item_type")
+    #: Reasons for which a reject leaves the pipeline; None: every hard reason.  Rejects for other reasons stay.
+    excluding: tuple[str, ...] | None = None
 
 
 @dataclass
@@ -48,7 +50,8 @@ def run(candidates: DataFrame, hard: Sequence[tuple[str, Column]], soft: Sequenc
     reasons = candidates.withColumn("hard", rules.reasons(hard)).withColumn("soft", rules.reasons(soft))
     s.validated = reasons.withColumn("verdict", rules.verdict(F.col("hard"), F.col("soft")))
     score = rules.weighted(list(zip(config.weights, [F.col(c).cast("double") for c in config.components])))
-    s.scored = s.validated.filter("verdict <> 'reject'").withColumn("final_score", score).filter("final_score is not null")
+    stays = F.col("verdict") != "reject" if config.excluding is None else rules.allowed(F.col("verdict"), F.get("hard", F.lit(0)), config.excluding)
+    s.scored = s.validated.filter(stays).withColumn("final_score", score).filter("final_score is not null")
     if "embedding" in candidates.columns:
         groups = dedup.similarity_groups(s.scored, config.block, "embedding", config.merge_threshold)
     else:

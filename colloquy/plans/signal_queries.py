@@ -324,6 +324,13 @@ SQL = {
     "merged_groups": f"""with recursive {S}, {_EDGES}, ed as (select left_id as a, right_id as b from pair_diagnostics where proposed_duplicate and left_id <> right_id union select a, b from re)
         {_CLOSE.format(e='ed')}, m as (select n, min(m) as m from reach group by n)
         select s.id, least(s.id, coalesce(m.m, s.id)) as component from s left join m on m.n = s.id""",
+    "complete_link": f"""with recursive {S}, e as (select distinct least(left_id, right_id) as a, greatest(left_id, right_id) as b, transcript_id as t from pair_diagnostics where cross_encoder_score >= 0.8 and left_id <> right_id),
+        bi as (select a as n, b as m, t from e union select b, a, t from e), p as (select n, list(m) as ps, min(t) as t from bi group by n), o as (select *, row_number() over (partition by t order by n) as i from p),
+        st(t, i, asg) as (select distinct t, cast(0 as bigint), cast([] as struct(n bigint, g bigint)[]) from p
+            union all select st.t, o.i, list_append(asg, struct_pack(n := o.n, g := coalesce(list_min(list_filter(list_distinct(list_transform(asg, lambda x: x.g)),
+                lambda y: list_has_all(o.ps, list_transform(list_filter(asg, lambda x: x.g = y), lambda x: x.n)))), o.n))) from st join o on o.t = st.t and o.i = st.i + 1),
+        l as (select unnest(asg, recursive := true) from (select asg from st qualify i = max(i) over (partition by t)))
+        select s.id, coalesce(l.g, s.id) as group_id from s left join l on l.n = s.id""",
     "elected": f"with {_ELECT} select id, 'g_' || canon as group_label, id = canon as is_canonical, members from g",
     "enriched": f"""with {_ELECT}, o as (select duplicate_group_id, category, min(id) as f from g where id <> canon and category is not null group by all),
         j as (select duplicate_group_id, string_agg(category, '; ' order by f) as cats from o group by all)
