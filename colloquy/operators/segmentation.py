@@ -96,3 +96,24 @@ def line_segments(docs: DataFrame, doc_id: str = "id", text: str = "raw_text") -
     )
     out = numbered(turns.filter("text <> ''"), ["doc_id"], ["turn"], "turn_index")
     return out.select("doc_id", "turn_index", "timestamp", "raw_speaker_label", "text")
+
+
+def parsed(docs: DataFrame, doc_id: str = "id", text: str = "raw_text") -> DataFrame:
+    """Turns of every text: by the flattened layout where a boundary occurs in it, else by lines; lines name no roles."""
+    lines = line_segments(docs, doc_id, text)
+    lines = lines.select("doc_id", "turn_index", "timestamp", "raw_speaker_label", F.lit(None).cast("string").alias("inferred_role"), F.lit(None).cast("double").alias("role_confidence"), "text")
+    return flat_segments(docs, doc_id, text).unionByName(lines)
+
+
+def parse_or_reuse(docs: DataFrame, stored: DataFrame, again: bool = False) -> DataFrame:
+    """Stored turns where a transcript has some, parsed ones elsewhere; ``again`` parses all and keeps none of the stored.
+
+    ``stored`` has transcript_id and the columns of a turn.  ``origin`` tells which.
+    """
+    columns = ["doc_id", "turn_index", "timestamp", "raw_speaker_label", "inferred_role", "role_confidence", "text"]
+    have = stored.select(F.col("transcript_id").alias("id")).distinct()
+    fresh = parsed(docs if again else docs.join(have, "id", "left_anti")).select(*columns, F.lit("parsed").alias("origin"))
+    if again:
+        return fresh
+    kept = stored.join(docs.select(F.col("id").alias("transcript_id")), "transcript_id", "left_semi").withColumnRenamed("transcript_id", "doc_id")
+    return fresh.unionByName(kept.select(*columns, F.lit("stored").alias("origin")))

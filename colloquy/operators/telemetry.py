@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .sequence import numbered, with_neighbours
+
 
 def known_total(column: str) -> Column:
     """The sum only where every row's value is known; else null."""
@@ -46,9 +48,10 @@ def call_records(raw: DataFrame, usage: str, counts: Mapping[str, str]) -> DataF
 
 def transitions(events: DataFrame, key: str, at: str, state: str, tie: str) -> DataFrame:
     """Each event of a key with the state before it and the seconds since it, ``idle`` and null at the start."""
-    w = Window.partitionBy(key).orderBy(at, tie)
-    gap = F.round((F.unix_micros(at) - F.unix_micros(F.lag(at).over(w))) / 1e6, 2)
-    return events.select(key, tie, F.coalesce(F.lag(state).over(w), F.lit("idle")).alias("before"), F.col(state).alias("after"), gap.alias("seconds"))
+    placed = numbered(events.select(key, at, state, tie), [key], [F.col(at), F.col(tie)])
+    near = with_neighbours(placed, [key], "pos", [state, at])
+    gap = F.round((F.unix_micros(at) - F.unix_micros(f"{at}_m1")) / 1e6, 2)
+    return near.select(key, tie, F.coalesce(f"{state}_m1", F.lit("idle")).alias("before"), F.col(state).alias("after"), gap.alias("seconds"))
 
 
 def redacted(url: Column) -> Column:

@@ -90,20 +90,12 @@ def rank_kendall(spark, base):
 
 
 def rank_quality(spark, base):
-    q = metrics.ranking_quality(_ranked(spark, base).filter("expert <= 30"), ["run"], "expert", "guess")
+    q = metrics.ranking_quality(_ranked(spark, base), ["run"], "expert", "guess")
     return q.select("run", *[F.round(c, 6).alias(c) for c in ("mrr", "top1", "top3")])
 
 
 def rank_ndcg(spark, base):
-    # a run's first ten by the expert, ranked again among themselves
-    ten = _ranked(spark, base).filter("expert <= 10")
-    w = ranking.Window.partitionBy("run")
-    ten = ten.withColumn("guess", F.row_number().over(w.orderBy("guess")))
-    return metrics.ranking_quality(ten, ["run"], "expert", "guess").select("run", F.round("ndcg", 6).alias("ndcg"))
-
-
-def rank_ndcg_all(spark, base):
-    """NDCG of each run over all of its candidates; rank_ndcg looks at the expert's first ten only."""
+    """NDCG of each run over all of its candidates."""
     return metrics.ranking_quality(_ranked(spark, base), ["run"], "expert", "guess").select("run", F.round("ndcg", 6).alias("ndcg"))
 
 
@@ -161,7 +153,7 @@ def precheck_attribution(spark, base):
 
 QUERIES = {f.__name__: f for f in (
     rescoring_fields, precheck_attribution, tier_confusion, tier_classes, tier_report, label_sets, score_thresholds, merge_threshold, average_precision, eval_split, value_percentiles, order_sensitivity,
-    rank_spearman, rank_kendall, rank_quality, rank_ndcg, rank_ndcg_all, score_errors, even_sample, baseline_tops, dataset_invariants,
+    rank_spearman, rank_kendall, rank_quality, rank_ndcg, score_errors, even_sample, baseline_tops, dataset_invariants,
 )}
 
 _TIERS = f"{R}, {_LEVEL}, x as (select item_type, importance_tier as actual, nullif({_TIER}, 'medium') as guess from l)"
@@ -226,9 +218,7 @@ SQL = {
         from k a left join k b on a.run = b.run and a.id < b.id group by a.run""",
     "rank_quality": f"""with {_RANKED}, f as (select run, min(guess) filter (expert = 1) as g from k group by run)
         select run, round(1.0::double / g, 6) as mrr, cast(g = 1 as double) as top1, cast(g <= 3 as double) as top3 from f""",
-    "rank_ndcg": f"""with {_RANKED}, t as (select run, expert, row_number() over (partition by run order by guess) as g, count(*) over (partition by run) as n from k where expert <= 10)
-        select run, round(sum((pow(2.0::double, n - expert + 1) - 1) / log2(g + 1)) / sum((pow(2.0::double, n - expert + 1) - 1) / log2(expert + 1)), 6) as ndcg from t group by run""",
-    "rank_ndcg_all": f"""with {_RANKED}, t as (select run, expert, guess, pow(2.0::double, -expert) - pow(2.0::double, -(count(*) over (partition by run) + 1)) as gain from k)
+    "rank_ndcg": f"""with {_RANKED}, t as (select run, expert, guess, pow(2.0::double, -expert) - pow(2.0::double, -(count(*) over (partition by run) + 1)) as gain from k)
         select run, round(sum(gain / log2(guess + 1)) / sum(gain / log2(expert + 1)), 6) as ndcg from t group by run""",
     "score_errors": f"""with {R} select item_type, count(*) as n, round(avg(abs(structured_score - direct_model_score)), 9) as mae, round(sqrt(avg(pow(structured_score - direct_model_score, 2))), 9) as rmse
         from r where structured_score is not null and not isnan(structured_score) group by all""",

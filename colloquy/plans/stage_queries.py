@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import dedup, evidence, ranking, rules, sequence, views
+from ..operators import dedup, evidence, ranking, rules, segmentation, sequence, views
 from ..operators import importance as imp
 from ..operators.skew import join_unique
 from ..session import table
-from . import signal_queries
+from ..sources import files
+from . import signal_queries, turn_queries
 from .base import R, S, T, results, signals, turns
 from .signal_queries import _RANK, _hard, _rank_order, _soft
 from .turn_queries import _CITED, _CUT, _WINDOW, _real_and_cut
@@ -58,6 +59,40 @@ def highlights(spark, base):
     return c.select("id", "cited_id", views.highlight(F.col("t_text"), F.col("advisor_quote")).alias("place"))
 
 
+def import_outcomes(spark, base):
+    """What an import limited to the first hundred names would do beside those already there: the limit, a feature of the import, comes before the skipping."""
+    t = table(spark, base, "transcripts")
+    blank = ~F.coalesce(F.col("raw_text").rlike(r"\S"), F.lit(False))
+    files_ = t.select("file_name", F.when(blank, "empty").alias("reason")).dropDuplicates(["file_name"])
+    done = files_.join(t.filter("status = 'finalized'").select("file_name").distinct(), "file_name", "left_semi")
+    return files.import_files(files_, done, limit=100).select("place", "file_name", "outcome")
+
+
+def parsed_turns(spark, base):
+    """Turns of every transcript by the layout of its text."""
+    return segmentation.parsed(table(spark, base, "transcripts"))
+
+
+def reused_turns(spark, base):
+    """How many turns each transcript has, and whether they were stored or have to be parsed."""
+    stored = table(spark, base, "transcript_turns").dropDuplicates(["id"])
+    t = segmentation.parse_or_reuse(table(spark, base, "transcripts"), stored)
+    return t.groupBy("doc_id", "origin").agg(F.count(F.lit(1)).alias("turns"))
+
+
+def rerun_tables(spark, base):
+    """Rows that stay when the transcripts that were scored are extracted again without a run: rows of no run go, with what depends on them."""
+    again = table(spark, base, "transcripts").filter("status = 'signals_scored'").select(F.col("id").alias("transcript_id"))
+    s = signals(spark, base).select("id", "transcript_id", "analysis_run_id")
+    gone = s.filter("analysis_run_id is null").join(again, "transcript_id", "left_semi")
+    kept = s.join(gone.select("id"), "id", "left_anti")
+    pairs = table(spark, base, "pair_diagnostics").select("transcript_id", "left_id", "right_id")
+    for side in ("left_id", "right_id"):
+        pairs = pairs.join(gone.select(F.col("id").alias(side)), side, "left_anti")
+    count = lambda df, name: df.groupBy("transcript_id").agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("table_name"), "transcript_id", "n")
+    return count(kept, "candidate_signals").unionByName(count(pairs, "pair_diagnostics"))
+
+
 # roles
 
 
@@ -337,7 +372,7 @@ def importance_modes(spark, base):
 
 
 QUERIES = {f.__name__: f for f in (
-    transcript_listing, turn_listing, keyed_lookup, sorted_listing, found_transcripts, highlights, overlaid_roles, role_snapshots, quote_resolution, context_payloads,
+    transcript_listing, turn_listing, keyed_lookup, sorted_listing, found_transcripts, highlights, import_outcomes, parsed_turns, reused_turns, rerun_tables, overlaid_roles, role_snapshots, quote_resolution, context_payloads,
     extraction_reasons, batch_counters, finding_verdicts, three_scores, integrity_filter, scoring_summary, elected_by_score, elected_active, lifted_scores,
     duplicate_relationships, representatives, group_members, dedup_totals, shortlisted_pairs, dedup_modes, vector_checks, ranked_by_strength, ranking_counts, candidate_payloads,
     importance_estimates, importance_modes,
@@ -384,6 +419,17 @@ _LV = """case decision_centrality when 'decisive' then 4 when 'major' then 3 whe
 _IE = f"""{R}, ie as (select *, round(cast({_LV} as double) / 19.0::double, 4) as score from r where is_current and traceable and item_type in ('driver', 'blocker') and validation_verdict in ('pass', 'needs_review'))"""
 
 SQL = {
+    "import_outcomes": """with f as (select distinct file_name, case when not coalesce(regexp_matches(raw_text, '\\S'), false) then 'empty' end as reason from transcripts),
+        p as (select *, cast(row_number() over (order by lower(file_name), file_name) - 1 as int) as place from f)
+        select place, file_name, case when file_name in (select file_name from transcripts where status = 'finalized') then 'skipped_existing' else coalesce(reason, 'imported') end as outcome from p where place < 100""",
+    "parsed_turns": f"""with fl as ({turn_queries.SQL["turns_flat"]}), li as ({turn_queries.SQL["turns_lines"]}) select * from fl
+        union all by name select *, cast(null as varchar) as inferred_role, cast(null as double) as role_confidence from li""",
+    "reused_turns": f"""with fl as ({turn_queries.SQL["turns_flat"]}), li as ({turn_queries.SQL["turns_lines"]}), a as (select doc_id from fl union all select doc_id from li), {T}
+        select doc_id, 'parsed' as origin, count(*) as turns from a where doc_id not in (select transcript_id from t) group by all
+        union all select transcript_id, 'stored', count(*) from t where transcript_id in (select id from transcripts) group by all""",
+    "rerun_tables": f"""with {S}, g as (select id from s where analysis_run_id is null and transcript_id in (select id from transcripts where status = 'signals_scored'))
+        select 'candidate_signals' as table_name, transcript_id, count(*) as n from s where id not in (select id from g) group by all
+        union all select 'pair_diagnostics', transcript_id, count(*) from pair_diagnostics p where not exists (select 1 from g where g.id = p.left_id) and not exists (select 1 from g where g.id = p.right_id) group by all""",
     "transcript_listing": "select cast(row_number() over (order by created_at desc, id desc) - 1 as int) as place, id, file_name, status from transcripts",
     "turn_listing": f"with {T} select transcript_id, pos, id, timestamp, raw_speaker_label, inferred_role, text from t",
     "keyed_lookup": f"""with {S}, k as (select distinct left_id as id from pair_diagnostics where proposed_duplicate and left_id is not null)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import repair_mojibake, token_estimate
 from ..operators.rules import first_reason
+from ..operators.sequence import listed
 
 
 def outcome(name: Column, size: Column, valid: Column, blank: Column, most_bytes: int) -> Column:
@@ -36,10 +37,14 @@ def text_files(spark: SparkSession, path: str, most_mb: int = 25) -> DataFrame:
     return f.select("file_name", "reason", text.alias("raw_text")).withColumn("token_count", token_estimate(F.col("raw_text")))
 
 
-def import_files(files: DataFrame, existing: DataFrame, force: bool = False) -> DataFrame:
-    """Files with their outcome: imported, replaced, skipped_existing, or the reason of refusal; names already there are skipped unless forced."""
+def import_files(files: DataFrame, existing: DataFrame, force: bool = False, limit: int | None = None) -> DataFrame:
+    """Files with their outcome: imported, replaced, skipped_existing, or the reason of refusal; names already there are skipped unless forced.
+
+    ``place`` is the order by lower-cased name.  limit: only so many files in that order are looked at, those that are skipped included.
+    """
     there = existing.select("file_name").distinct().withColumn("there", F.lit(True))
-    rows = files.join(there, "file_name", "left")
+    files = listed(files.withColumn("__low", F.lower("file_name")), ["__low", "file_name"]).drop("__low")
+    rows = (files if limit is None else files.filter(F.col("place") < limit)).join(there, "file_name", "left")
     state = F.when(F.col("there") & ~F.lit(force), "skipped_existing").when(F.col("reason").isNotNull(), F.col("reason"))
     return rows.withColumn("outcome", state.when(F.col("there"), "replaced").otherwise("imported")).drop("there")
 
