@@ -7,18 +7,27 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .sequence import numbered
+from .skew import join_unique
 
-def supporting(finals: DataFrame, members: DataFrame) -> DataFrame:
-    """Other members of a final's duplicate group in the same transcript and run, by id, as an array per final.
 
-    The join key holds transcript, group and run null-safely; the array is as long as the group.
+def supporting_rows(finals: DataFrame, members: DataFrame) -> DataFrame:
+    """Other members of a final's duplicate group in the same transcript and run, one row each, with their place by id.
+
+    Transcript, group and run are compared null-safely.  The finals' side is small and joined with hot groups
+    split off, places come from a range sort: a group may be of any size.  Result: ``signal_id``, ``place``, ``quote``, ``timestamp``.
     """
-    key = ["transcript_id", "duplicate_group_id", "analysis_run_id"]
-    m = members.filter("not is_canonical and duplicate_group_id is not null").select(*[F.col(k).alias(f"m_{k}") for k in key], F.col("id").alias("m_id"), F.col("advisor_quote").alias("quote"), F.col("timestamp").alias("at"))
-    on = [F.col(k).eqNullSafe(F.col(f"m_{k}")) for k in key] + [F.col("signal_id") != F.col("m_id")]
-    rows = finals.select("signal_id", *key).join(m, on)
-    packed = F.transform(F.array_sort(F.collect_list(F.struct("m_id", "quote", "at"))), lambda x: F.struct(x["quote"].alias("quote"), x["at"].alias("timestamp"), F.lit("supporting_reason").alias("relationship")))
-    return rows.groupBy("signal_id").agg(packed.alias("supporting_evidence"))
+    key = F.to_json(F.struct("transcript_id", "duplicate_group_id", "analysis_run_id"), {"ignoreNullFields": "false"}).alias("__key")
+    m = members.filter("not is_canonical and duplicate_group_id is not null").select(key, F.col("id").alias("m_id"), F.col("advisor_quote").alias("quote"), "timestamp")
+    rows = join_unique(m, finals.select(key, "signal_id"), "__key").filter("signal_id <> m_id")
+    return numbered(rows, ["signal_id"], [F.col("m_id")], "place").select("signal_id", "place", "quote", "timestamp")
+
+
+def supporting(finals: DataFrame, members: DataFrame, most: int = 1000) -> DataFrame:
+    """The first ``most`` of ``supporting_rows`` as an array per final; a row holds no more, the table of rows holds all."""
+    rows = supporting_rows(finals, members).filter(F.col("place") < most)
+    item = lambda x: F.struct(x["quote"].alias("quote"), x["timestamp"].alias("timestamp"), F.lit("supporting_reason").alias("relationship"))
+    return rows.groupBy("signal_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "quote", "timestamp"))), item).alias("supporting_evidence"))
 
 
 def widened(rows: DataFrame, array: str = "supporting_evidence", most: int = 50) -> DataFrame:

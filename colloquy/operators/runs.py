@@ -69,17 +69,15 @@ def counts_of(rows: DataFrame, group: Sequence[str], column: str, values: Sequen
     return rows.groupBy(*group).agg(*[F.count_if(F.coalesce(F.col(column) == v, F.lit(False))).alias(v) for v in values])
 
 
-def downstream(elected: DataFrame, finals: DataFrame, group: str) -> DataFrame:
-    """Per candidate its place after deduplication and ranking: elected id, relationship, selected, rank.
+def downstream(elected: DataFrame, finals: DataFrame) -> DataFrame:
+    """Per candidate its place after deduplication and ranking: elected id, relationship, size of the group, selected, rank.
 
-    The members of a group, in id order, stand with its elected member only; with each of them they
-    would be the square of the group.
+    Members of a group are rows that name their elected member; no row lists a group.
     """
-    members = elected.groupBy(group).agg(F.array_sort(F.collect_set("id")).alias("member_ids"))
     chosen = finals.select(F.col("signal_id").alias("id"), "analysis_run_id", "rank")
-    rows = elected.join(members.withColumn("is_canonical", F.lit(True)), [group, "is_canonical"], "left").join(chosen, ["id", "analysis_run_id"], "left")
+    rows = elected.join(chosen, ["id", "analysis_run_id"], "left")
     relation = F.when(F.col("is_canonical"), "canonical").otherwise("duplicate_of_canonical")
-    return rows.select("analysis_run_id", "id", "canonical_id", relation.alias("relationship"), "member_ids", F.col("rank").isNotNull().alias("selected"), "rank")
+    return rows.select("analysis_run_id", "id", "canonical_id", relation.alias("relationship"), F.col("members").alias("group_size"), F.col("rank").isNotNull().alias("selected"), "rank")
 
 
 def integrity(child: DataFrame, parent: DataFrame, key: str, foreign: str) -> DataFrame:

@@ -110,6 +110,12 @@ def supporting_evidence(spark, base):
     return rows.select("signal_id", F.size("supporting_evidence").alias("n"), F.array_join(F.transform("supporting_evidence", lambda x: x["quote"]), "|").alias("quotes"))
 
 
+def supporting_rows(spark, base):
+    """Supporting quotes as rows, however large a group is."""
+    e = _finals(spark, base)
+    return export.supporting_rows(e.filter("is_canonical").withColumnRenamed("id", "signal_id"), e)
+
+
 def _export(spark, base):
     e = _finals(spark, base)
     latest = runs.latest_run(table(spark, base, "analysis_runs"), completed_only=True)
@@ -173,8 +179,7 @@ def diagnostics_listing(spark, base):
 
 
 def downstream_snapshots(spark, base):
-    d = runs.downstream(_finals(spark, base), final_selection(spark, base), "duplicate_group_id")
-    return d.withColumn("member_ids", F.array_join(F.transform("member_ids", lambda x: x.cast("string")), ","))
+    return runs.downstream(_finals(spark, base), final_selection(spark, base))
 
 
 def table_integrity(spark, base):
@@ -189,7 +194,7 @@ def table_integrity(spark, base):
 
 QUERIES = {f.__name__: f for f in (
     downstream_snapshots, table_integrity, latest_runs, latest_completed_runs, run_listing, visible_signals, signal_listing, absent_results, replayed_signals, legacy_runs, backfilled_signals,
-    backfilled_snapshots, validation_backfill, after_deletion, replaced_finals, supporting_evidence, export_rows, export_table, export_evidence, export_lines, stage_usage, usage_totals,
+    backfilled_snapshots, validation_backfill, after_deletion, replaced_finals, supporting_evidence, supporting_rows, export_rows, export_table, export_evidence, export_lines, stage_usage, usage_totals,
     progress_states, signal_summaries, diagnostics_listing,
 )}
 
@@ -203,9 +208,9 @@ _SUPPORT = """m as (select a.id as signal_id, list(b.advisor_quote order by b.id
     and a.duplicate_group_id = b.duplicate_group_id and a.analysis_run_id is not distinct from b.analysis_run_id and a.id <> b.id where a.id = a.canon and b.id <> b.canon group by all)"""
 
 SQL = {
-    "downstream_snapshots": f"""with {_ELECT}, fs as ({signal_queries.SQL["final_selection"]}), mm as (select duplicate_group_id, string_agg(cast(id as varchar), ',' order by id) as member_ids from g group by all)
-        select g.analysis_run_id, g.id, g.canon as canonical_id, case when g.id = g.canon then 'canonical' else 'duplicate_of_canonical' end as relationship, case when g.id = g.canon then mm.member_ids end as member_ids,
-            fs.rank is not null as selected, fs.rank from g join mm using (duplicate_group_id) left join fs on fs.signal_id = g.id and fs.analysis_run_id = g.analysis_run_id""",
+    "downstream_snapshots": f"""with {_ELECT}, fs as ({signal_queries.SQL["final_selection"]})
+        select g.analysis_run_id, g.id, g.canon as canonical_id, case when g.id = g.canon then 'canonical' else 'duplicate_of_canonical' end as relationship, g.members as group_size,
+            fs.rank is not null as selected, fs.rank from g left join fs on fs.signal_id = g.id and fs.analysis_run_id = g.analysis_run_id""",
     "table_integrity": " union all ".join(
         f"""select '{n}' as table_name, '{f}' as foreign_key, (select count(*) from {n}) as row_count, (select count(*) from (select {k} from {n} group by {k} having count(*) > 1)) as repeated_keys,
         (select count(*) from {n} where {f} is not null and {f} not in (select id from {"transcripts" if f == "transcript_id" else "analysis_runs"})) as orphans""" for n, k, f in CHECKED
@@ -233,6 +238,8 @@ SQL = {
         f"select '{n}' as table_name, transcript_id, count(*) as n from {n} where transcript_id not in (select id from transcripts where status = '{PENDING}') group by all"
         for n in ("transcript_turns", "candidate_signals", "analysis_runs", "participants")
     ),
+    "supporting_rows": f"""with {_ELECT} select a.id as signal_id, cast(row_number() over (partition by a.id order by b.id) - 1 as int) as place, b.advisor_quote as quote, b.timestamp from g a join g b on a.transcript_id = b.transcript_id
+        and a.duplicate_group_id = b.duplicate_group_id and a.analysis_run_id is not distinct from b.analysis_run_id and a.id <> b.id where a.id = a.canon and b.id <> b.canon""",
     "supporting_evidence": f"with {_ELECT}, {_SUPPORT} select signal_id, cast(len(q) as int) as n, array_to_string(q, '|') as quotes from m",
     "export_rows": f"""with {_ELECT}, {_SUPPORT}, {_LATEST} select g.id as signal_id, g.transcript_id, g.item_type, g.category, case when not isnan(g.extraction_confidence) then printf('%.2f', g.extraction_confidence) end as business_score,
         coalesce(m.q[1], '') as supporting_quote_1, coalesce(m.ts[1], '') as supporting_timestamp_1 from g left join lr using (transcript_id) left join m on m.signal_id = g.id
