@@ -16,6 +16,10 @@ FACTOR_KINDS = (
 EVIDENCE_STRENGTHS = ("explicit", "implied")
 
 
+#: The time that votes are aged from; a later record has age 0.
+VOTES_AS_OF = "2026-06-01 00:00:00"
+
+
 def p1_found(spark: SparkSession, base: str) -> DataFrame:
     links = table(spark, base, "pair_diagnostics").filter("proposed_duplicate")
     return groups.connected_groups(links, "left_id", "right_id")
@@ -60,6 +64,23 @@ def p5_found(spark: SparkSession, base: str) -> DataFrame:
     return survivor.surviving_records(table(spark, base, "candidate_signals"), how)
 
 
+def p5_votes(spark: SparkSession, base: str) -> DataFrame:
+    """The general vote: trust times decay (halved every 30 days before the last record) summed per value, for factor kind and evidence strength."""
+    signals = table(spark, base, "candidate_signals")
+    confidence = F.col("extraction_confidence")
+    trust = F.when(confidence.between(0.0, 1.0), confidence)
+    how = survivor.Survivorship(
+        group="duplicate_group_id", id="id", trust=trust, recency=F.col("created_at"), half_life_days=30.0, as_of=F.lit(VOTES_AS_OF).cast("timestamp"),
+        fields={"factor_kind": _enum("factor_kind", FACTOR_KINDS), "evidence_strength": _enum("evidence_strength", EVIDENCE_STRENGTHS)}, usable=[trust.isNotNull()],
+    )
+    return survivor.surviving_records(signals, how)
+
+
+def p6_text(spark: SparkSession, base: str) -> DataFrame:
+    """Every text again from its ids, through the token-byte table."""
+    return tokens.decode_corpus(tokens.encode_corpus(table(spark, base, "documents")))
+
+
 def p6_ids(spark: SparkSession, base: str) -> DataFrame:
     return tokens.encode_corpus(table(spark, base, "documents"))
 
@@ -77,7 +98,7 @@ def p8_found(spark: SparkSession, base: str) -> DataFrame:
     return spam.spam_pages(table(spark, base, "documents"))
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p6_ids": p6_ids, "p7_found": p7_found, "p7_edited": p7_edited, "p8_found": p8_found}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p5_votes": p5_votes, "p6_ids": p6_ids, "p6_text": p6_text, "p7_found": p7_found, "p7_edited": p7_edited, "p8_found": p8_found}
 
 SQL: dict[str, str] = {
     "p1_found": """with recursive l as (select left_id as a, right_id as b from pair_diagnostics where proposed_duplicate and left_id <> right_id),
@@ -103,6 +124,16 @@ SQL: dict[str, str] = {
             coalesce(first(kk order by coalesce(c, -1) desc, created_at desc, id) filter (kk is not null), '') as factor_kind,
             coalesce(first(ee order by coalesce(c, -1) desc, created_at desc, id) filter (ee is not null), '') as evidence_strength
         from f group by all having count(distinct id) > 1""",
+    "p6_text": "select doc_id, coalesce(text, '') as text from documents",
+    "p5_votes": f"""with s as (select *, case when extraction_confidence between 0 and 1 then extraction_confidence end as c, regexp_replace(lower(trim(factor_kind)), '[\\s-]', '_', 'g') as k,
+            regexp_replace(lower(trim(evidence_strength)), '[\\s-]', '_', 'g') as e from candidate_signals where duplicate_group_id is not null qualify row_number() over (partition by id order by created_at) = 1),
+        w as (select *, coalesce(c, 0) * power(2.0::double, -greatest(0, (epoch_us(timestamp '{VOTES_AS_OF}') - epoch_us(created_at)) / 86400e6) / 30.0) as vote,
+            case when k in {FACTOR_KINDS} then k end as kk, case when e in {EVIDENCE_STRENGTHS} then e end as ee from s),
+        ks as (select duplicate_group_id, kk, sum(vote) as v, max(struct_pack(t := coalesce(c, -1), at := created_at, neg := -id)) as top from w where kk is not null group by all),
+        es as (select duplicate_group_id, ee, sum(vote) as v, max(struct_pack(t := coalesce(c, -1), at := created_at, neg := -id)) as top from w where ee is not null group by all),
+        l as (select duplicate_group_id, first(id order by (c is not null) desc, coalesce(c, -1) desc, created_at desc, id) as signal_id from w group by all having count(distinct id) > 1)
+        select l.duplicate_group_id, signal_id, coalesce((select first(kk order by v desc, top desc) from ks where ks.duplicate_group_id = l.duplicate_group_id), '') as factor_kind,
+            coalesce((select first(ee order by v desc, top desc) from es where es.duplicate_group_id = l.duplicate_group_id), '') as evidence_strength from l""",
     "p7_found": """with d as (select doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') as w from documents where text is not null),
         i as (select item_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') as w from eval_items),
         dw as (select doc_id, array_to_string(w[p:p + 12], ' ') as g from (select doc_id, w, unnest(range(1, len(w) - 11)) as p from d)),
