@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import squeeze
 from ..operators import dedup, ranking, rules
+from ..operators.skew import join_unique
 from ..session import Scratch
 
 
@@ -26,6 +27,19 @@ class EngineConfig:
     #: Reasons for which a reject leaves the pipeline; None: every hard reason.  Rejects for other reasons stay.
     excluding: tuple[str, ...] | None = None
 
+    @classmethod
+    def of(cls, spark: SparkSession, prefix: str = "colloquy.") -> EngineConfig:
+        """The settings of the session (``colloquy.merge_threshold`` and the like) over the defaults; values out of range are an error."""
+        kinds = {"merge_threshold": (float, 0.0, 1.0), "least_score": (float, 0.0, 5.0), "keep_per_type": (int, 1, 1000)}
+        given = {}
+        for name, (kind, low, high) in kinds.items():
+            text = spark.conf.get(prefix + name, None)
+            if text is not None:
+                given[name] = kind(text)
+                if not low <= given[name] <= high:
+                    raise ValueError(f"{prefix}{name} is {text}, not within {low} to {high}")
+        return cls(**given)
+
 
 @dataclass
 class Stages:
@@ -39,31 +53,91 @@ class Stages:
     faults: list[str] = field(default_factory=list)
 
 
-def run(candidates: DataFrame, hard: Sequence[tuple[str, Column]], soft: Sequence[tuple[str, Column]], config: EngineConfig = EngineConfig()) -> Stages:
+def _require(stage: str, df: DataFrame, columns: Sequence[str]) -> None:
+    """A stage that is called alone says what it lacks."""
+    lacking = [c for c in columns if c not in df.columns]
+    if lacking:
+        raise ValueError(f"{stage} needs {', '.join(lacking)}: run the stage before it")
+
+
+def validate(candidates: DataFrame, hard: Sequence[tuple[str, Column]], soft: Sequence[tuple[str, Column]]) -> DataFrame:
+    """Candidates with ``hard`` and ``soft`` reasons and the ``verdict``."""
+    _require("validate", candidates, ["id", "analysis_run_id"])
+    reasons = candidates.withColumn("hard", rules.reasons(hard)).withColumn("soft", rules.reasons(soft))
+    return reasons.withColumn("verdict", rules.verdict(F.col("hard"), F.col("soft")))
+
+
+def score(validated: DataFrame, config: EngineConfig) -> DataFrame:
+    """What may go on, with ``final_score``; a candidate that lacks a component has none and goes no further."""
+    _require("score", validated, ["verdict", "hard", *config.components])
+    stays = F.col("verdict") != "reject" if config.excluding is None else rules.allowed(F.col("verdict"), F.get("hard", F.lit(0)), config.excluding)
+    total = rules.weighted(list(zip(config.weights, [F.col(c).cast("double") for c in config.components])))
+    return validated.filter(stays).withColumn("final_score", total).filter("final_score is not null")
+
+
+def _explicit() -> Column:
+    return F.coalesce(F.col("evidence_strength") == "explicit", F.lit(False))
+
+
+def deduplicate(scored: DataFrame, config: EngineConfig) -> DataFrame:
+    """Candidates with their group and its elected member: by similar vectors, or by equal quotes where there are none."""
+    _require("deduplicate", scored, ["final_score", "advisor_quote", "evidence_strength", *config.block])
+    if "embedding" in scored.columns:
+        groups = dedup.similarity_groups(scored, config.block, "embedding", config.merge_threshold)
+        joined = scored.join(groups, "id")
+    else:
+        key = F.to_json(F.struct(*config.block, squeeze(F.col("advisor_quote")).alias("quote")), {"ignoreNullFields": "false"})
+        keyed = scored.withColumn("__key", key)
+        joined = join_unique(keyed, keyed.groupBy("__key").agg(F.min("id").alias("component")), "__key").drop("__key")
+    elected = dedup.elect(joined, "component", [F.col("final_score"), _explicit()])
+    return Scratch(scored.sparkSession, "pipeline").save(elected, "grouped")  # read by the choice and by its fallback
+
+
+def rank(grouped: DataFrame, config: EngineConfig) -> DataFrame:
+    """The best elected members of each run and direction, of distinct categories, or the one best where none reaches the bound."""
+    _require("rank", grouped, ["is_canonical", "final_score", "category", *config.block])
+    order = [F.desc("final_score"), F.desc(_explicit()), F.asc("id")]
+    pool = grouped.filter("is_canonical")
+    chosen = ranking.top_distinct(pool.filter(F.col("final_score") >= config.least_score), list(config.block), squeeze(F.coalesce("category", F.lit(""))), order, config.keep_per_type)
+    return ranking.with_fallback(chosen, pool, list(config.block), order)
+
+
+def safely(note: Callable[[str, str], None] | None, stage: str, state: str) -> None:
+    """Progress is told, but a failure to tell it never stops a stage."""
+    try:
+        if note is not None:
+            note(stage, state)
+    except Exception:  # observation only
+        pass
+
+
+def run(
+    candidates: DataFrame, hard: Sequence[tuple[str, Column]], soft: Sequence[tuple[str, Column]], config: EngineConfig = EngineConfig(),
+    note: Callable[[str, str], None] | None = None,
+) -> Stages:
     """validate, score, deduplicate, rank.
 
     ``candidates``: id, analysis_run_id, item_type, category, advisor_quote, evidence_strength,
     the five components and optionally ``embedding``.  A run without candidates simply has no
-    rows; its summary is filled with zeros by the caller's left join.
+    rows; its summary is filled with zeros by the caller's left join.  ``note`` is told (stage, started or completed or failed).
     """
     s = Stages()
-    reasons = candidates.withColumn("hard", rules.reasons(hard)).withColumn("soft", rules.reasons(soft))
-    s.validated = reasons.withColumn("verdict", rules.verdict(F.col("hard"), F.col("soft")))
-    score = rules.weighted(list(zip(config.weights, [F.col(c).cast("double") for c in config.components])))
-    stays = F.col("verdict") != "reject" if config.excluding is None else rules.allowed(F.col("verdict"), F.get("hard", F.lit(0)), config.excluding)
-    s.scored = s.validated.filter(stays).withColumn("final_score", score).filter("final_score is not null")
-    if "embedding" in candidates.columns:
-        groups = dedup.similarity_groups(s.scored, config.block, "embedding", config.merge_threshold)
-    else:
-        key = [*config.block, squeeze(F.col("advisor_quote"))]
-        groups = s.scored.groupBy(*key).agg(F.min("id").alias("component"), F.collect_set("id").alias("ids")).select(F.explode("ids").alias("id"), "component")
-    explicit = F.coalesce(F.col("evidence_strength") == "explicit", F.lit(False))
-    s.grouped = dedup.elect(s.scored.join(groups, "id"), "component", [F.col("final_score"), explicit])
-    s.grouped = Scratch(candidates.sparkSession, "pipeline").save(s.grouped, "grouped")  # read by the choice and by its fallback
-    order = [F.desc("final_score"), F.desc(explicit), F.asc("id")]
-    pool = s.grouped.filter("is_canonical")
-    chosen = ranking.top_distinct(pool.filter(F.col("final_score") >= config.least_score), list(config.block), squeeze(F.coalesce("category", F.lit(""))), order, config.keep_per_type)
-    s.finals = ranking.with_fallback(chosen, pool, list(config.block), order)
+
+    def step(name: str, make: Callable[[], DataFrame]) -> DataFrame:
+        safely(note, name, "started")
+        try:
+            made = make()
+        except Exception:
+            s.faults.append(name)
+            safely(note, name, "failed")
+            raise
+        safely(note, name, "completed")
+        return made
+
+    s.validated = step("validate", lambda: validate(candidates, hard, soft))
+    s.scored = step("score", lambda: score(s.validated, config))
+    s.grouped = step("deduplicate", lambda: deduplicate(s.scored, config))
+    s.finals = step("rank", lambda: rank(s.grouped, config))
     s.summary = s.validated.groupBy("analysis_run_id").agg(
         F.count(F.lit(1)).alias("candidates"), *[F.count_if(F.col("verdict") == v).alias(v) for v in ("pass", "needs_review", "reject")]
     )

@@ -97,6 +97,18 @@ def context_windows(spark, base):
     return ev.context_window(signals(spark, base), turns(spark, base), need_quote=False)
 
 
+def quoted_windows(spark, base):
+    """Context of cited turns that hold the quote, for real quotes and for excerpts of turns."""
+    t = turns(spark, base)
+    return ev.context_window(_real_and_cut(spark, base, t), t)
+
+
+def quoted_completions(spark, base):
+    """Turns that complete the one cited turn that holds the quote."""
+    t = turns(spark, base)
+    return ev.completion_turns(_real_and_cut(spark, base, t), t)
+
+
 def context_texts(spark, base):
     t = turns(spark, base)
     rows = ev.context_window(signals(spark, base), t, include_source=True, need_quote=False)
@@ -168,7 +180,7 @@ def unparsed_transcripts(spark, base):
 
 QUERIES = {f.__name__: f for f in (
     turns_flat, turns_lines, transcript_texts, repaired_documents, upload_checks, turn_batches, batch_hashes, gated_roles, role_histogram,
-    owner_neighbourhood, reliable_turns, source_resolution, source_quotes, context_windows, context_texts, rank_contexts, completion_turns, procedural_turns,
+    owner_neighbourhood, reliable_turns, source_resolution, source_quotes, context_windows, quoted_windows, quoted_completions, context_texts, rank_contexts, completion_turns, procedural_turns,
     quote_matches, signal_quote_matches, owner_contexts, unparsed_transcripts, evidence_locator, evidence_places, tagged_neighbours, natural_listing, status_counts,
 )}
 
@@ -203,6 +215,17 @@ _PLAIN = r"""trim(regexp_replace(translate({0}, '“”‘’', '""'''''), '\s+'
 _SPEAKER = "trim({0}) <> '' and len(string_split_regex(trim({0}), '\\s+')) <= 8 and not regexp_matches({0}, '[.!?]')"
 _PA, _PB, _PD = r"^(\d{1,2}:\d{2}:\d{2})\s+([^:]{1,100}):\s*(.*)$", r"^(.+?)\s+(\d{1,2}:\d{2}:\d{2})\s*:?[ \t]*$", r"^([^:]{1,100}):\s*(.*)$"
 
+_QUOTED = f"""{S}, {T}, {_CUT}, c as (select qt.id, qt.transcript_id, t.id as turn_id, t.pos, t.text, q as advisor_quote
+    from (select *, unnest(list_distinct(cites)) as cited from qt) qt join t on t.id = qt.cited and t.transcript_id = qt.transcript_id and contains(t.text, q))"""
+_COMPLETE = """n as (select *, lag(id) over w as pi, lag(raw_speaker_label) over w as pl, lag(inferred_role) over w as pr, lead(id) over w as ni,
+            lead(raw_speaker_label) over w as nl, lead(inferred_role) over w as nr from t window w as (partition by transcript_id order by pos)),
+        o as (select id, min(turn_id) as turn from c group by id having count(*) = 1),
+        x as (select o.id, case when pr = 'advisor' and inferred_role = 'advisor' and pl = raw_speaker_label
+                and (regexp_matches(ltrim(text), '^[a-z]') or regexp_matches(ltrim(text), '(?i)^(that|this|it|he|she|they|those|these)\\b')) then pi end as previous_id,
+            case when nr = 'advisor' and inferred_role = 'advisor' and nl = raw_speaker_label
+                and regexp_matches(text, '(?i)(…|\\.\\.\\.|[,;:]|\\b(and|but|because|so|or))\\s*$') then ni end as next_id from o join n on n.id = o.turn)
+        select * from x where previous_id is not null or next_id is not null"""
+
 SQL = {
     "turns_lines": rf"""with d as (select id, string_split_regex(raw_text, '\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{{85}}\x{{2028}}\x{{2029}}]') as a from transcripts where not regexp_matches(raw_text, '{BOUNDARY}')),
         l as (select id, n, regexp_replace(a[n], '^\s+|\s+$', '', 'g') as s from (select id, a, unnest(range(1, len(a) + 1)) as n from d)),
@@ -267,14 +290,9 @@ SQL = {
         select s.id, cast(coalesce(n, 0) as int) as matches, case when n = 1 then one end as turn_id from s left join g using (id)""",
     "context_windows": f"with {_CITED}, {_WINDOW.replace('{own}', 'e.part')} select sid as id, pos, id as turn_id from k where rn <= 5",
     "context_texts": f"with {_CITED}, {_WINDOW.replace('{own}', 'e.own')} select sid as id, string_agg(text, ' ' order by pos) as context from k where rn <= 5 group by sid",
-    "completion_turns": f"""with {_CITED}, n as (select *, lag(id) over w as pi, lag(raw_speaker_label) over w as pl, lag(inferred_role) over w as pr, lead(id) over w as ni,
-            lead(raw_speaker_label) over w as nl, lead(inferred_role) over w as nr from t window w as (partition by transcript_id order by pos)),
-        o as (select id, min(turn_id) as turn from c group by id having count(*) = 1),
-        x as (select o.id, case when pr = 'advisor' and inferred_role = 'advisor' and pl = raw_speaker_label
-                and (regexp_matches(ltrim(text), '^[a-z]') or regexp_matches(ltrim(text), '(?i)^(that|this|it|he|she|they|those|these)\\b')) then pi end as previous_id,
-            case when nr = 'advisor' and inferred_role = 'advisor' and nl = raw_speaker_label
-                and regexp_matches(text, '(?i)(…|\\.\\.\\.|[,;:]|\\b(and|but|because|so|or))\\s*$') then ni end as next_id from o join n on n.id = o.turn)
-        select * from x where previous_id is not null or next_id is not null""",
+    "completion_turns": f"with {_CITED}, {_COMPLETE}",
+    "quoted_completions": f"with {_QUOTED}, {_COMPLETE}",
+    "quoted_windows": f"with {_QUOTED}, {_WINDOW.replace('{own}', 'e.part')} select sid as id, pos, id as turn_id from k where rn <= 5",
     "procedural_turns": f"""with {T}, w as (select id, regexp_extract_all(lower(text), '[a-z0-9'']+') as a from t),
         q as (select id, array_to_string([x for x, i in a if i = 1 or x <> a[i - 1]], ' ') as words from w),
         p as (select id, words, regexp_replace(regexp_replace(regexp_replace(words, '\\bsay more about that\\b', ' ', 'g'), '\\bgo on\\b', ' ', 'g'), '\\bhave to check\\b', ' ', 'g') as rest from q)

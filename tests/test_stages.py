@@ -54,6 +54,37 @@ def test_pipeline_keeps_soft_rejects(spark):
     assert ids(pipeline.EngineConfig(excluding=())) == [1, 2, 3]
 
 
+def test_stages_alone_and_observed(spark):
+    df = spark.createDataFrame([(1, "r")], "id long, analysis_run_id string")
+    with pytest.raises(ValueError, match="score needs verdict"):
+        pipeline.score(df, pipeline.EngineConfig())
+    with pytest.raises(ValueError, match="rank needs is_canonical"):
+        pipeline.rank(df, pipeline.EngineConfig())
+    told = []
+    with pytest.raises(ValueError):
+        pipeline.run(df, [], [], note=lambda stage, state: told.append((stage, state)))
+    assert told == [("validate", "started"), ("validate", "completed"), ("score", "started"), ("score", "failed")]
+
+    def broken(stage, state):
+        raise OSError("no observer")
+
+    assert pipeline.safely(broken, "x", "started") is None
+
+
+def test_settings_of_the_session(spark):
+    assert pipeline.EngineConfig.of(spark) == pipeline.EngineConfig()
+    try:
+        spark.conf.set("colloquy.keep_per_type", "5")
+        spark.conf.set("colloquy.merge_threshold", "0.9")
+        assert pipeline.EngineConfig.of(spark) == pipeline.EngineConfig(keep_per_type=5, merge_threshold=0.9)
+        spark.conf.set("colloquy.merge_threshold", "9")
+        with pytest.raises(ValueError):
+            pipeline.EngineConfig.of(spark)
+    finally:
+        spark.conf.unset("colloquy.keep_per_type")
+        spark.conf.unset("colloquy.merge_threshold")
+
+
 def test_modes_fall_back(spark):
     items = spark.createDataFrame([(1,), (2,)], "id long")
     base = lambda: spark.createDataFrame([(1, 1), (2, 1)], "id long, component long")
