@@ -10,7 +10,7 @@ from ..functions.text import strip
 from ..operators import dedup, evidence, export, metrics, reports, rules, runs, sequence, telemetry
 from ..operators.skew import join_unique
 from ..session import Scratch, table
-from . import metric_queries, run_queries, signal_queries, stage_queries
+from . import metric_queries, providers, run_queries, signal_queries, stage_queries
 from .base import R, S, results, signals
 from .signal_queries import _ELECT, _hard, _rank_order, _soft
 from .stage_queries import _BAD1, _JV, _SOFT1
@@ -174,6 +174,25 @@ def redacted_addresses(spark, base):
     return n.select("n_nationkey", telemetry.redacted(url).alias("address"))
 
 
+def score_faults(spark, base):
+    """Compared pairs with the score of the second model and what is wrong with it."""
+    p = table(spark, base, "pair_diagnostics").filter("left_id is not null and right_id is not null and left_id <> right_id").dropDuplicates()
+    p = p.select(F.least("left_id", "right_id").alias("a"), F.greatest("left_id", "right_id").alias("b"), F.col("cross_encoder_score").alias("score"))
+    return providers.checked_scores(p, p.filter("score is not null"))
+
+
+def diagnostics_order(spark, base):
+    """The candidates of every run and direction by falling score, unknown ones last, with the overlapping subsets of the list."""
+    r = results(spark, base)
+    g = signals(spark, base).select(F.col("id").alias("candidate_id"), F.col("duplicate_group_id").isNotNull().alias("in_group"))
+    score = F.nanvl("business_score", F.lit(None).cast("double"))
+    rows = r.select("analysis_run_id", "item_type", "candidate_id", score.alias("score"), "validation_verdict").join(g, "candidate_id", "left")
+    rows = rows.withColumn("in_group", F.coalesce("in_group", F.lit(False)))
+    is_ = lambda v: F.coalesce(F.col("validation_verdict") == v, F.lit(False))
+    rows = sequence.numbered(rows, ["analysis_run_id", "item_type"], [F.desc_nulls_last("score"), F.col("candidate_id")], "place")
+    return rows.select("analysis_run_id", "item_type", "place", "candidate_id", is_("reject").alias("rejected"), is_("needs_review").alias("in_review"), F.col("in_group").alias("duplicate"))
+
+
 # evaluation
 
 
@@ -233,7 +252,7 @@ def report_lines(spark, base):
 
 QUERIES = {f.__name__: f for f in (
     created_runs, ended_runs, validation_snapshots, replayed_verdicts, extraction_batches, run_candidates, historical_finals, migrated_signals, final_rows, debug_rows, latest_finals, call_records,
-    progress_transitions, run_manifests, schema_report, redacted_addresses, oracle_report, rank_macro, baseline_orders, id_faults, saved_report, report_lines,
+    progress_transitions, run_manifests, schema_report, redacted_addresses, score_faults, diagnostics_order, oracle_report, rank_macro, baseline_orders, id_faults, saved_report, report_lines,
 )}
 
 _FS = f"fs as ({signal_queries.SQL['final_selection']})"
@@ -291,6 +310,13 @@ SQL = {
     "schema_report": "select t as table_name, c as missing_column from (" + " union all ".join(f"select '{t}' as t, '{c}' as c" for t, cs in EXPECTED.items() for c in cs)
         + ") e where not exists (select 1 from information_schema.columns i where i.table_name = e.t and i.column_name = e.c)",
     "redacted_addresses": "select n_nationkey, 'db://***@host/' || lower(n_name) as address from nation",
+    "score_faults": """with p as (select least(left_id, right_id) as a, greatest(left_id, right_id) as b, cross_encoder_score as s from (select distinct * from pair_diagnostics) where left_id <> right_id)
+        select a, b, case when count(s) = 1 and bool_and(s between 0 and 1 and not isnan(s)) then min(s) end as score,
+            case when count(s) = 0 then 'missing' when count(s) > 1 then 'repeated' when bool_or(isnan(s) or isinf(s)) then 'not_finite' when not bool_and(s between 0 and 1) then 'out_of_range' end as fault from p group by all""",
+    "diagnostics_order": f"""with {R}, {S}, x as (select analysis_run_id, item_type, candidate_id, case when not isnan(business_score) then business_score end as score, validation_verdict,
+            coalesce((select duplicate_group_id is not null from s where s.id = r.candidate_id), false) as dup from r)
+        select analysis_run_id, item_type, cast(row_number() over (partition by analysis_run_id, item_type order by score desc nulls last, candidate_id) - 1 as int) as place, candidate_id,
+        coalesce(validation_verdict = 'reject', false) as rejected, coalesce(validation_verdict = 'needs_review', false) as in_review, dup as duplicate from x""",
     "oracle_report": f"with {_JV} select validation_verdict as actual, verdict as guess, count(*) as n from jv where validation_verdict is not null group by all",
     "rank_macro": f"""with {metric_queries._RANKED}, g as (select run, count(*) as n, sum((power(2.0::double, -expert) - power(2.0::double, -(m + 1))) / log2(guess + 1)) as dcg,
             sum((power(2.0::double, -expert) - power(2.0::double, -(m + 1))) / log2(expert + 1)) as ideal, min(guess) filter (expert = 1) as first from (select run, expert, guess, count(*) over (partition by run) as m from k) group by run having count(*) > 1)

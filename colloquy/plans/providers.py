@@ -6,8 +6,10 @@ requests into one of answers; the default reads recorded JSON.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from math import isfinite
 from typing import Protocol
 
 import pandas as pd
@@ -65,3 +67,67 @@ class FunctionProvider:
 
     def answer(self, requests: DataFrame) -> DataFrame:
         return requests.mapInPandas(self.function, self.schema)
+
+
+def retrying(call: Callable[[str], str], transient: tuple[type[BaseException], ...], most: int = 2, wait: float = 0.5, sleep: Callable[[float], None] = time.sleep):
+    """A batch function for ``FunctionProvider`` that asks once per row and again after a transient fault, up to ``most`` times.
+
+    Waits double from ``wait`` seconds.  Other faults are not tried again.  Neither ends the batch: the answer is null and
+    ``error_type`` names the fault.  Result: request_id, answer, retry_count, duration_ms, success, error_type (``CALL``).
+    """
+
+    def ask(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = []
+            for key, prompt in zip(frame["request_id"], frame["prompt"]):
+                began, answer, error = time.monotonic(), None, None
+                for tries in range(most + 1):
+                    try:
+                        answer, error = call(prompt), None
+                    except transient as fault:
+                        error = type(fault).__name__
+                        if tries < most:
+                            sleep(wait * 2**tries)
+                            continue
+                    except Exception as fault:
+                        error = type(fault).__name__
+                    break
+                rows.append((key, answer, tries, (time.monotonic() - began) * 1e3, error is None, error))
+            yield pd.DataFrame(rows, columns=["request_id", "answer", "retry_count", "duration_ms", "success", "error_type"])
+
+    return ask
+
+
+CALL = "request_id long, answer string, retry_count int, duration_ms double, success boolean, error_type string"
+
+
+def embedded(texts: DataFrame, embed: Callable[[list[str]], list[list[float]]], dimension: int) -> DataFrame:
+    """Vectors of the texts (``id``, ``text``), one call per Arrow batch.
+
+    A vector that is missing, of another dimension or not finite is null, and ``fault`` says so; null texts are not sent.
+    """
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            there = frame["text"].notna()
+            try:
+                made = iter(embed(frame["text"][there].tolist()))
+                vectors = [list(next(made)) if t else None for t in there]
+                faults = [None if v is None else None if len(v) == dimension and all(map(isfinite, v)) else "invalid_vector" for v in vectors]
+            except Exception as fault:  # the provider failed for the batch
+                vectors, faults = [None] * len(frame), [type(fault).__name__] * len(frame)
+            yield pd.DataFrame({"id": frame["id"], "embedding": [None if f else v for v, f in zip(vectors, faults)], "fault": faults})
+
+    return texts.select("id", "text").mapInPandas(run, "id long, embedding array<double>, fault string")
+
+
+def checked_scores(pairs: DataFrame, scored: DataFrame) -> DataFrame:
+    """Scores of compared pairs with what is wrong with each: missing, repeated, not a number, or out of 0 to 1.
+
+    ``pairs`` and ``scored`` have a, b; ``scored`` has score.  A pair with a fault has no score.
+    """
+    got = scored.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("low"), F.max("score").alias("high"))
+    rows = pairs.select("a", "b").distinct().join(got, ["a", "b"], "left")
+    finite = F.col("low").isNotNull() & ~F.isnan("high") & (F.abs("high") != float("inf")) & (F.abs("low") != float("inf"))
+    fault = F.when(F.col("n").isNull(), "missing").when(F.col("n") > 1, "repeated").when(~finite, "not_finite").when(~F.col("low").between(0.0, 1.0), "out_of_range")
+    return rows.select("a", "b", F.when(fault.isNull(), F.col("low")).alias("score"), fault.alias("fault"))

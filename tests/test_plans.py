@@ -30,6 +30,41 @@ def test_providers(spark):
     assert sorted(r.answer for r in made.answer(asked).collect()) == ["A", "B"]
 
 
+def test_calls_are_tried_again_after_transient_faults(spark):
+    def call(prompt):
+        kind, _, fails = prompt.partition(":")
+        seen[prompt] = seen.get(prompt, 0) + 1
+        if seen[prompt] <= int(fails or 0):
+            raise (TimeoutError if kind == "slow" else ValueError)(prompt)
+        return kind.upper()
+
+    import pandas as pd
+
+    seen, waits = {}, []
+    ask = providers.retrying(call, (TimeoutError,), sleep=waits.append)
+    got = next(ask(iter([pd.DataFrame({"request_id": range(5), "prompt": ["ok", "slow:1", "slow:2", "slow:9", "bad:1"]})])))
+    assert got["answer"].tolist() == ["OK", "SLOW", "SLOW", None, None] and got["retry_count"].tolist() == [0, 1, 2, 2, 0]
+    assert got["error_type"].tolist() == [None, None, None, "TimeoutError", "ValueError"] and waits == [0.5, 0.5, 1.0, 0.5, 1.0]
+    asked = spark.createDataFrame([(1, "a")], "request_id long, prompt string")
+    row = providers.FunctionProvider(providers.retrying(str.upper, (TimeoutError,)), providers.CALL).answer(asked).first()
+    assert (row.answer, row.retry_count, row.success, row.error_type) == ("A", 0, True, None)
+
+
+def test_embeddings_and_scores_are_checked(spark):
+    texts = spark.createDataFrame([(1, "ab"), (2, None), (3, "x"), (4, "nan!")], "id long, text string").coalesce(1)
+
+    def embed(batch):
+        return [[float(len(t)), 1.0] if len(t) == 2 else [float("nan"), 0.0] if "nan" in t else [1.0] for t in batch]
+
+    got = {r.id: (r.embedding, r.fault) for r in providers.embedded(texts, embed, 2).collect()}
+    assert got == {1: ([2.0, 1.0], None), 2: (None, None), 3: (None, "invalid_vector"), 4: (None, "invalid_vector")}
+    assert {r.fault for r in providers.embedded(texts, lambda b: 1 / 0, 2).collect()} == {"ZeroDivisionError"}
+    pairs = spark.createDataFrame([(1, 2), (1, 3), (1, 4), (1, 5), (1, 6)], "a long, b long")
+    scored = spark.createDataFrame([(1, 2, 0.5), (1, 3, 1.5), (1, 4, float("nan")), (1, 5, 0.1), (1, 5, 0.2), (8, 9, 0.3)], "a long, b long, score double")
+    got = {r.b: (r.score, r.fault) for r in providers.checked_scores(pairs, scored).collect()}
+    assert got == {2: (0.5, None), 3: (None, "out_of_range"), 4: (None, "not_finite"), 5: (None, "repeated"), 6: (None, "missing")}
+
+
 CANDIDATE = (
     "id long, analysis_run_id string, item_type string, category string, advisor_quote string, evidence_strength string, "
     "advisor_ownership int, decision_impact int, explicitness int, urgency int, evidence_quality int, embedding array<double>"
