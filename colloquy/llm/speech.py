@@ -32,13 +32,33 @@ def seconds(text: str | None) -> int | None:
     return total
 
 
+class _Noise(dict):
+    """Whether a word is a vocal noise; words recur, so the answers are kept."""
+
+    def __missing__(self, word: str) -> bool:
+        if len(self) > 200_000:
+            self.clear()
+        self[word] = found = NOISE.match(word) is not None
+        return found
+
+
+_noise = _Noise()
+#: Without one of these there is no annotation.
+_MARKED = re.compile(r"[\[({<*♪]|\d:\d")
+
+
 def clean(text: str | None) -> str:
     """The spoken words only, joined by single spaces."""
     if not text:
         return ""
-    plain = ANNOTATION.sub(" ", text.translate(_QUOTES)).lower()
-    plain = NOISE_PAIR.sub(" ", plain)
-    return " ".join(w for w in WORD.findall(plain) if not NOISE.match(w))
+    if not text.isascii() or "`" in text:
+        text = text.translate(_QUOTES)
+    if _MARKED.search(text):
+        text = ANNOTATION.sub(" ", text)
+    text = text.lower()
+    if "-" in text:
+        text = NOISE_PAIR.sub(" ", text)
+    return " ".join([w for w in WORD.findall(text) if not _noise[w]])
 
 
 def _edits(a: str, b: str, most: int) -> int:

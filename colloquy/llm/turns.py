@@ -184,11 +184,12 @@ def _stored(batches):
     who: dict = {}
     for batch in batches:
         rows = []
-        for t, place, at, label, text, people in zip(*(batch.column(c).to_pylist() for c in ("t", "turn_index", "timestamp", "raw_speaker_label", "text", "people"))):
+        people = batch.column("people")  # of a row only where its label is new
+        for n, (t, place, at, label, text) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("t", "turn_index", "timestamp", "raw_speaker_label", "text")))):
             if (t, label) not in who:
                 if len(who) > 100_000:
                     who.clear()
-                who[t, label] = speaker_of(label, _people(people))
+                who[t, label] = speaker_of(label, _people(people[n].as_py()))
             rows.append((t, place, None, seconds(at), who[t, label], clean(text)))
         yield _batch(rows)
 
