@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..session import Scratch, ship
 from .darts import mix
-from .shared import open_shared
+from .shared import open_shared, spread
 
 WORD = re.compile(r"[^\W_]+")
 #: Keys of item windows that a worker holds at a time (8 bytes each); a larger item set takes one pass over the corpus per so many.
@@ -273,7 +273,7 @@ def leaked_items(
     rows = index.count()
     lengths = sorted(r["m"] for r in index.select("m").distinct().collect())  # at most the words of the longest item
     blocks = max(1, -(-rows // BLOCK_KEYS))
-    docs = documents.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = spread(documents.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
     hits = None
     for b in range(blocks):
         part = scratch.save(index.filter(F.pmod(F.xxhash64("key"), F.lit(blocks)) == b).select("key"), "keys")
