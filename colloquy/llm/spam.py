@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import ship
+from ..session import Scratch, ship
 from .shared import spread
 
 STATES = ("prose", "links", "tags", "menu")
@@ -49,7 +50,7 @@ SPOKEN = re.compile(r"^[^\W\d_][\w .'’-]{0,30}:\s.*[.!?…]\W*$")
 HASHTAG = re.compile(r"#\w")
 BULLET = re.compile(r"^\s*(?:[*•-]|\d+[.)])\s+")
 
-#: What is believed of P(bin | state) before any text is seen, per state prose, links, tags, menu; ``fit`` counts it as PRIOR lines of each state.
+#: What is believed of P(bin | state) before any text is seen, per state prose, links, tags, menu; ``fit`` counts it as lines of each state.
 BELIEF = {
     "link": [[0.96, 0.03, 0.01], [0.06, 0.24, 0.70], [0.94, 0.05, 0.01], [0.94, 0.05, 0.01]],
     "function": [[0.06, 0.12, 0.82], [0.80, 0.15, 0.05], [0.65, 0.18, 0.17], [0.70, 0.18, 0.12]],
@@ -62,11 +63,17 @@ BELIEF = {
 }
 STAY = 0.85
 START = (0.7, 0.1, 0.1, 0.1)
-#: Pages whose lines the model is fitted on, lines taken of one page, rounds of the fit, and lines that the beliefs count for.
-FIT_PAGES = 2000
-FIT_LINES = 500
+#: Rounds of the fit, and the lines that the beliefs count for at least.  They count for as many as the corpus has: a fixed
+#: number would wear away as a corpus grows, and the states would come to mean whatever tells most of its lines apart.
 FIT_ROUNDS = 12
 PRIOR = 20_000.0
+#: Every combination of bins has a code, its place here.
+SHAPE = tuple(len(t[0]) for t in BELIEF.values())
+BINS = list(np.ndindex(*SHAPE))
+CODE = {b: n for n, b in enumerate(BINS)}
+#: Longer pages are cut into spans of so many lines, which are counted side by side; and lines counted at once.
+SPAN = 256
+GROUP_LINES = 200_000
 
 
 @dataclass(frozen=True, eq=False)
@@ -88,50 +95,122 @@ class Model:
         return cls(np.log(START), np.log(move), tuple(np.log(np.array(t)) for t in BELIEF.values()))
 
 
-def fit(pages: list[np.ndarray], rounds: int = FIT_ROUNDS, prior: float = PRIOR) -> Model:
-    """The model that explains the lines of the pages best (Baum-Welch), starting from and smoothed by the beliefs.
+class Expected:
+    """What a model expects of the pages added: how often each state comes first, follows each state and shows each code.
 
-    pages: the bins of each page's lines, one row per line.  No page needs a label: the beliefs name the states, the
-    lines and their neighbours decide how often each state shows each feature and what follows it.
+    All are sums over pages, so those of parts of a corpus add up to those of the whole.
     """
-    belief = model = Model.believed()
-    pages = [p for p in pages if len(p)]
-    if not pages:
-        return model
-    # pages side by side, the longest first, so that step t concerns the first live[t] of them
-    pages = sorted(pages, key=len, reverse=True)
-    size = np.array([len(p) for p in pages])
-    live = np.array([(size > t).sum() for t in range(size[0])])
-    step = [np.concatenate([[p[t]] for p in pages[: live[t]]]) for t in range(size[0])]
-    for _ in range(rounds):
-        b = [np.exp(model.table(x)) for x in step]
-        start, move = np.exp(model.start), np.exp(model.move)
+
+    def __init__(self, model: Model):
+        self.start, self.move, self.show = np.exp(model.start), np.exp(model.move), np.exp(model.table(np.array(BINS)))
+        self.first, self.moves, self.seen = np.zeros(4), np.zeros((4, 4)), np.zeros((len(BINS), 4))
+
+    def add(self, codes: np.ndarray, size: np.ndarray, times: np.ndarray) -> None:
+        """codes: those of the lines of all pages, one page after the other; the lines of each page; how often it occurs.
+
+        A page of more than SPAN lines is cut.  The product of the steps through a span tells what is known before it from
+        what is known before the span ahead of it, and likewise backwards, so its counts are those of the uncut page.
+        """
+        spans = -(-size // SPAN)
+        page = np.repeat(np.arange(len(size)), spans)
+        nth = np.arange(len(page)) - np.repeat(np.cumsum(spans) - spans, spans)
+        at, n = (np.cumsum(size) - size)[page] + nth * SPAN, np.minimum(SPAN, size[page] - nth * SPAN)
+        before, after = np.zeros((len(page), 4)), np.ones((len(page), 4))
+        order = np.argsort(-n, kind="stable")
+        cut = spans[page] > 1
+        if cut.any():
+            through = {}
+            for g in _groups(order[cut[order]], n):
+                through.update(zip(g.tolist(), self._through(codes, at[g], n[g])))
+            whole = np.flatnonzero(cut).tolist()
+            enter = self.start
+            for i in whole:
+                if nth[i]:
+                    before[i] = enter @ through[i - 1]
+                    before[i] /= before[i].sum()
+                enter = before[i] @ self.move if nth[i] else self.start
+            for i in reversed(whole):
+                if nth[i] + 1 < spans[page[i]]:
+                    after[i] = self.move @ (through[i + 1] @ after[i + 1])
+                    after[i] /= after[i].sum()
+        for g in _groups(order, n):
+            self._count(codes, at[g], n[g], before[g], after[g], nth[g] > 0, times[page[g]])
+
+    def _through(self, codes, at, n):
+        """P(last state and the lines | first state) of spans, the longest first, up to a factor of each span."""
+        p = self.show[codes[at]][:, :, None] * np.eye(4)
+        for t, live in enumerate(_live(n)):
+            if t:
+                q = (p[:live] @ self.move) * self.show[codes[at[:live] + t]][:, None, :]
+                p[:live] = q / q.sum(axis=(1, 2), keepdims=True)
+        return p
+
+    def _count(self, codes, at, n, before, after, follows, times):
+        """Forward and backward over spans side by side, the longest first: step t concerns the first live[t] of them."""
+        live = _live(n)
+        step = [codes[at[:k] + t] for t, k in enumerate(live)]
         forward, scale = [], []
-        for t, n in enumerate(live):
-            f = (start if t == 0 else forward[-1][:n] @ move) * b[t]
+        for t, x in enumerate(step):
+            f = (forward[-1][: len(x)] @ self.move if t else np.where(follows[:, None], before @ self.move, self.start)) * self.show[x]
             scale.append(f.sum(axis=1, keepdims=True))
             forward.append(f / scale[-1])
-        moves = np.zeros((4, 4))
-        counts = [np.zeros_like(e) for e in belief.emit]
-        back = np.ones((live[-1], 4))
+        back, states = np.zeros((0, 4)), []
         for t in range(len(live) - 1, -1, -1):
-            state = forward[t].copy()
-            state[: len(back)] *= back
-            state /= state.sum(axis=1, keepdims=True)
-            for c, x in zip(counts, step[t].T):
-                for v in range(c.shape[1]):
-                    c[:, v] += state[x == v].sum(axis=0)
-            if t:
-                n = live[t]
-                full = np.ones((n, 4))
-                full[: len(back)] = back
-                after = full * b[t] / scale[t]
-                moves += move * (forward[t - 1][:n].T @ after)
-                back = after @ move.T
-            else:
-                first = state.sum(axis=0)
-        smooth = lambda seen, believed: np.log((seen + prior * np.exp(believed)) / (seen + prior * np.exp(believed)).sum(axis=-1, keepdims=True))
-        model = Model(smooth(first, belief.start), smooth(moves, belief.move), tuple(smooth(c, e) for c, e in zip(counts, belief.emit)))
+            ends = slice(len(back), live[t])  # spans whose last line this is; a page counts as often as it occurs
+            last = after[ends] * (times[ends] / (forward[t][ends] * after[ends]).sum(axis=1))[:, None]
+            back = np.concatenate([back, last])
+            states.append(forward[t] * back)
+            into = back * self.show[step[t]] / scale[t]
+            self.moves += self.move * ((forward[t - 1][: live[t]] if t else before).T @ into)
+            back = into @ self.move.T
+        self.first += states[-1][~follows].sum(axis=0)
+        where, states = np.concatenate(step[::-1]), np.concatenate(states)
+        for k in range(4):
+            self.seen[:, k] += np.bincount(where, states[:, k], len(BINS))
+
+    def total(self) -> np.ndarray:
+        """First states, moves, and bins of each feature by state, one after the other."""
+        seen = self.seen.T.reshape(4, *SHAPE)
+        by = [seen.sum(axis=tuple(a + 1 for a in range(len(SHAPE)) if a != f)) for f in range(len(SHAPE))]
+        return np.concatenate([self.first, self.moves.ravel(), *(c.ravel() for c in by)])
+
+
+def _live(n: np.ndarray) -> list[int]:
+    """For each step the number of those that have it, sizes falling."""
+    return (len(n) - np.searchsorted(n[::-1], np.arange(n[0]), side="right")).tolist()
+
+
+def _groups(order: np.ndarray, n: np.ndarray) -> list[np.ndarray]:
+    """Runs of about GROUP_LINES lines."""
+    return [g for g in np.split(order, np.flatnonzero(np.diff(np.cumsum(n[order]) // GROUP_LINES)) + 1) if len(g)]
+
+
+def _learnt(total: np.ndarray, prior: float | None) -> Model:
+    """The model of what was expected (``Expected.total``), smoothed by the beliefs."""
+    belief, places = Model.believed(), np.cumsum([4, 16] + [4 * n for n in SHAPE])
+    first, moves, *emit = np.split(total, places[:-1])
+    prior = max(PRIOR, emit[0].sum()) if prior is None else prior
+
+    def smooth(seen, believed):
+        c = seen.reshape(believed.shape) + prior * np.exp(believed)
+        return np.log(c / c.sum(axis=-1, keepdims=True))
+
+    return Model(smooth(first, belief.start), smooth(moves, belief.move), tuple(map(smooth, emit, belief.emit)))
+
+
+def fit(pages: list[np.ndarray], rounds: int = FIT_ROUNDS, prior: float | None = None) -> Model:
+    """The model that explains the lines of the pages best (Baum-Welch), starting from and smoothed by the beliefs.
+
+    pages: the bins of each page's lines, one row per line.  No page needs a label: the beliefs name the states, the
+    lines and their neighbours decide how often each state shows each feature and what follows it.
+    prior: the lines that the beliefs count for; None for as many as the pages have, PRIOR at least.
+    """
+    model = Model.believed()
+    pages = [np.ravel_multi_index(np.asarray(p).T, SHAPE) for p in pages if len(p)]
+    for _ in range(rounds if pages else 0):
+        expected = Expected(model)
+        expected.add(np.concatenate(pages), np.array([len(p) for p in pages]), np.ones(len(pages)))
+        model = _learnt(expected.total(), prior)
     return model
 
 
@@ -245,37 +324,87 @@ class Labeller:
         return sum(n for n, s in zip(weight, self.labels(bins)) if s) / sum(weight)
 
 
-def _seen(frames):
-    for frame in frames:
-        yield pd.DataFrame({"bins": [[list(b) for b in _bins(t)[0][:FIT_LINES]] for t in frame["text"]]})
+def _coded(batches):
+    """The codes of each text's lines, two bytes each, and their words, four bytes each."""
+    for batch in batches:
+        codes, words = [], []
+        for text in batch.column("text").to_pylist():
+            bins, size = _bins(text) if text and not text.isspace() else ([], [])
+            codes.append(np.array([CODE[b] for b in bins], "<u2").tobytes())
+            words.append(np.array(size, "<u4").tobytes())
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(codes, pa.binary()), pa.array(words, pa.binary())], ["doc_id", "codes", "words"])
 
 
-def fitted(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", pages: int = FIT_PAGES) -> Model:
-    """The model of a corpus, fitted on the first FIT_LINES lines of ``pages`` pages, those of least hashed id: a sample bounded at every size."""
+def _expecting(model: Model):
+    def expect(batches):
+        expected = Expected(model)
+        for batch in batches:
+            pages = Counter(batch.column("codes").to_pylist())
+            pages.pop(b"", None)
+            if pages:
+                expected.add(np.frombuffer(b"".join(pages), "<u2"), np.array([len(p) // 2 for p in pages]), np.array([*pages.values()], float))
+        yield pa.RecordBatch.from_arrays([pa.array([expected.total().tolist()], pa.list_(pa.float64()))], ["total"])
+
+    return expect
+
+
+def _sharing(model: Model):
+    def share(batches):
+        labeller = Labeller(model)
+        for batch in batches:
+            off, shares = {b"": np.zeros(0, bool)}, []
+            for codes, words in zip(batch.column("codes").to_pylist(), batch.column("words").to_pylist()):
+                if codes not in off:
+                    off[codes] = np.array(labeller.labels([BINS[c] for c in np.frombuffer(codes, "<u2").tolist()])) > 0
+                size = np.frombuffer(words, "<u4")
+                shares.append(float(size[off[codes]].sum() / max(1, size.sum())))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(shares, pa.float64())], ["doc_id", "share"])
+
+    return share
+
+
+def _lines(documents: DataFrame, doc_id: str, text: str) -> DataFrame:
     ship(documents.sparkSession)
-    some = documents.filter(F.col(text).rlike(r"\S") & F.col(doc_id).isNotNull()).select(F.col(text).alias("text"), F.xxhash64(doc_id).alias("h"))
-    some = some.orderBy("h", F.xxhash64("text")).limit(pages).select("text").repartition(documents.sparkSession.sparkContext.defaultParallelism).mapInPandas(_seen, "bins array<array<int>>")
-    return fit([np.array([list(x) for x in r["bins"]]) for r in some.collect()])
+    docs = documents.filter(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    return spread(docs).mapInArrow(_coded, "doc_id long, codes binary, words binary")
+
+
+def _fitted(lines: DataFrame) -> Model:
+    model = Model.believed()
+    for _ in range(FIT_ROUNDS):
+        parts = [r["total"] for r in lines.select("codes").mapInArrow(_expecting(model), "total array<double>").collect()]
+        if not parts:
+            break
+        model = _learnt(np.array([math.fsum(x) for x in zip(*parts)]), None)  # exact sums, whatever part comes first
+    return model
+
+
+def fitted(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Model:
+    """The model of a corpus, fitted on every line of every page.
+
+    The codes of the lines are a table in the shared folder, made once.  Each round of the fit passes over it, and each
+    task hands a hundred sums to the driver.  Null ids are left out; a row delivered twice counts twice.
+    """
+    scratch = Scratch(documents.sparkSession, "spam")
+    lines = scratch.save(_lines(documents, doc_id, text), "lines")
+    model = _fitted(lines)
+    scratch.drop(lines)
+    return model
 
 
 def page_shares(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", model: Model | None = None) -> DataFrame:
     """``doc_id`` and ``share``: of each text, the share of words on link, tag and menu lines.
 
-    The model is fitted on a bounded sample of the same corpus (``fitted``) unless given.  One Arrow-batched pass
-    without a shuffle; whole texts.  Defined cases: a
+    The model is fitted on the same corpus, all of it (``fitted``), unless given.  Texts are read once, whole and without a
+    shuffle; the fit and the labels read the codes of their lines, a table in the shared folder.  Defined cases: a
     null, empty or blank text has share 0; null ids are left out; other columns
     are ignored; a row delivered twice gives two equal rows.
     """
-    ship(documents.sparkSession)
-    model = model or fitted(documents, doc_id, text)
-
-    def shares(frames):
-        labeller = Labeller(model)
-        for frame in frames:
-            yield pd.DataFrame({"doc_id": frame["doc_id"], "share": [labeller.share(t) for t in frame["text"]]})
-
-    docs = documents.filter(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return spread(docs).mapInPandas(shares, "doc_id long, share double")
+    lines = _lines(documents, doc_id, text)
+    if model is None:
+        lines = Scratch(documents.sparkSession, "spam").save(lines, "lines")
+        model = _fitted(lines)
+    return lines.mapInArrow(_sharing(model), "doc_id long, share double")
 
 
 def spam_pages(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", above: float = 0.5, model: Model | None = None) -> DataFrame:

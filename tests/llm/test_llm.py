@@ -628,3 +628,51 @@ def test_fit_learns_what_follows_what():
     assert np.exp(model.emit[0])[0, 0] > 0.99  # prose has no links
     empty = spam.fit([])
     assert np.allclose(empty.move, spam.Model.believed().move)
+
+
+def probabilities(model):
+    return np.concatenate([np.exp(x).ravel() for x in (model.start, model.move, *model.emit)])
+
+
+def test_fit_takes_every_line_of_every_page(spark):
+    """More pages than a sample would hold, and a page whose end is unlike its first 500 lines."""
+    rng = random.Random(13)
+    texts = [f"{t}\n{t}" if n % 2 else t for n, t in enumerate(t.split("\n")[0] for t in made_pages("links", 1100, rng) + made_pages("notes", 1100, rng))]
+    texts.append("\n".join(made_pages("notes", 70, rng) + made_pages("table", 30, rng)))
+    df = spark.createDataFrame([*enumerate(texts), (9000, None), (9001, " "), (None, texts[0])], "doc_id long, text string").repartition(3)
+    want = spam.fit([np.array(spam._bins(t)[0]) for t in texts])
+    assert np.allclose(probabilities(spam.fitted(df)), probabilities(want), atol=1e-9)
+    texts[-1] = "\n".join(texts[-1].split("\n")[:500])
+    assert not np.allclose(probabilities(spam.fit([np.array(spam._bins(t)[0]) for t in texts])), probabilities(want), atol=1e-6)
+    assert np.allclose(probabilities(spam.fitted(df.limit(0))), probabilities(spam.Model.believed()))
+
+
+@pytest.mark.parametrize("span", [1, 2, 3, 256])
+def test_expected_counts_against_all_paths(monkeypatch, span):
+    """Counts of cut and uncut pages are those over every path of states."""
+    monkeypatch.setattr(spam, "SPAN", span)
+    monkeypatch.setattr(spam, "GROUP_LINES", 4)
+    rng, model = random.Random(17), spam.Model.believed()
+    pages = [[rng.randrange(len(spam.BINS)) for _ in range(n)] for n in (5, 1, 2, 5)]
+    times = [1, 3, 2, 1]
+    first, moves, seen = np.zeros(4), np.zeros((4, 4)), np.zeros((len(spam.BINS), 4))
+    for page, w in zip(pages, times):
+        emit = model.table(np.array([spam.BINS[c] for c in page]))
+        paths = np.array(list(np.ndindex(*[4] * len(page))))
+        p = np.exp(model.start[paths[:, 0]] + emit[np.arange(len(page)), paths].sum(axis=1) + model.move[paths[:, :-1], paths[:, 1:]].sum(axis=1))
+        p *= w / p.sum()
+        np.add.at(first, paths[:, 0], p)
+        for t, code in enumerate(page):
+            np.add.at(seen[code], paths[:, t], p)
+            if t:
+                np.add.at(moves, (paths[:, t - 1], paths[:, t]), p)
+    got = spam.Expected(model)
+    got.add(np.concatenate(pages), np.array([*map(len, pages)]), np.array(times, float))
+    assert np.allclose(got.first, first) and np.allclose(got.moves, moves) and np.allclose(got.seen, seen)
+
+
+def test_beliefs_do_not_wear_away(monkeypatch):
+    """A corpus repeated ten times gives the model of the corpus: its states keep their meaning at any size."""
+    monkeypatch.setattr(spam, "PRIOR", 50.0)
+    pages = [np.array(spam._bins(t)[0]) for k in BAD_KINDS + GOOD_KINDS for t in made_pages(k, 4, random.Random(19))]
+    assert np.allclose(probabilities(spam.fit(pages)), probabilities(spam.fit(pages * 10)))
